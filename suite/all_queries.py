@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from suite import core, pair_queries  # noqa: F401
+from suite import core, history_queries, pair_queries, report_queries, service_queries  # noqa: F401

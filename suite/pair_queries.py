@@ -346,7 +346,7 @@ _ROWS12 = f"""SELECT *, {_METHOD_SQL} AS method FROM text_pairs WHERE {KNOWN} AN
 
 @query("p12_composed_filter", f"""WITH kept AS ({_ROWS12}), wide AS (SELECT k.* FROM kept k WHERE (project, language, clone_id) IN
   (SELECT (project, language, clone_id) FROM (SELECT project, language, clone_id, unnest([service_x, service_y]) AS s FROM kept) GROUP BY project, language, clone_id HAVING count(DISTINCT s) >= 2))
-  SELECT {ROW} FROM wide WHERE (project, language, clone_id) IN (SELECT (project, language, clone_id) FROM ({TYPES.format(p='wide')}) WHERE code_type = 'mixed')""".replace("WITH kept", ", kept", 1))
+  SELECT {ROW} FROM wide WHERE (project, language, clone_id) IN (SELECT (project, language, clone_id) FROM ({TYPES.format(p='wide')}) WHERE code_type = 'mixed')""")
 def p12_composed_filter(spark, d):
     return filters.filter_pairs(text_pairs(spark, d), scope="cross", spread=2, code_type="mixed").select(*ROW_LIST)
 

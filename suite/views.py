@@ -177,7 +177,7 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT DISTINCT concat('acme.repo', doc_id % 3), source, 'legacy18', 2, 1 FROM documents WHERE source = 'src18'""",
     "file_history": """
         SELECT event_id // 10 AS file_id, list_sort(list(DISTINCT {'type': CASE WHEN event_type = 'signup' THEN 'added' ELSE 'modified' END,
-          'commit': concat('c', strftime(ts, '%Y%m%d'))})) AS modification
+          'commit': CASE WHEN event_type = 'click' THEN concat('u', user_id % 40) ELSE concat('c', strftime(ts, '%Y%m%d')) END})) AS modification
         FROM events WHERE event_type IN ('purchase', 'click', 'signup') GROUP BY ALL""",
     "text_lines": """
         SELECT project, language, file_id, file_path, service, unnest(string_split(text, chr(10))) AS line,
@@ -301,7 +301,7 @@ VIEWS.update(_metric_views("t", "text_loc", "text_fragments"))
 
 
 def _mentioned(sql: str) -> list[str]:
-    words = set(re.findall(r"[a-z_]+", sql))
+    words = set(re.findall(r"[a-z_0-9]+", sql))
     return [v for v in VIEWS if v in words]
 
 
@@ -318,6 +318,9 @@ def with_views(sql: str) -> str:
 
     for name in _mentioned(sql):
         add(name)
+    sql = sql.strip()
     if not ordered:
-        return sql.strip()
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n].strip()})" for n in ordered) + "\n" + sql.strip()
+        return sql
+    if sql.startswith("WITH "):
+        sql = ", " + sql[5:]
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n].strip()})" for n in ordered) + "\n" + sql

@@ -143,33 +143,34 @@ def run_name(repo, detection, min_tokens, import_filter, comod_method, analysis,
 
 
 def parse_run_name(name) -> Column:
-    """Run name without language -> struct of its parameters; NULL fields on other names."""
+    """Run name without language -> struct of its parameters; NULL fields on other names.
+
+    The name is matched once and cut into its parts; the struct is built from those.
+    """
     stem = F.regexp_replace(_col(name), r"\.csv$", "")
+    parts = F.split(F.regexp_replace(stem, C.RUN_NAME_PATTERN, "$1\t$2\t$3\t$4\t$5\t$6\t$7"), "\t")
 
-    def group(i):
-        return F.nullif(F.regexp_extract(stem, C.RUN_NAME_PATTERN, i), F.lit(""))
-
-    tail = F.concat(group(7), F.lit("_"))
-    dates = F.regexp_extract_all(tail, F.lit(r"_(\d{8})(?=_)"), F.lit(1))
-    depth = F.regexp_extract(tail, r"_sd(\d+)_", 1).try_cast("int")
-    cap = F.regexp_extract(tail, r"_mac(\d+)_", 1).try_cast("int")
-    date = F.when(F.size(dates) > 0, F.element_at(dates, -1))
-    ok = date.isNotNull()
-    analysis = group(6)
-    return F.struct(
-        F.when(ok, group(1)).alias("repo"),
-        F.when(ok, group(2)).alias("detection"),
-        F.when(ok, group(3).cast("int")).alias("min_tokens"),
-        F.when(ok, group(4)).alias("filter"),
-        F.when(ok, group(5)).alias("comod"),
-        F.when(ok, analysis).alias("analysis"),
-        F.when(ok, F.coalesce(F.regexp_extract(analysis, r"^freq(\d+)$", 1).try_cast("int"), F.lit(50))).alias(
-            "frequency"
-        ),
-        F.when(ok, date).alias("date"),
-        F.when(ok, F.coalesce(depth, F.lit(-1))).alias("search_depth"),
-        F.when(ok, F.coalesce(cap, F.lit(-1))).alias("max_commits"),
-    )
+    def fields(p: Column) -> Column:
+        # Options may stand on either side of the date.
+        options = F.split(p[6], "_")
+
+        def option(pattern: str) -> Column:
+            return F.try_element_at(F.filter(options, lambda o: o.rlike(pattern)), F.lit(-1))
+
+        def limit(prefix: str) -> Column:
+            hit = option(f"^{prefix}[0-9]+$")
+            return F.coalesce(F.substring(hit, len(prefix) + 1, 99).try_cast("int"), F.lit(-1))
+
+        date = option("^[0-9]{8}$")
+        frequency = F.when(p[5].startswith("freq"), F.substring(p[5], 5, 99).try_cast("int")).otherwise(F.lit(50))
+        built = F.struct(
+            p[0].alias("repo"), p[1].alias("detection"), p[2].try_cast("int").alias("min_tokens"), p[3].alias("filter"),
+            p[4].alias("comod"), p[5].alias("analysis"), frequency.alias("frequency"), date.alias("date"),
+            limit("sd").alias("search_depth"), limit("mac").alias("max_commits"),
+        )
+        return F.when((F.size(p) == 7) & date.isNotNull(), built)
+
+    return F.transform(F.array(parts), fields)[0]
 
 
 def run_label(language, run) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def ratio(numerator, denominator, digits: int | None = 6) -> Column:
-    """numerator / denominator, 0.0 on a zero or missing denominator, half-even rounded."""
+    """numerator / denominator, 0.0 where a side is missing or the denominator is zero, half-even rounded."""
     n, d = _col(numerator).cast("double"), _col(denominator).cast("double")
-    value = F.when(d > 0, n / d).otherwise(F.lit(0.0))
+    value = F.coalesce(F.when(d > 0, n / d), F.lit(0.0))
     return value if digits is None else F.bround(value, digits)
 
 

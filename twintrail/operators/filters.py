@@ -180,7 +180,7 @@ def filter_clone_sets(
     elif preset == "top_inter_loc":
         # The quartile is one row; distinct values are counted before they are ordered.
         values = table.groupBy("cross_service_line_count").agg(F.count(F.lit(1)).alias("n"))
-        bound = values.agg(F.percentile("cross_service_line_count", 0.75, "n").alias("_bound"))
+        bound = values.agg(F.percentile("cross_service_line_count", F.lit(0.75), F.col("n")).alias("_bound"))
         table = (
             table.crossJoin(F.broadcast(bound))
             .filter(F.col("cross_service_line_count") >= F.col("_bound"))

@@ -5,12 +5,14 @@ Commit pairs carry (project, child_sha, parent_sha); the child is the newer comm
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twintrail.constants import FRAGMENT_KEYS, PROJECT_KEYS
-from twintrail.session import ensure_checkpoint_dir
+from twintrail.session import staged
 
 PAIR_KEYS = ["project", "child_sha", "parent_sha"]
 HUNK_HEADER = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
@@ -266,45 +268,43 @@ def transitions(fragments: DataFrame, pairs: DataFrame, hunks: DataFrame, files:
     )
 
 
-def head_history(
-    head: DataFrame, moves: DataFrame, steps: int, checkpoint_every: int = 4
-) -> DataFrame:
+def head_history(head: DataFrame, moves: DataFrame, steps: int) -> DataFrame:
     """Modification history of the head fragments, newest entry first.
 
     ``head``: FRAGMENT_KEYS of the newest snapshot. ``moves``: transitions with ``step``, the
-    ordinal of the child commit counted from the head. Each step is one equi-join; a
-    project-language without moves in a step keeps its mapping. When several children meet
-    in one parent, the last child in list order carries on. Both types log the newer commit.
-    The lineage is cut by a reliable checkpoint every few steps.
+    ordinal of the child commit counted from the head. Each step is one equi-join over its
+    own partition of the moves; a project-language without moves in a step keeps its mapping.
+    When several children meet in one parent, the last child in list order carries on. Both
+    types log the newer commit. Moves and every step are staged in the shared folder, so the
+    plan never grows with the number of commits and no step is computed twice.
     """
-    spark = head.sparkSession
+    kept = ["step", *FRAGMENT_KEYS, "set_order", "parent_clone_id", "parent_index", "type", "child_sha"]
+    moves = staged(moves.select(*kept), "step")
     mapping = head.select(
         *FRAGMENT_KEYS, F.col("clone_id").alias("head_clone_id"), F.col("fragment_index").alias("head_index")
     )
-    events = None
+    logs = []
     for step in range(steps):
         now = moves.filter(F.col("step") == step)
-        joined = now.join(mapping, FRAGMENT_KEYS)
-        if checkpoint_every and (step + 1) % checkpoint_every == 0:
-            ensure_checkpoint_dir(spark)
-            joined = joined.checkpoint()
-        logged = joined.filter(F.col("type") != "stable").select(
-            *PROJECT_KEYS, "head_clone_id", "head_index", "step", "type", F.col("child_sha").alias("commit")
+        joined = staged(now.join(mapping, FRAGMENT_KEYS))
+        logs.append(
+            joined.filter(F.col("type") != "stable").select(
+                *PROJECT_KEYS, "head_clone_id", "head_index", "step", "type", F.col("child_sha").alias("commit")
+            )
         )
-        events = logged if events is None else events.unionByName(logged)
+        last = F.max(F.struct("set_order", "fragment_index", "head_clone_id", "head_index"))
         onward = (
             joined.filter(F.col("type") != "added")
             .groupBy(*PROJECT_KEYS, "parent_clone_id", "parent_index")
-            .agg(
-                F.max(F.struct("set_order", "fragment_index", "head_clone_id", "head_index")).alias("_h")
-            )
+            .agg(last.alias("_h"))
             .select(
                 *PROJECT_KEYS, F.col("parent_clone_id").alias("clone_id"), F.col("parent_index").alias("fragment_index"),
                 "_h.head_clone_id", "_h.head_index",
             )
         )
         idle = mapping.join(now.select(*PROJECT_KEYS).distinct(), PROJECT_KEYS, "left_anti")
-        mapping = onward.unionByName(idle)
+        mapping = staged(onward.unionByName(idle))
+    events = reduce(DataFrame.unionByName, logs)
     entry = F.struct("step", F.struct("type", "commit").alias("e"))
     logs = events.groupBy(
         *PROJECT_KEYS, F.col("head_clone_id").alias("clone_id"), F.col("head_index").alias("fragment_index")

@@ -146,7 +146,7 @@ def services_by_text_prefix(files: DataFrame, contexts: DataFrame) -> DataFrame:
     ).distinct()
     lengths = usable.groupBy("project").agg(F.collect_set(F.length("context")).alias("_lengths"))
     cut = (
-        files.join(lengths, "project")
+        files.drop("service").join(lengths, "project")
         .withColumn("_n", F.explode("_lengths"))
         .filter(F.col("_n") <= F.length("file_path"))
         .withColumn("context", F.substring(F.col("file_path"), F.lit(1), F.col("_n")))

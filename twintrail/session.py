@@ -8,8 +8,9 @@ splits a partition that one hot clone set, file or project makes too large.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,3 +54,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
     return sc.getCheckpointDir()
+
+
+def staged(df: DataFrame, *partition_by: str) -> DataFrame:
+    """The rows written as a table in the shared checkpoint folder and read back.
+
+    Cuts the lineage, survives lost executors, and lets later reads prune by partition and
+    column, which a checkpointed plan cannot.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -110,7 +110,7 @@ def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         .selectExpr(
             "CAST(floor(event_id / 10) AS BIGINT) AS file_id",
             "CASE WHEN event_type = 'signup' THEN 'added' ELSE 'modified' END AS type",
-            "concat('c', date_format(ts, 'yyyyMMdd')) AS commit",
+            "CASE WHEN event_type = 'click' THEN concat('u', user_id % 40) ELSE concat('c', date_format(ts, 'yyyyMMdd')) END AS commit",
         )
         .groupBy("file_id").agg(F.array_sort(F.collect_set(F.struct("type", "commit"))).alias("modification"))
     )
