@@ -226,15 +226,28 @@ _PLAIN = """toks AS MATERIALIZED (SELECT project, language, file_id, line_no, un
 _GROUPED = _grouping_sql(_PLAIN, _K)
 
 
-@query("a49_clone_grouping", f"{_GROUPED} SELECT *, end_token - start_token + 1 AS token_count FROM frag")
+# A set is named by its first member, so the comparison does not depend on the digest.
+_NAMED = """SELECT project, language, file_id, start_token, end_token, start_line, end_line, end_token - start_token + 1 AS token_count,
+  min(file_id) OVER w AS first_file, CAST(min(CASE WHEN file_id = m THEN start_token END) OVER w AS INT) AS first_token
+  FROM (SELECT *, min(file_id) OVER (PARTITION BY project, language, clone_id) AS m FROM frag) WINDOW w AS (PARTITION BY project, language, clone_id)"""
+
+
+def _named(found):
+    keys = ["project", "language", "clone_id"]
+    first = F.min(F.struct("file_id", "start_token"))
+    names = found.groupBy(*keys).agg(first.alias("m")).select(*keys, F.col("m.file_id").alias("first_file"), F.col("m.start_token").alias("first_token"))
+    return found.join(names, keys).drop("clone_id")
+
+
+@query("a49_clone_grouping", f"{_GROUPED} {_NAMED}")
 def a49_clone_grouping(spark, d):
-    return clones.clone_fragments(T.text_files(spark, d), _K, mask=False)
+    return _named(clones.clone_fragments(T.text_files(spark, d), _K, mask=False))
 
 
-@query("a49_clone_set_index", f"{_GROUPED} SELECT project, language, clone_id, file_id, start_token, CAST(row_number() OVER (PARTITION BY project, language, clone_id ORDER BY file_id, start_token) - 1 AS INT) AS fragment_index FROM frag")
+@query("a49_clone_set_index", f"{_GROUPED} SELECT project, language, file_id, start_token, CAST(row_number() OVER (PARTITION BY project, language, clone_id ORDER BY file_id, start_token) - 1 AS INT) AS fragment_index FROM frag")
 def a49_clone_set_index(spark, d):
     found = clones.clone_fragments(T.text_files(spark, d), _K, mask=False)
-    return clones.index_fragments(found).select("project", "language", "clone_id", "file_id", "start_token", "fragment_index")
+    return clones.index_fragments(found).select("project", "language", "file_id", "start_token", "fragment_index")
 
 
 _MASKED = _DECLARATIONS + """, toks AS MATERIALIZED (SELECT project, language, file_id, line_no, unnest(w) AS tok, generate_subscripts(w, 1) AS n FROM (
@@ -242,9 +255,9 @@ _MASKED = _DECLARATIONS + """, toks AS MATERIALIZED (SELECT project, language, f
     regexp_extract_all(regexp_replace(line, '[0-9]+', '0', 'g'), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]') AS w FROM flags WHERE NOT d))"""
 
 
-@query("a49_clone_grouping_masked", _grouping_sql(_MASKED, 30) + " SELECT *, end_token - start_token + 1 AS token_count FROM frag")
+@query("a49_clone_grouping_masked", _grouping_sql(_MASKED, 30) + " " + _NAMED)
 def a49_clone_grouping_masked(spark, d):
-    return clones.clone_fragments(T.source_files(spark, d), 30)
+    return _named(clones.clone_fragments(T.source_files(spark, d), 30))
 
 
 # --- detection tables ------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from suite.views import known, pair_type_sql
 from twintrail.functions import labels
 from twintrail.functions.commits import short_commits
 from twintrail.operators import filters, fragments, pairs, ranks, services
+from twintrail.session import staged
 from twintrail.sources import star_tables as T
 
 SIDES = (
@@ -34,6 +35,11 @@ def order_pairs(spark, d):
     return pairs.clone_pairs(T.order_fragments(spark, d))
 
 
+def stored_pairs(spark, d):
+    """The pair table as a job keeps it: written once, then read by every count over it."""
+    return staged(text_pairs(spark, d))
+
+
 def _flat(df):
     return df.withColumn("comodified_commits", F.array_join("comodified_commits", ","))
 
@@ -125,12 +131,12 @@ _PROFILE = f"""SELECT p.*, u.pair_count, f.file_count, s.services, s.service_cou
 
 @query("a31_cross_service_profile", _PROFILE)
 def a31_cross_service_profile(spark, d):
-    return pairs.cross_service_profile(text_pairs(spark, d)).withColumn("services", F.array_join("services", ","))
+    return pairs.cross_service_profile(stored_pairs(spark, d)).withColumn("services", F.array_join("services", ","))
 
 
 @query("a31_span_distribution", f"SELECT project, language, service_count, count(*) AS clone_sets FROM ({_PROFILE}) GROUP BY ALL")
 def a31_span_distribution(spark, d):
-    return pairs.span_distribution(pairs.cross_service_profile(text_pairs(spark, d)))
+    return pairs.span_distribution(pairs.cross_service_profile(stored_pairs(spark, d)))
 
 
 _OPTIONS = f"""SELECT project, language, s AS service, count(DISTINCT clone_id) AS clone_sets, count(*) AS pairs
@@ -157,7 +163,7 @@ def k7_ordered_service_options(spark, d):
   (SELECT project, language, least(service_x, service_y) AS lo, greatest(service_x, service_y) AS hi, count(*) AS n FROM text_pairs GROUP BY ALL) p
   ON p.project = s.project AND p.language = s.language AND p.lo = least(service_a, service_b) AND p.hi = greatest(service_a, service_b)""")
 def a33_shared_clone_matrix(spark, d):
-    return pairs.shared_clone_matrix(text_pairs(spark, d))
+    return pairs.shared_clone_matrix(stored_pairs(spark, d))
 
 
 _CLONE_OPTIONS = f"""SELECT t.project, t.language, t.clone_id, service_count, t.pairs AS pair_count, code_type, comod_count, services FROM ({TYPES.format(p='text_pairs')}) t
@@ -168,7 +174,7 @@ _CLONE_OPTIONS = f"""SELECT t.project, t.language, t.clone_id, service_count, t.
 
 @query("a34_clone_options", _CLONE_OPTIONS)
 def a34_clone_options(spark, d):
-    return pairs.clone_options(text_pairs(spark, d))
+    return pairs.clone_options(stored_pairs(spark, d))
 
 
 for _name, _cols in (("k6_options_by_span", ("service_count", "comod_count")), ("k6_options_by_comod", ("comod_count", "service_count"))):
@@ -176,7 +182,7 @@ for _name, _cols in (("k6_options_by_span", ("service_count", "comod_count")), (
     def _options(name, cols):
         @query(name, f"SELECT * FROM ({_CLONE_OPTIONS}) ORDER BY {cols[0]} DESC, {cols[1]} DESC, clone_id, project LIMIT 10")
         def run(spark, d):
-            table = pairs.clone_options(text_pairs(spark, d))
+            table = pairs.clone_options(stored_pairs(spark, d))
             return ranks.sort_by(table, [(cols[0], "desc"), (cols[1], "desc"), ("clone_id", "asc"), ("project", "asc")]).limit(10)
 
     _options(_name, _cols)
@@ -202,7 +208,7 @@ def a37_network_edges(spark, d):
   LEFT JOIN (SELECT project, language, count(DISTINCT v) AS n FROM (SELECT project, language, unnest([service_x, service_y]) AS v FROM text_pairs) WHERE v <> '' GROUP BY ALL) s USING (project, language)
   LEFT JOIN (SELECT project, language, count(DISTINCT v) AS n FROM (SELECT project, language, unnest([file_path_x, file_path_y]) AS v FROM text_pairs) WHERE v <> '' GROUP BY ALL) f USING (project, language)""")
 def a38_dataset_overview(spark, d):
-    return pairs.dataset_overview(text_pairs(spark, d))
+    return pairs.dataset_overview(stored_pairs(spark, d))
 
 
 @query("a39_pair_type_breakdown", f"SELECT {pair_type_sql('file_type_x', 'file_type_y')} AS code_type, count(*) AS pairs FROM order_pairs GROUP BY ALL")
@@ -348,7 +354,7 @@ _ROWS12 = f"""SELECT *, {_METHOD_SQL} AS method FROM text_pairs WHERE {KNOWN} AN
   (SELECT (project, language, clone_id) FROM (SELECT project, language, clone_id, unnest([service_x, service_y]) AS s FROM kept) GROUP BY project, language, clone_id HAVING count(DISTINCT s) >= 2))
   SELECT {ROW} FROM wide WHERE (project, language, clone_id) IN (SELECT (project, language, clone_id) FROM ({TYPES.format(p='wide')}) WHERE code_type = 'mixed')""")
 def p12_composed_filter(spark, d):
-    return filters.filter_pairs(text_pairs(spark, d), scope="cross", spread=2, code_type="mixed").select(*ROW_LIST)
+    return filters.filter_pairs(stored_pairs(spark, d), scope="cross", spread=2, code_type="mixed").select(*ROW_LIST)
 
 
 @query("p26_selectivity", """SELECT count(*) FILTER (relation = 'inter') AS kept, count(*) AS total, round_even(count(*) FILTER (relation = 'inter') * 100.0::DOUBLE / count(*), 1) AS percent,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,10 +11,6 @@ from twintrail import constants as C
 from twintrail.functions.numbers import _col
 
 
-def _any(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def _drop_prefix(path: Column, prefix: str | None) -> Column:
     if not prefix:
         return path
@@ -53,21 +49,22 @@ def extension(name) -> Column:
     return F.regexp_extract(_col(name), r"(\.[^.]*)$", 1)
 
 
+def _words(words: list[str]) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
+_TEST = _words(C.TEST_PATH_PARTS)
+_CONFIG = (
+    f"(?:^|/)(?:{_words(C.CONFIG_FILE_NAMES)})$|(?:{_words(C.CONFIG_EXTENSIONS)})$|{_words(C.CONFIG_PATH_PARTS)}"
+)
+_DATA = f"{_words(C.DATA_PATH_PARTS)}|(?:{_words(C.DATA_EXTENSIONS)})$"
+
+
 def file_type(path) -> Column:
     """test, config, data or logic from the path alone; the first hit wins."""
     lower = F.replace(F.lower(F.coalesce(_col(path), F.lit(""))), F.lit("\\"), F.lit("/"))
-    name = base_name(lower)
-    ext = extension(name)
-
-    def holds(parts):
-        return _any(lower.contains(part) for part in parts)
-
-    return (
-        F.when(holds(C.TEST_PATH_PARTS), "test")
-        .when(name.isin(C.CONFIG_FILE_NAMES) | ext.isin(C.CONFIG_EXTENSIONS) | holds(C.CONFIG_PATH_PARTS), "config")
-        .when(holds(C.DATA_PATH_PARTS) | ext.isin(C.DATA_EXTENSIONS), "data")
-        .otherwise("logic")
-    )
+    # One compiled pattern per category: a chain of contains() would lower the path each time.
+    return F.when(lower.rlike(_TEST), "test").when(lower.rlike(_CONFIG), "config").when(lower.rlike(_DATA), "data").otherwise("logic")
 
 
 def is_test_path(path) -> Column:

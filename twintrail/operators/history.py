@@ -100,10 +100,13 @@ def line_map(hunks: DataFrame, files: DataFrame) -> DataFrame:
     """Child line -> parent line (NULL for none) of every changed file.
 
     The k-th child line that was not inserted is the k-th parent line that was not deleted.
-    Both survivors lists are built inside the file's row and zipped; nothing is ranked or
+    Both survivor lists are built inside the file's row and zipped; nothing is ranked or
     joined line by line.
     """
-    changed = changed_files(hunks, files)
+    return _map_rows(changed_files(hunks, files))
+
+
+def _map_rows(changed: DataFrame) -> DataFrame:
     zipped = F.arrays_zip(
         _kept(F.col("child_loc"), F.col("inserted_lines")).alias("c"),
         _kept(F.col("parent_loc"), F.col("deleted_lines")).alias("p"),
@@ -120,13 +123,16 @@ def line_map(hunks: DataFrame, files: DataFrame) -> DataFrame:
 
 def line_changes(hunks: DataFrame) -> DataFrame:
     """One row per changed line: kind added (child side), deleted (parent side) or modified."""
-    def tagged(column, kind):
-        return F.transform(column, lambda l: F.struct(l.alias("line"), F.lit(kind).alias("kind")))
+    return _change_rows(_file_hunks(hunks), ["added", "deleted", "modified"])
 
-    rows = F.concat(
-        tagged("inserted_lines", "added"), tagged("deleted_lines", "deleted"), tagged("modified_lines", "modified")
-    )
-    return _file_hunks(hunks).select(*PAIR_KEYS, "path", F.explode(rows).alias("r")).select(*PAIR_KEYS, "path", "r.*")
+
+def _change_rows(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    lists = {"added": "inserted_lines", "deleted": "deleted_lines", "modified": "modified_lines"}
+
+    def tagged(kind: str) -> Column:
+        return F.transform(lists[kind], lambda l: F.struct(l.alias("line"), F.lit(kind).alias("kind")))
+
+    return rows.select(*PAIR_KEYS, "path", F.explode(F.concat(*[tagged(k) for k in kinds])).alias("r")).select(*PAIR_KEYS, "path", "r.*")
 
 
 def _spread_lines() -> Column:
@@ -170,26 +176,26 @@ def _touched(side_rows: DataFrame, changed: DataFrame, lines: DataFrame, line: s
 
 def surviving_lines(fragments: DataFrame, pairs: DataFrame, hunks: DataFrame, files: DataFrame) -> DataFrame:
     """Parent lines that survive inside each child fragment; 0 means the fragment is new."""
-    child, _ = _both_sides(fragments, pairs, hunks, files)
+    child = _child_side(fragments, pairs, changed_files(hunks, files))
     return child.select(*PAIR_KEYS, "language", "clone_id", "fragment_index", F.col("survivors").cast("bigint").alias("survivors"))
 
 
-def _both_sides(fragments, pairs, hunks, files):
+def _child_side(fragments: DataFrame, pairs: DataFrame, changed: DataFrame) -> DataFrame:
     keys = [*PAIR_KEYS, "path"]
-    mapping = line_map(hunks, files)
-    changes = line_changes(hunks)
-    changed = changed_files(hunks, files)
-    in_child = changes.filter(F.col("kind") != "deleted").select(*keys, F.col("line").alias("child_line")).distinct()
-    in_parent = changes.filter(F.col("kind") != "added").select(*keys, F.col("line").alias("parent_line")).distinct()
-    yes = F.lit(True)
-    child_lines = mapping.join(in_child.withColumn("touched", yes), [*keys, "child_line"], "left")
-    parent_lines = (
-        mapping.filter(F.col("parent_line").isNotNull())
-        .join(in_parent.withColumn("touched", yes), [*keys, "parent_line"], "full")
+    touched = _change_rows(changed, ["added", "modified"]).select(
+        *keys, F.col("line").alias("child_line"), F.lit(True).alias("touched")
+    )
+    lines = _map_rows(changed).join(touched, [*keys, "child_line"], "left")
+    return _touched(_side(fragments, pairs, "child"), changed, lines, "child_line", "parent_line")
+
+
+def _parent_side(fragments: DataFrame, pairs: DataFrame, changed: DataFrame) -> DataFrame:
+    keys = [*PAIR_KEYS, "path"]
+    touched = _change_rows(changed, ["deleted", "modified"]).select(
+        *keys, F.col("line").alias("parent_line"), F.lit(True).alias("touched")
     )
-    child = _touched(_side(fragments, pairs, "child"), changed, child_lines, "child_line", "parent_line")
-    parent = _touched(_side(fragments, pairs, "parent"), changed, parent_lines, "parent_line", "child_line")
-    return child, parent
+    lines = _map_rows(changed).filter(F.col("parent_line").isNotNull()).join(touched, [*keys, "parent_line"], "full")
+    return _touched(_side(fragments, pairs, "parent"), changed, lines, "parent_line", "child_line")
 
 
 def _blocks(low: str, high: str) -> Column:
@@ -206,8 +212,9 @@ def transitions(fragments: DataFrame, pairs: DataFrame, hunks: DataFrame, files:
     need the four mapped end points only, and candidates meet on line blocks.
     """
     keys = [*PAIR_KEYS, "language", "path"]
-    live = pairs.join(pairs_with_changes(hunks, files), PAIR_KEYS, "left_semi").select(*PAIR_KEYS).distinct()
-    child, parent = _both_sides(fragments, live, hunks, files)
+    changed = changed_files(hunks, files)
+    live = pairs.select(*PAIR_KEYS).join(changed.select(*PAIR_KEYS).distinct(), PAIR_KEYS, "left_semi")
+    child, parent = _child_side(fragments, live, changed), _parent_side(fragments, live, changed)
     child_id = ["clone_id", "fragment_index"]
 
     def named(df, tag, *columns):

@@ -14,6 +14,7 @@ from twintrail.constants import SET_KEYS
 from twintrail.functions import commits, paths
 from twintrail.operators.chunks import adjacent_commits
 from twintrail.operators.ranks import dense_index
+from twintrail.session import spread
 
 LANGUAGES = "array('Java','JavaScript','Go','Python')"
 FOLDERS = "array('src','test','config','dto','migrations','src/main','specs','src/lib')"
@@ -24,8 +25,12 @@ IDS_PER_CHUNK = 65536
 PARTS_PER_CHUNK = 1_000_000
 
 
+SPREAD_BY = {"lineitem": "l_orderkey", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, SPREAD_BY[name]) if name in SPREAD_BY else rows
 
 
 # --- fragments out of order lines (volume) ---------------------------------------------
@@ -33,11 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched fragments: an order is a clone set, a part is a file, a supplier names the service."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(
+    # Numbered on the narrow integer key first; names are spelt out afterwards.
+    order = [F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_extendedprice")]
+    chunk = F.floor(F.col("l_partkey") / PARTS_PER_CHUNK)
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"
+    )
+    return dense_index(lines, ["l_orderkey"], order, chunk, "fragment_index").selectExpr(
         "concat('shop', l_orderkey % 5) AS project",
         f"element_at({LANGUAGES}, CAST(l_orderkey % 4 AS INT) + 1) AS language",
-        "CAST(l_orderkey AS STRING) AS clone_id",
-        "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice",
+        "CAST(l_orderkey AS STRING) AS clone_id", "fragment_index",
         f"concat('mod', l_partkey % 7, '/', element_at({FOLDERS}, CAST(l_partkey % 8 AS INT) + 1), '/f', l_partkey,"
         f" element_at({ENDINGS}, CAST(l_partkey % 5 AS INT) + 1)) AS file_path",
         "l_partkey AS file_id",
@@ -47,10 +57,7 @@ def order_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array_compact(array("
         "CASE WHEN l_discount < 0.075 THEN concat('q', year(l_shipdate), '-', quarter(l_shipdate)) END,"
         "CASE WHEN l_tax > 0.035 THEN concat('y', year(l_shipdate)) END)) AS modified_commits",
-    )
-    order = [F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_extendedprice")]
-    chunk = F.floor(F.col("l_partkey") / PARTS_PER_CHUNK)
-    return dense_index(rows, SET_KEYS, order, chunk, "fragment_index").select(
+    ).select(
         *SET_KEYS, "fragment_index", "file_path", "file_id", "service", "start_line",
         (F.col("start_line") + F.col("line_count") - 1).alias("end_line"), "line_count",
         paths.file_type("file_path").alias("file_type"), "modified_commits",
