@@ -109,14 +109,14 @@ def j6_set_services(spark, d):
     return metrics.set_services(T.order_fragments(spark, d)).withColumn("services", F.array_join("services", ","))
 
 
-@query("a27_mean_positive_roc", "SELECT project, round_even(coalesce(avg(roc) FILTER (roc > 0), 0.0), 9) AS average_clone_ratio FROM o_service_metrics GROUP BY ALL")
+@query("a27_mean_positive_roc", "SELECT project, round_even(coalesce(avg(roc) FILTER (roc > 0), 0.0), 12) AS average_clone_ratio FROM o_service_metrics GROUP BY ALL")
 def a27_mean_positive_roc(spark, d):
     return metrics.mean_positive_roc(a2_service_metrics(spark, d))
 
 
 @query("a40_metric_kpis", """SELECT * FROM (SELECT project, language, count(*) AS clone_sets, count(*) FILTER (service_count >= 2) AS inter_clone_sets,
   count(*) FILTER (comod_count > 0) AS comod_clone_sets FROM o_set_metrics GROUP BY ALL)
-  LEFT JOIN (SELECT project, language, count(*) AS services, CAST(sum(total_clone_line_count) AS BIGINT) AS clone_lines, round_even(avg(roc), 9) AS mean_roc
+  LEFT JOIN (SELECT project, language, count(*) AS services, CAST(sum(total_clone_line_count) AS BIGINT) AS clone_lines, round_even(avg(roc), 12) AS mean_roc
   FROM o_service_metrics GROUP BY ALL) USING (project, language)""")
 def a40_metric_kpis(spark, d):
     return metrics.metric_kpis(a2_service_metrics(spark, d), a3_clone_set_metrics(spark, d))

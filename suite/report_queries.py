@@ -134,19 +134,19 @@ def a21_comodification_rate(spark, d):
     return reports.comodification_rate(reports.comodified_set_flags(_located(spark, d)))
 
 
-@query("a22_ratio_summary", f"""SELECT category, count(*) AS n, round_even(avg(clone_ratio), 9) AS mean, round_even(var_pop(clone_ratio), 9) AS variance, round_even(median(clone_ratio), 9) AS median,
+@query("a22_ratio_summary", f"""SELECT category, count(*) AS n, round_even(avg(clone_ratio), 12) AS mean, round_even(var_pop(clone_ratio), 12) AS variance, round_even(median(clone_ratio), 12) AS median,
   min(clone_ratio) AS min, max(clone_ratio) AS max FROM ({_TOUCHED}) GROUP BY ALL""")
 def a22_ratio_summary(spark, d):
     return reports.summarize(_touched(spark, d), "clone_ratio", ["category"])
 
 
-@query("a24_ratio_quartiles", f"""SELECT category, count(*) AS n, min(clone_ratio) AS low, round_even(quantile_cont(clone_ratio, 0.25), 9) AS q1, round_even(quantile_cont(clone_ratio, 0.5), 9) AS median,
-  round_even(quantile_cont(clone_ratio, 0.75), 9) AS q3, max(clone_ratio) AS high FROM ({_TOUCHED}) GROUP BY ALL""")
+@query("a24_ratio_quartiles", f"""SELECT category, count(*) AS n, min(clone_ratio) AS low, round_even(quantile_cont(clone_ratio, 0.25), 12) AS q1, round_even(quantile_cont(clone_ratio, 0.5), 12) AS median,
+  round_even(quantile_cont(clone_ratio, 0.75), 12) AS q3, max(clone_ratio) AS high FROM ({_TOUCHED}) GROUP BY ALL""")
 def a24_ratio_quartiles(spark, d):
     return reports.quartiles(_touched(spark, d), "clone_ratio", ["category"])
 
 
-@query("a53_run_time_quartiles", """SELECT o_orderpriority AS tool, count(*) AS n, min(t) AS low, round_even(quantile_cont(t, 0.25), 9) AS q1, round_even(quantile_cont(t, 0.5), 9) AS median, round_even(quantile_cont(t, 0.75), 9) AS q3, max(t) AS high
+@query("a53_run_time_quartiles", """SELECT o_orderpriority AS tool, count(*) AS n, min(t) AS low, round_even(quantile_cont(t, 0.25), 12) AS q1, round_even(quantile_cont(t, 0.5), 12) AS median, round_even(quantile_cont(t, 0.75), 12) AS q3, max(t) AS high
   FROM (SELECT o_orderpriority, floor(o_totalprice / 10) AS t FROM orders) GROUP BY ALL""")
 def a53_run_time_quartiles(spark, d):
     rows = T.table(spark, d, "orders").selectExpr("o_orderpriority AS tool", "CAST(floor(o_totalprice / 10) AS DOUBLE) AS t")

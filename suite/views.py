@@ -183,7 +183,7 @@ VIEWS: dict[str, str] = {
         SELECT project, language, file_id, file_path, service, unnest(string_split(text, chr(10))) AS line,
           generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no FROM text_files""",
     "text_fragments": f"""
-        SELECT t.*, list_distinct(list_transform(list_filter(coalesce(h.modification, []), lambda m: m.type = 'modified'), lambda m: m."commit")) AS modified_commits,
+        SELECT t.*, list_sort(list_distinct(list_transform(list_filter(coalesce(h.modification, []), lambda m: m.type = 'modified'), lambda m: m."commit"))) AS modified_commits,
           len(list_distinct(list_transform(list_filter(coalesce(h.modification, []), lambda m: m.type = 'modified'), lambda m: m."commit")))::INT AS modified_count,
           h.modification FROM (
         SELECT project, language, md5(line) AS clone_id, file_id, file_path, service, line_no AS start_line, line_no AS end_line, 1 AS line_count,

@@ -264,7 +264,7 @@ def metric_kpis(service: DataFrame, clone_set: DataFrame) -> DataFrame:
     services = service.groupBy(*PROJECT_KEYS).agg(
         F.count(F.lit(1)).alias("services"),
         F.sum("total_clone_line_count").cast("bigint").alias("clone_lines"),
-        F.bround(F.avg("roc"), 9).alias("mean_roc"),
+        F.bround(F.avg("roc"), 12).alias("mean_roc"),
     )
     return sets.join(services, PROJECT_KEYS, "left")
 
@@ -272,7 +272,7 @@ def metric_kpis(service: DataFrame, clone_set: DataFrame) -> DataFrame:
 def mean_positive_roc(service: DataFrame) -> DataFrame:
     """Mean of the positive clone ratios of a project."""
     return service.groupBy("project").agg(
-        F.bround(F.coalesce(F.avg(F.when(F.col("roc") > 0, F.col("roc"))), F.lit(0.0)), 9).alias("average_clone_ratio")
+        F.bround(F.coalesce(F.avg(F.when(F.col("roc") > 0, F.col("roc"))), F.lit(0.0)), 12).alias("average_clone_ratio")
     )
 
 

@@ -100,8 +100,8 @@ def summarize(df: DataFrame, value: str, by: list[str] | None = None) -> DataFra
     """n, mean, population variance, median, minimum and maximum."""
     v = F.col(value)
     aggs = [
-        F.count(v).alias("n"), F.bround(F.avg(v), 9).alias("mean"), F.bround(F.var_pop(v), 9).alias("variance"),
-        F.bround(F.median(v), 9).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.count(v).alias("n"), F.bround(F.avg(v), 12).alias("mean"), F.bround(F.var_pop(v), 12).alias("variance"),
+        F.bround(F.median(v), 12).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"),
     ]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
@@ -111,7 +111,7 @@ def quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     points = F.percentile(value, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]), F.col("_n"))
     return counts.groupBy(*by).agg(points.alias("p"), F.sum("_n").cast("bigint").alias("n")).select(
-        *by, "n", *[F.bround(F.col("p")[i], 9).alias(name) for i, name in enumerate(("low", "q1", "median", "q3", "high"))]
+        *by, "n", *[F.bround(F.col("p")[i], 12).alias(name) for i, name in enumerate(("low", "q1", "median", "q3", "high"))]
     )
 
 
