@@ -12,6 +12,7 @@ from twintrail.functions.labels import category_of_codebase
 from twintrail.functions.paths import is_test_path
 from twintrail.operators.ranks import dense_index
 from twintrail.operators.services import first_codebase
+from twintrail.session import staged
 
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"
 FILES_PER_CHUNK = 65536
@@ -77,14 +78,16 @@ def token_windows(
         .withColumn("at", F.transform("tokens", lambda t: t["l"]))
         .select(*PROJECT_KEYS, "file_id", "at", F.transform(starts, digest).alias("d"))
     )
+    # Neighbours are kept as 64-bit keys: fixed-width values stay in hash aggregation.
+    keyed = hashed.withColumn("k", F.transform("d", lambda h: F.xxhash64(h)))
     rows = F.transform(
         "d",
         lambda h, i: F.struct(
-            h.alias("h"), F.get("d", i - 1).alias("before"), F.get("d", i + 1).alias("after"),
+            h.alias("h"), F.get("k", i - 1).alias("before"), F.get("k", i + 1).alias("after"),
             F.get("at", i).alias("first_line"), F.get("at", i + (min_tokens - 1)).alias("last_line"),
         ),
     )
-    return hashed.select(*PROJECT_KEYS, "file_id", F.posexplode(rows).alias("pos", "w")).select(
+    return keyed.select(*PROJECT_KEYS, "file_id", F.posexplode(rows).alias("pos", "w")).select(
         *PROJECT_KEYS, "file_id", "pos", "w.*"
     )
 
@@ -107,14 +110,18 @@ def clone_fragments(
         agree = (F.min(column) == F.max(column)) & (F.count(column) == F.count(F.lit(1)))
         return F.when(agree, F.min(column))
 
-    classes = (
+    # Repeated classes are few beside the windows; staged, they are counted only once.
+    classes = staged(
         windows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("copies"), only("before").alias("prior"), only("after").alias("next"))
         .filter(F.col("copies") >= 2)
     )
-    forward = classes.select(*PROJECT_KEYS, F.col("h").alias("prior"), F.col("next").alias("_next"))
-    linked = classes.join(forward, [*PROJECT_KEYS, "prior"], "left").select(
-        *keys, (~F.coalesce(F.col("_next") == F.col("h"), F.lit(False))).alias("opens")
+    # A link has to hold from both ends, so the two keys are compared together.
+    named = classes.withColumn("key", F.xxhash64("h"))
+    forward = named.select(*PROJECT_KEYS, F.col("key").alias("prior"), F.col("next").alias("key")).filter("key IS NOT NULL")
+    joins = forward.distinct().withColumn("joins", F.lit(True))
+    linked = named.join(joins, [*PROJECT_KEYS, "prior", "key"], "left").select(
+        *keys, F.col("joins").isNull().alias("opens")
     )
     order = W.partitionBy(*PROJECT_KEYS, "file_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     fragments = (
