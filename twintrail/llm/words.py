@@ -45,6 +45,15 @@ class Powers:
 POWERS = Powers()
 
 
+def powers_down(n: int) -> np.ndarray:
+    return POWERS.upto(n)[1]
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """The random odd number that stands for each byte."""
+    return _LETTERS[data]
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets of the rows in them) of whole texts; null texts are empty."""
     wide = pa.types.is_large_string(texts.type)
