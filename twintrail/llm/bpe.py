@@ -11,6 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from twintrail.llm.common import whole_text
 
@@ -220,15 +221,11 @@ def decode_documents(encoded: DataFrame, ranks_file: str, pattern: str) -> DataF
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, ranks_file: str, pattern: str, decoded_text: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, ids decoded again in the same task.
-
-    With ``decoded_text`` all columns of ``docs`` come back instead, the text being the decoded one
-    (null stays null), which a table of token counts would otherwise have to be joined with.
-    """
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, the ids decoded again in the same task."""
     file, key = _shared(docs, ranks_file, pattern)
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(file, key, pattern)
         for batch in batches:
             sizes, id_digests, digests = [], [], []
@@ -243,13 +240,26 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str, decoded_text: boo
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+    """``docs`` with ``n_tokens`` and ``token_ids``, and as ``text`` what the ids decode to; no shuffle.
+
+    A null text stays null and has no tokens. Columns of the new names are replaced; all others
+    are handed on.
+    """
+    file, key = _shared(docs, ranks_file, pattern)
+    docs = docs.drop("n_tokens", "token_ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(file, key, pattern)
         for batch in batches:
-            decoded = [None if t is None else coder.decode(coder.encode(t)).decode("utf-8") for t in batch["text"].to_pylist()]
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(decoded, batch.schema.field(at).type))
+            ids = [coder.encode(t or "") for t in batch["text"].to_pylist()]
+            texts = [coder.decode(i).decode("utf-8") if known else None for i, known in zip(ids, batch["text"].is_valid().to_pylist())]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch.append_column("n_tokens", pa.array(list(map(len, ids)), pa.int64())).append_column("token_ids", pa.array(ids, pa.list_(pa.int32())))
 
-    if decoded_text:
-        return docs.mapInArrow(texts, docs.schema)
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = docs.withColumn("n_tokens", F.lit(None).cast("long")).withColumn("token_ids", F.lit(None).cast("array<int>")).schema
+    return docs.mapInArrow(run, schema)

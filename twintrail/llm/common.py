@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,21 @@ def hold(df: DataFrame) -> DataFrame:
     return staged(df)
 
 
+def release(*held: DataFrame) -> None:
+    """Delete tables made by hold() that nothing reads any more, and let Spark drop shuffle files of finished stages.
+
+    Call it after the table that was made from them is held itself.
+    """
+    spark = held[0].sparkSession
+    for df in held:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    # Shuffle files go when the driver's JVM finds that nothing refers to them.
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def reachable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package where it is installed at the driver's path but not on theirs."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

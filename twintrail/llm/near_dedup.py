@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twintrail.llm.common import hold
+from twintrail.llm.common import ROW, hold, numbered, release
 from twintrail.llm.components import components
 from twintrail.llm.words import PLACES, chunks, mixed, run_hashes, word_hashes
 
@@ -75,14 +75,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             second.append(d[1])
             codes.append(signature(found) if len(found) else np.zeros(CHUNKS, np.int64))
         table = np.array(codes, np.int64).reshape(-1, CHUNKS)
-        columns = [batch["doc_id"], *(pa.array(x, pa.int64()) for x in (sizes, first, second)), *(pa.array(np.ascontiguousarray(table[:, c])) for c in range(CHUNKS))]
-        yield pa.record_batch(columns, ["doc_id", "n_shingles", "d0", "d1", *CODES])
+        columns = [batch[ROW], batch["doc_id"], *(pa.array(x, pa.int64()) for x in (sizes, first, second)), *(pa.array(np.ascontiguousarray(table[:, c])) for c in range(CHUNKS))]
+        yield pa.record_batch(columns, [ROW, "doc_id", "n_shingles", "d0", "d1", *CODES])
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, d0, d1, code0 .. code15) of each text: set size, set digest, signature."""
-    schema = ", ".join(f"{c} long" for c in ["doc_id", "n_shingles", "d0", "d1", *CODES])
-    return docs.select("doc_id", "text").mapInArrow(_features, schema)
+    """(_row, doc_id, n_shingles, d0, d1, code0 .. code15) of each text: set size, set digest, signature."""
+    schema = ", ".join(f"{c} long" for c in [ROW, "doc_id", "n_shingles", "d0", "d1", *CODES])
+    return numbered(docs.select("doc_id", "text")).select(ROW, "doc_id", "text").mapInArrow(_features, schema)
 
 
 def chunk_keys() -> Column:
@@ -150,7 +150,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+    """(_row, doc_id, n_shingles, component_id, kept) of every row of ``docs``, a stored table.
 
     Two texts are linked when 100 * shared >= 75 * all of their distinct 5-word shingles. The
     component is the smallest doc_id that links lead to; that row is kept.
@@ -194,6 +194,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+    release(wanted)
 
     info = nodes.select("node", "n_shingles", *CODES)
     star = met.where("node <> lead").select("lead", "node").distinct().alias("s")
@@ -218,9 +219,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     labels = nodes.select("d0", "d1", "doc_id", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(lowest, "component").select("d0", "d1", "component_id")
-    linked = told.select("doc_id", "n_shingles", "d0", "d1").join(named, ["d0", "d1"], "left")
+    linked = told.select(ROW, "doc_id", "n_shingles", "d0", "d1").join(named, ["d0", "d1"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
-    return linked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    return linked.select(ROW, "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 #: Let Spark's run-time filter go before the join that fetches texts, whatever the table's size.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintrail.llm import bpe, decontaminate, exact_dedup, html_text, lm_score, near_dedup, sharding, toxicity, url_filter
+from twintrail.llm import bpe, decontaminate, exact_dedup, html_text, lm_score, near_dedup, sharding, suffix_dedup, toxicity, url_filter
 from twintrail.llm.common import ROW, reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,9 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return removed.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op2_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop(ROW)
 
 
 @query("op3_decontamination")

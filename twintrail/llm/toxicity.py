@@ -129,15 +129,15 @@ def measure(text: str, weights: Weights) -> list[float]:
 
 
 def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """``docs`` with ``features`` of its ``text``; no shuffle."""
+    """``docs`` with ``_features`` of its ``text``; no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # LEXICON_SIZE entries at most
-    schema = docs.withColumn("features", F.array(F.lit(0.0))).schema
+    schema = docs.withColumn("_features", F.array(F.lit(0.0))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(sent.value)
         for batch in batches:
             rows = pa.array([measure(t or "", weights) for t in batch["text"].to_pylist()], pa.list_(pa.float64()))
-            yield batch.append_column("features", rows)
+            yield batch.append_column("_features", rows)
 
     return docs.mapInArrow(run, schema)
 
@@ -150,18 +150,17 @@ class Toxicity:
     trees: GBTClassificationModel | None
     calibration: IsotonicRegressionModel | None
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (with ``text``) and ``score`` from 0 to 1; null texts count as empty."""
-        rows = with_features(docs, self.lexicon)
+    def score(self, docs: DataFrame, into: str = "score") -> DataFrame:
+        """``docs`` (with ``text``) and a score from 0 to 1 in column ``into``; null texts count as empty."""
         if self.trees is None:
-            return rows.withColumn("score", F.lit(0.0)).drop("features")
-        rows = _margins(self.trees, rows)
-        return rows.withColumn("score", _calibrated(F.col("margin"), self.calibration)).drop("features", "margin")
+            return docs.withColumn(into, F.lit(0.0))
+        rows = _margins(self.trees, with_features(docs, self.lexicon))
+        return rows.withColumn(into, _calibrated(F.col("_margin"), self.calibration)).drop("_features", "_margin")
 
 
 def _margins(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
-    out = trees.transform(rows.withColumn("vector", array_to_vector("features")))
-    return out.withColumn("margin", vector_to_array("rawPrediction")[1]).drop("vector", "rawPrediction", "probability", "prediction")
+    out = trees.transform(rows.withColumn("_vector", array_to_vector("_features")))
+    return out.withColumn("_margin", vector_to_array("_raw")[1]).drop("_vector", "_raw", "_probability", "_prediction")
 
 
 def _calibrated(margin: Column, model: IsotonicRegressionModel) -> Column:
@@ -195,9 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, t
         return Toxicity({}, None, None)
     features = hold(with_features(rows.select("text", "label", "calibrates"), lexicon).drop("text"))
     booster = GBTClassifier(
-        featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=DEPTH, stepSize=0.2, subsamplingRate=0.8, seed=SEED, minInstancesPerNode=4, cacheNodeIds=False, checkpointInterval=-1
+        featuresCol="_vector", labelCol="label", rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction", maxIter=trees, maxDepth=DEPTH, stepSize=0.2, subsamplingRate=0.8, seed=SEED, minInstancesPerNode=4, cacheNodeIds=False, checkpointInterval=-1
     )
-    trained = booster.fit(features.where("NOT calibrates").withColumn("vector", array_to_vector("features")).select("vector", F.col("label").cast("double").alias("label")))
+    trained = booster.fit(features.where("NOT calibrates").withColumn("_vector", array_to_vector("_features")).select("_vector", F.col("label").cast("double").alias("label")))
     apart = _margins(trained, features.where("calibrates"))
-    calibration = IsotonicRegression(featuresCol="margin", labelCol="label").fit(apart.select("margin", F.col("label").cast("double").alias("label")))
+    calibration = IsotonicRegression(featuresCol="_margin", labelCol="label").fit(apart.select("_margin", F.col("label").cast("double").alias("label")))
     return Toxicity(lexicon, trained, calibration)
