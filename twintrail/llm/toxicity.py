@@ -194,8 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, t
         return Toxicity({}, None, None)
     features = hold(with_features(rows.select("text", "label", "calibrates"), lexicon).drop("text"))
     booster = GBTClassifier(
-        featuresCol="_vector", labelCol="label", rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_prediction", maxIter=trees, maxDepth=DEPTH, stepSize=0.2, subsamplingRate=0.8, seed=SEED, minInstancesPerNode=4, cacheNodeIds=False, checkpointInterval=-1
+        featuresCol="_vector", labelCol="label", predictionCol="_prediction", maxIter=trees, maxDepth=DEPTH, stepSize=0.2, subsamplingRate=0.8, seed=SEED, minInstancesPerNode=4, cacheNodeIds=False, checkpointInterval=-1
     )
+    booster = booster.setRawPredictionCol("_raw").setProbabilityCol("_probability")
     trained = booster.fit(features.where("NOT calibrates").withColumn("_vector", array_to_vector("_features")).select("_vector", F.col("label").cast("double").alias("label")))
     apart = _margins(trained, features.where("calibrates"))
     calibration = IsotonicRegression(featuresCol="_margin", labelCol="label").fit(apart.select("_margin", F.col("label").cast("double").alias("label")))
