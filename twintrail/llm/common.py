@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import gc
 import os
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintrail.session import staged
+from twintrail.session import ensure_checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Names one row of a stored table; the same on each read of the same files.
@@ -36,7 +38,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def hold(df: DataFrame) -> DataFrame:
     """The rows as a table in the folder that driver and executors share; cuts the lineage."""
-    return staged(df)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/held-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(*held: DataFrame) -> None:
@@ -44,18 +48,27 @@ def release(*held: DataFrame) -> None:
 
     Call it after the table that was made from them is held itself.
     """
-    spark = held[0].sparkSession
+    spark = SparkSession.getActiveSession()
     for df in held:
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    # Shuffle files go when the driver's JVM finds that nothing refers to them.
+    # Shuffle files go when the driver's JVM finds that nothing refers to them; what Python let go
+    # of, it sees at the second look.
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(3):
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
+#: Rows that a Python worker gets at once. Texts are long, and a batch is held on both sides.
+ARROW_ROWS, ARROW_BYTES = 400, 8 << 20
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it is installed at the driver's path but not on theirs."""
+    """Let Python workers import this package where it is installed at the driver's path but not on theirs, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

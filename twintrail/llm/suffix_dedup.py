@@ -79,18 +79,19 @@ def suffix_order(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> t
     transform = symbols[offsets[1:] - 1]
     place = offsets[1:].astype(np.int32)
     common = np.zeros(m, np.uint8)
-    latest = np.arange(m)
+    # Entries of the last round, in order, and whose they are.
+    latest, strings = np.arange(m), np.arange(m)
     for length in range(1, int(sizes.max(initial=0)) + 1):
-        active = np.flatnonzero(sizes >= length)
         n = len(transform)
         order = np.argsort(transform, kind="stable")
-        done = m - len(active)  # entries of strings that are all in: no symbol in front
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n) + (m - done)
-        at = rank[latest[active]]
-        by_rank = np.argsort(at)
-        at, strings = at[by_rank], active[by_rank]
-        latest[strings] = at
+        going = transform[latest] > 0
+        latest, strings = latest[going], strings[going]
+        done = m - len(latest)  # entries of strings that are all in: no symbol in front
+        new = np.zeros(n, bool)
+        new[latest] = True
+        turn = np.flatnonzero(new[order])
+        strings = strings[np.searchsorted(latest, order[turn])]
+        at = turn + (m - done)
         start = offsets[strings + 1] - length
         before = np.where(start > offsets[strings], symbols[np.maximum(start - 1, 0)], 0).astype(np.uint8)
 
@@ -103,13 +104,13 @@ def suffix_order(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> t
         # New entries and those right behind them: one more than what the suffixes behind their first symbol have in common.
         fresh = np.zeros(len(old) + 1, bool)
         fresh[at] = fresh[at + 1] = True
-        at = np.flatnonzero(fresh[:-1])
-        here = order[at - (m - done)]
-        previous = order[np.maximum(at - (m - done) - 1, 0)]
-        same = (at - (m - done) > done) & (transform[here] == transform[previous])
-        prefix[at] = 0
-        prefix[at[same]] = np.minimum(_range_minimum(common, previous[same] + 1, here[same]), depth - 1) + 1
-        transform, place, common = again, places, prefix
+        touched = np.flatnonzero(fresh[:-1])
+        turn = touched - (m - done)
+        here, previous = order[turn], order[np.maximum(turn - 1, 0)]
+        same = (turn > done) & (transform[here] == transform[previous])
+        prefix[touched] = 0
+        prefix[touched[same]] = np.minimum(_range_minimum(common, previous[same] + 1, here[same]), depth - 1) + 1
+        transform, place, common, latest = again, places, prefix, at
     return place, common
 
 
@@ -145,29 +146,37 @@ def lowest_of_windows(data: np.ndarray, offsets: np.ndarray, low: np.ndarray, de
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = batch[ROW].to_numpy()
+        ids = batch["doc_id"].to_numpy()
         for first, data, offsets in chunks(batch["text"]):
             text, _, _, anchor = anchor_runs(data, offsets)
-            yield pa.record_batch([pa.array(anchor), pa.array(rows[first + text])], ["anchor", ROW])
+            yield pa.record_batch([pa.array(anchor), pa.array(ids[first + text])], ["anchor", "doc_id"])
+
+
+def _told_apart(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """One number for a text of a chunk and an anchor; two pairs that share one cost some work, nothing else."""
+    return mixed(text.astype(np.uint64)) ^ anchor.view(np.uint64)
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, ids = batch[ROW].to_numpy(), batch["doc_id"].to_numpy()
-        wanted = batch["anchors"]
-        values, cuts = wanted.flatten().to_numpy(), np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy())])
+        lists, first_lists = batch["anchors"], batch["firsts"]
         for first, data, offsets in chunks(batch["text"]):
-            text, start, n, anchor = anchor_runs(data, offsets)
-            keep = np.zeros(len(text), bool)
-            edges = np.searchsorted(text, np.arange(len(offsets)))
-            for i in range(len(offsets) - 1):
-                keep[edges[i] : edges[i + 1]] = np.isin(anchor[edges[i] : edges[i + 1]], values[cuts[first + i] : cuts[first + i + 1]])
-            text, start, n, anchor = text[keep], start[keep], n[keep], anchor[keep]
+            n = len(offsets) - 1
+            text, start, windows, anchor = anchor_runs(data, offsets)
+            known = []
+            for column in (lists, first_lists):
+                own = column.slice(first, n)
+                known.append(_told_apart(np.repeat(np.arange(n), own.value_lengths().to_numpy()), own.flatten().to_numpy()))
+            here = _told_apart(text, anchor)
+            later = np.isin(here, known[0])
+            keep = np.flatnonzero(later | np.isin(here, known[1]))
+            text, start, windows, anchor = text[keep], start[keep], windows[keep], anchor[keep]
             raw = data.tobytes()
-            pieces = [raw[a:b] for a, b in zip(start.tolist(), (start + n + DEPTH - 1).tolist())]
+            pieces = [raw[a:b] for a, b in zip(start.tolist(), (start + windows + DEPTH - 1).tolist())]
             yield pa.record_batch(
-                [pa.array(rows[first + text]), pa.array(ids[first + text]), pa.array((start - offsets[text]).astype(np.int64)), pa.array(anchor), pa.array(pieces, pa.binary())],
-                [ROW, "doc_id", "at", "anchor", "string"],
+                [pa.array(rows[first + text]), pa.array(ids[first + text]), pa.array((start - offsets[text]).astype(np.int64)), pa.array(anchor), pa.array(later[keep]), pa.array(pieces, pa.binary())],
+                [ROW, "doc_id", "at", "anchor", "later", "string"],
             )
 
 
@@ -182,7 +191,15 @@ def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         low, high = table["low"].to_numpy(), table["high"].to_numpy()
-        lowest = lowest_of_windows(data, offsets, low)
+        lowest = np.repeat(low, np.diff(offsets))
+        # A string that is alone with its anchor has nothing to be ordered with.
+        anchors = table["anchor"].to_numpy()
+        alike = anchors[1:] == anchors[:-1]
+        company = np.append(alike, False) | np.append(False, alike)
+        if company.any():
+            inside = np.repeat(company, np.diff(offsets))
+            cuts = np.append(0, np.cumsum(np.diff(offsets)[company]))
+            lowest[inside] = lowest_of_windows(data[inside], cuts, low[company])
         owner = np.repeat(np.arange(len(strings)), np.diff(offsets))
         at = np.arange(len(data)) - offsets[owner]
         useful = (at + DEPTH <= np.diff(offsets)[owner]) & (lowest < high[owner])
@@ -225,20 +242,27 @@ def covered(docs: DataFrame) -> DataFrame:
     """(_row, spans): the bytes, as [first, end) and perhaps overlapping, of each row of ``docs`` (_row, doc_id, text) that has some to remove."""
     texts = docs.where("doc_id IS NOT NULL").select(ROW, "doc_id", whole_text().alias("text"))
 
-    # Anchors that more than one row has. A frequent anchor is one row for each text, and Spark spills it.
-    anchors = texts.select(ROW, "text").mapInArrow(_anchors, f"anchor long, {ROW} long")
+    # Anchors that texts of different ids have, by id; the smallest id of an anchor has nothing to
+    # lose there. A frequent anchor is one row for each text, and Spark spills it.
+    anchors = texts.select("doc_id", "text").mapInArrow(_anchors, "anchor long, doc_id long")
     together = Window.partitionBy("anchor")
-    shared = anchors.withColumn("one", F.min(ROW).over(together)).withColumn("other", F.max(ROW).over(together)).where("one <> other")
-    shared = hold(shared.select(ROW, "anchor"))
+    shared = anchors.withColumn("low", F.min("doc_id").over(together)).withColumn("high", F.max("doc_id").over(together)).where("low <> high")
+    lists = shared.groupBy("doc_id").agg(
+        F.collect_set(F.when(F.col("doc_id") > F.col("low"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("doc_id") == F.col("low"), F.col("anchor"))).alias("firsts")
+    )
+    lists = hold(lists)
+    release()
 
     # Strings around them, and each distinct one with the smallest and largest id that has it.
-    lists = shared.groupBy(ROW).agg(F.collect_set("anchor").alias("anchors"))
-    strings = hold(texts.join(lists, ROW).select(ROW, "doc_id", "text", "anchors").mapInArrow(_strings, f"{ROW} long, doc_id long, at long, anchor long, string binary"))
-    release(shared)
+    strings = texts.join(lists, "doc_id").select(ROW, "doc_id", "text", "anchors", "firsts")
+    strings = hold(strings.mapInArrow(_strings, f"{ROW} long, doc_id long, at long, anchor long, later boolean, string binary"))
+    release(lists)
     key0, key1 = F.xxhash64(F.lit(0), "string").alias("s0"), F.xxhash64(F.lit(1), "string").alias("s1")
     distinct = strings.groupBy("anchor", "string").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     distinct = hold(distinct.select("anchor", "string", "low", "high", key0, key1))
 
+    release()
+
     often = hold(distinct.groupBy("anchor").count().where(F.col("count") > MAX_STRINGS).select("anchor"))
     collections = distinct.join(often, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     runs = collections.mapInArrow(_collections, "s0 long, s1 long, first long, last long, low long")
@@ -252,28 +276,24 @@ def covered(docs: DataFrame) -> DataFrame:
     runs = hold(runs.unionByName(single))
     release(distinct)
 
-    found = strings.select(ROW, "doc_id", "at", key0, key1).join(runs, ["s0", "s1"]).where("low < doc_id")
+    found = strings.where("later").select(ROW, "doc_id", "at", key0, key1).join(runs, ["s0", "s1"]).where("low < doc_id")
     span = F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last") + DEPTH).alias("end"))
     spans = hold(found.groupBy(ROW).agg(F.collect_list(span).alias("spans")))
     release(strings, runs, often)
     return spans
 
 
-def _cut(text: str, spans: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of the text, and the maximal runs that go."""
-    data = text.encode("utf-8")
-    runs: list[list[int]] = []
-    for first, end in sorted((s["first"], s["end"]) for s in spans or ()):
-        if runs and first <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([first, end])
-    kept, at = [], 0
-    for first, end in runs:
-        kept.append(data[at:first])
-        at = end
-    kept.append(data[at:])
-    return b"".join(kept), [(a, b) for a, b in runs]
+def _union(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs of overlapping or touching spans."""
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(end[order])
+    new = np.append(True, first[1:] > end[:-1])
+    return first[new], end[np.append(new[1:], True)]
+
+
+def _cut(data: bytes, first: np.ndarray, end: np.ndarray) -> bytes:
+    """What is left of the text without the spans, which are in order."""
+    return b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*first.tolist(), len(data)]))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -292,10 +312,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [_cut(t, s) for t, s in zip(batch["text"].to_pylist(), batch["spans"].to_pylist())]
-            sizes = pa.array([len(k) + sum(b - a for a, b in r) for k, r in cut], pa.int64())
-            removed = pa.array([[{"first": a, "end": b} for a, b in r] for _, r in cut], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
-            yield pa.record_batch([batch["doc_id"], sizes, removed, pa.array([k for k, _ in cut], pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            spans = batch["spans"].fill_null([])
+            ends = np.append(0, np.cumsum(spans.value_lengths().to_numpy()))
+            flat = spans.flatten()
+            first, end = flat.field("first").to_numpy(), flat.field("end").to_numpy()
+            sizes, counts, firsts, lasts, kept = [], [], [], [], []
+            for i, text in enumerate(batch["text"]):
+                data = text.as_py().encode("utf-8")
+                sizes.append(len(data))
+                if ends[i] < ends[i + 1]:
+                    a, b = _union(first[ends[i] : ends[i + 1]], end[ends[i] : ends[i + 1]])
+                    firsts.append(a)
+                    lasts.append(b)
+                    counts.append(len(a))
+                    kept.append(_cut(data, a, b))
+                else:
+                    counts.append(0)
+                    kept.append(data)
+            cuts = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            runs = pa.StructArray.from_arrays([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])) for x in (firsts, lasts)], ["first", "end"])
+            yield pa.record_batch([batch["doc_id"], pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(cuts, runs), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
     return both.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<first: long, end: long>>, kept binary")
-
