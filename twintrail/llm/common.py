@@ -63,6 +63,8 @@ def release(*held: DataFrame) -> None:
 
 #: Rows that a Python worker gets at once. Texts are long, and a batch is held on both sides.
 ARROW_ROWS, ARROW_BYTES = 400, 8 << 20
+#: Python workers give large arrays back when they are done with them, so idle ones stay small.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20)}
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -71,6 +73,7 @@ def reachable(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    env.update(WORKER_MEMORY)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (root, env.get("PYTHONPATH", "")) if p)
     return spark

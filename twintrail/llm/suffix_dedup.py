@@ -26,8 +26,8 @@ DEPTH = 50
 ANCHOR_BYTES = 16
 #: A string has so many windows at most, so there are DEPTH + 63 rounds at most.
 MAX_WINDOWS = 64
-#: Collections are ordered together until they have so many bytes.
-BATCH_BYTES = 600_000
+#: Strings are taken in until they have so many bytes, and collections are ordered together up to so many.
+BATCH_BYTES, ORDER_BYTES = 2_500_000, 250_000
 #: An anchor with more distinct strings than this has its windows dealt one by one.
 MAX_STRINGS = 20_000
 
@@ -76,42 +76,42 @@ def suffix_order(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> t
     """
     m, sizes = len(offsets) - 1, np.diff(offsets)
     symbols = data.astype(np.uint8) + np.uint8(1)  # UTF-8 has no byte 255; 0 is the start of a string
-    transform = symbols[offsets[1:] - 1]
-    place = offsets[1:].astype(np.int32)
-    common = np.zeros(m, np.uint8)
+    # An entry holds the place, the common prefix and the symbol in front, from high bits to low.
+    entries = (offsets[1:] << 16) | symbols[offsets[1:] - 1]
     # Entries of the last round, in order, and whose they are.
     latest, strings = np.arange(m), np.arange(m)
     for length in range(1, int(sizes.max(initial=0)) + 1):
-        n = len(transform)
+        transform, common = entries.astype(np.uint8), (entries >> 8).astype(np.uint8)
         order = np.argsort(transform, kind="stable")
         going = transform[latest] > 0
         latest, strings = latest[going], strings[going]
         done = m - len(latest)  # entries of strings that are all in: no symbol in front
-        new = np.zeros(n, bool)
+        new = np.zeros(len(entries), bool)
         new[latest] = True
         turn = np.flatnonzero(new[order])
         strings = strings[np.searchsorted(latest, order[turn])]
         at = turn + (m - done)
         start = offsets[strings + 1] - length
-        before = np.where(start > offsets[strings], symbols[np.maximum(start - 1, 0)], 0).astype(np.uint8)
+        before = np.where(start > offsets[strings], symbols[np.maximum(start - 1, 0)], 0)
 
-        old = np.ones(n + len(at), bool)
+        old = np.ones(len(entries) + len(at), bool)
         old[at] = False
-        again, places, prefix = np.empty(len(old), np.uint8), np.empty(len(old), np.int32), np.empty(len(old), np.uint8)
-        again[old], places[old], prefix[old] = transform, place, common
-        again[at], places[at] = before, start
+        again = np.empty(len(old), np.int64)
+        again[old] = entries
+        again[at] = (start << 16) | before
 
         # New entries and those right behind them: one more than what the suffixes behind their first symbol have in common.
-        fresh = np.zeros(len(old) + 1, bool)
-        fresh[at] = fresh[at + 1] = True
-        touched = np.flatnonzero(fresh[:-1])
+        fresh = ~old
+        fresh[1:] |= ~old[:-1]
+        touched = np.flatnonzero(fresh)
         turn = touched - (m - done)
         here, previous = order[turn], order[np.maximum(turn - 1, 0)]
         same = (turn > done) & (transform[here] == transform[previous])
-        prefix[touched] = 0
-        prefix[touched[same]] = np.minimum(_range_minimum(common, previous[same] + 1, here[same]), depth - 1) + 1
-        transform, place, common, latest = again, places, prefix, at
-    return place, common
+        prefix = np.zeros(len(touched), np.int64)
+        prefix[same] = np.minimum(_range_minimum(common, previous[same] + 1, here[same]), depth - 1) + 1
+        again[touched] = (again[touched] & ~np.int64(0xFF00)) | (prefix << 8)
+        entries, latest = again, at
+    return entries >> 16, (entries >> 8).astype(np.uint8)
 
 
 def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -192,14 +192,23 @@ def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = offsets - offsets[0]
         low, high = table["low"].to_numpy(), table["high"].to_numpy()
         lowest = np.repeat(low, np.diff(offsets))
-        # A string that is alone with its anchor has nothing to be ordered with.
-        anchors = table["anchor"].to_numpy()
-        alike = anchors[1:] == anchors[:-1]
-        company = np.append(alike, False) | np.append(False, alike)
-        if company.any():
-            inside = np.repeat(company, np.diff(offsets))
-            cuts = np.append(0, np.cumsum(np.diff(offsets)[company]))
-            lowest[inside] = lowest_of_windows(data[inside], cuts, low[company])
+        sizes, anchors = np.diff(offsets), table["anchor"].to_numpy()
+        firsts = np.append(0, np.flatnonzero(anchors[1:] != anchors[:-1]) + 1)
+        counts = np.diff(np.append(firsts, len(anchors)))
+        # A string that is alone with its anchor has nothing to be ordered with. The others are
+        # ordered with strings about as long, since a collection has a round for each byte of its longest.
+        rounds = np.repeat(np.where(counts > 1, np.maximum.reduceat(sizes, firsts), 0), counts)
+        turn = np.argsort(rounds, kind="stable")
+        turn = turn[np.searchsorted(rounds[turn], 1) :]
+        ends = np.cumsum(sizes[turn])
+        while len(turn):
+            cut = int(np.searchsorted(ends, ends[0] + ORDER_BYTES))
+            while cut < len(turn) and anchors[turn[cut]] == anchors[turn[cut - 1]]:
+                cut += 1
+            own, turn, ends = turn[:cut], turn[cut:], ends[cut:]
+            cuts = np.append(0, np.cumsum(sizes[own]))
+            place = np.arange(cuts[-1]) + np.repeat(offsets[own] - cuts[:-1], sizes[own])
+            lowest[place] = lowest_of_windows(data[place], cuts, low[own])
         owner = np.repeat(np.arange(len(strings)), np.diff(offsets))
         at = np.arange(len(data)) - offsets[owner]
         useful = (at + DEPTH <= np.diff(offsets)[owner]) & (lowest < high[owner])

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken together until they have so many bytes; one text is never cut.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _RANDOM = np.random.Generator(np.random.PCG64(20_260_901))
 _LETTERS = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RANDOM.integers(1, 2**62)) * 2 + 1
