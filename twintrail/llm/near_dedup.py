@@ -28,6 +28,13 @@ _RANDOM = np.random.Generator(np.random.PCG64(75))
 _FLIP = _RANDOM.integers(0, 2**63, CHUNKS * SLOTS, dtype=np.uint64)
 _TIMES = _RANDOM.integers(0, 2**63, CHUNKS * SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CODES = [f"code{c}" for c in range(CHUNKS)]
+#: Before two nodes are compared on their sets, sketches of 256 further slots of 8 bits have to differ in
+#: at most 97: at a similarity of 0.75, 64 do, and more than 97 with chance 1e-6.
+SKETCH, MAX_SKETCH_DISTANCE = 256, 97
+_SKETCH_FLIP = _RANDOM.integers(0, 2**63, SKETCH, dtype=np.uint64)
+_SKETCH_TIMES = _RANDOM.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Nodes on one key that are compared by one task at once; more are dealt into blocks, and pairs of blocks are compared.
+BLOCK_NODES = 1024
 _SHIFT = np.uint64(64 - 8 * HASH_BYTES)
 
 
@@ -47,16 +54,26 @@ def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
             yield shingles(words[firsts[i] : firsts[i + 1]])
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The CHUNKS codes of a set: the smallest of its values under each of 64 hash functions, cut to BITS bits."""
-    low = np.full(CHUNKS * SLOTS, np.iinfo(np.uint64).max, np.uint64)
+def _minima(found: np.ndarray, flip: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The smallest of a set's values under each hash function, mixed."""
+    low = np.full(len(flip), np.iinfo(np.uint64).max, np.uint64)
     spread = mixed(found)
-    for at in range(0, len(spread), 4096):
-        np.minimum(low, ((spread[at : at + 4096, None] ^ _FLIP) * _TIMES).min(axis=0), out=low)
-    slots = (mixed(low) >> np.uint64(64 - BITS)).reshape(CHUNKS, SLOTS)
+    for at in range(0, len(spread), 1024):
+        np.minimum(low, ((spread[at : at + 1024, None] ^ flip) * times).min(axis=0), out=low)
+    return mixed(low)
+
+
+def signature(found: np.ndarray) -> np.ndarray:
+    """The CHUNKS codes of a set: its minima under 64 hash functions, cut to BITS bits."""
+    slots = (_minima(found, _FLIP, _TIMES) >> np.uint64(64 - BITS)).reshape(CHUNKS, SLOTS)
     return (slots << (np.arange(SLOTS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """The set's minima under SKETCH more hash functions, cut to 8 bits."""
+    return (_minima(found, _SKETCH_FLIP, _SKETCH_TIMES) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def digest(found: np.ndarray) -> tuple[int, int]:
     """Two sums over the set that tell sets apart, 128 bits."""
     if not len(found):
@@ -129,7 +146,8 @@ def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(sets_of(batch["text"]))
         both = [digest(x) for x in found]
         columns = [pa.array([d[0] for d in both], pa.int64()), pa.array([d[1] for d in both], pa.int64()), pa.array([_pack(x) for x in found], pa.binary())]
-        yield pa.record_batch(columns, ["d0", "d1", "shingles"])
+        columns.append(pa.array([sketch(x) for x in found], pa.binary()))
+        yield pa.record_batch(columns, ["d0", "d1", "shingles", "sketch"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +167,75 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): pairs of different components within the rows of one key and pair of blocks, which come together, that may be similar enough.
+
+    A pair that meets on several keys comes from the first of them only.
+    """
+    waiting: list[pa.RecordBatch] = []
+
+    def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, component, size, block = (table[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
+        key, low, high = (table[c][0].as_py() for c in ("key", "low", "high"))
+        codes = np.stack([table[c].to_numpy() for c in CODES], axis=1)
+        slots = np.ascontiguousarray(codes).view(np.uint16)
+        sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        tag = key >> BITS * (SLOTS - 1)
+        first, second = [], []
+        for i in range(len(node)):
+            others = np.flatnonzero((component != component[i]) & (node > node[i] if low == high else block > block[i]))
+            near = OF * np.minimum(size[others], size[i]) >= SIMILAR * np.maximum(size[others], size[i])
+            others = others[near]
+            others = others[(sketches[others] != sketches[i]).sum(axis=1) <= MAX_SKETCH_DISTANCE]
+            same = slots[others] == slots[i]
+            own = same.sum(axis=1) >= CHUNKS * SLOTS - MAX_DISTANCE
+            others, chunks_same = others[own], same[own].reshape(-1, CHUNKS, SLOTS)
+            if len(others):
+                meets = chunks_same.sum(axis=2) >= SLOTS - 1
+                at = meets.argmax(axis=1)
+                left_out = (~chunks_same[np.arange(len(others)), at]).argmax(axis=1)
+                others = others[at * SLOTS + left_out == tag]
+                first += [node[i]] * len(others)
+                second += node[others].tolist()
+        return np.array(first, np.int64), np.array(second, np.int64)
+
+    def finish(table: pa.Table) -> pa.RecordBatch:
+        marks = np.stack([table[c].to_numpy() for c in ("key", "low", "high")])
+        bounds = np.append(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, table.num_rows)
+        found, start = [], 0
+        for bound in bounds.tolist():
+            if bound - start > 1:
+                found.append(compare(table.slice(start, bound - start)))
+            start = bound
+        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # The last key may go on in the next batch: its rows wait.
+        table = pa.Table.from_batches([*waiting, batch])
+        last = [table[c][table.num_rows - 1].as_py() for c in ("key", "low", "high")]
+        same = np.logical_and.reduce([table[c].to_numpy() == v for c, v in zip(("key", "low", "high"), last)])
+        done = int(np.argmax(same))
+        if done:
+            yield finish(table.slice(0, done))
+        waiting = table.slice(done).to_batches()
+    if waiting:
+        yield finish(pa.Table.from_batches(waiting))
+
+
+def pairs_apart(placed: DataFrame, info: DataFrame) -> DataFrame:
+    """(a, b): pairs that meet on a key in ``placed`` (key, node, component), from different components, whose signatures and sketches are near."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count(F.lit(1)).alias("n")).where("one <> other")
+    blocks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
+    rows = placed.join(keys.select("key", blocks.alias("blocks")), "key").join(info, "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    rows = rows.select("key", "low", "high", "block", "node", "component", "n_shingles", "sketch", *CODES)
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_apart, "a long, b long")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(_row, doc_id, n_shingles, component_id, kept) of every row of ``docs``, a stored table.
 
@@ -160,8 +247,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     3. Each node is compared with its most similar first node of a key. This joins most of a
        large group of near copies, in as many comparisons as it has nodes.
     4. All other pairs that meet on a key, from different components of step 3, are compared,
-       unless set sizes or the whole signatures rule them out. So every pair within the
-       signature distance is either compared on its full sets or joined already.
+       unless set sizes, the whole signatures or a longer sketch rule them out. That is decided
+       where the key's nodes lie, in blocks, so that no row is made for a pair that is ruled
+       out. Every pair within the signature distance is compared on its full sets, joined
+       already, or surely not similar enough.
 
     A text without words has no shingle and is linked with nothing. Rows without a doc_id are
     linked with nothing either; their component is null and they are kept. Repeated rows share
@@ -178,6 +267,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     keys = nodes.select("node", F.explode(chunk_keys()).alias("key"))
     met = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = hold(keys.join(met.select("key", "lead"), "key"))
+    release()
 
     # The sets of all nodes that meet another one, from the text of one row each.
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "d0", "d1")
@@ -188,8 +278,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         spark.conf.set(k, v)
     try:
         texts = docs.select("doc_id", "text").join(wanted.where("node >= 0").select("doc_id").distinct(), "doc_id", "left_semi")
-        found = texts.select("text").mapInArrow(_packed_sets, "d0 long, d1 long, shingles binary")
-        sets = found.join(wanted.select("node", "d0", "d1"), ["d0", "d1"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+        found = texts.select("text").mapInArrow(_packed_sets, "d0 long, d1 long, shingles binary, sketch binary")
+        sets = found.join(wanted.select("node", "d0", "d1"), ["d0", "d1"]).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
         sets = hold(sets)
     finally:
         for k, v in before.items():
@@ -205,16 +295,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
         .where(F.col("possible") & (F.col("far") <= MAX_DISTANCE))
     )
     best = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    first_links = hold(confirmed(best, sets))
+    first_links = hold(confirmed(hold(best), sets))
     joined = components(first_links)
+    release()
 
     placed = met.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    rows = hold(placed.join(mixed_keys, "key", "left_semi").join(info, "node"))
-    x, y = rows.alias("x"), rows.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    other = x.join(y, apart & near_sizes("x", "y") & (distance("x", "y") <= MAX_DISTANCE)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = first_links.unionByName(confirmed(other, sets))
+    others = hold(pairs_apart(placed, info.join(sets.select("node", "sketch"), "node")))
+    release()
+    links = hold(first_links.unionByName(confirmed(others, sets)))
+    release(sets, met)
 
     labels = nodes.select("d0", "d1", "doc_id", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
