@@ -28,9 +28,11 @@ _RANDOM = np.random.Generator(np.random.PCG64(75))
 _FLIP = _RANDOM.integers(0, 2**63, CHUNKS * SLOTS, dtype=np.uint64)
 _TIMES = _RANDOM.integers(0, 2**63, CHUNKS * SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CODES = [f"code{c}" for c in range(CHUNKS)]
-#: Before two nodes are compared on their sets, sketches of 256 further slots of 8 bits have to differ in
-#: at most 97: at a similarity of 0.75, 64 do, and more than 97 with chance 1e-6.
-SKETCH, MAX_SKETCH_DISTANCE = 256, 97
+#: Before two nodes are compared on their sets, sketches of 512 further slots of 8 bits have to differ in
+#: at most 175: at a similarity of 0.75, 128 do on average, and more than 175 with chance 1e-6.
+SKETCH, MAX_SKETCH_DISTANCE = 512, 175
+#: The nearest node of another component is compared first if its sketch is so near.
+NEAREST_DISTANCE = 128
 _SKETCH_FLIP = _RANDOM.integers(0, 2**63, SKETCH, dtype=np.uint64)
 _SKETCH_TIMES = _RANDOM.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Nodes on one key that are compared by one task at once; more are dealt into blocks, and pairs of blocks are compared.
@@ -167,73 +169,88 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of different components within the rows of one key and pair of blocks, which come together, that may be similar enough.
+def _comparer(nearest: bool):
+    """A function over rows of (key, pair of blocks) that come together: pairs (a, b, far) of different components that may be similar enough.
 
-    A pair that meets on several keys comes from the first of them only.
+    With ``nearest``, for each node the one whose sketch is nearest. Else all of them, a pair
+    that meets on several keys from the first of these only.
     """
-    waiting: list[pa.RecordBatch] = []
+    marks = ("key", "low", "high")
 
-    def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def compare(table: pa.Table) -> tuple[list, list, list]:
         node, component, size, block = (table[c].to_numpy() for c in ("node", "component", "n_shingles", "block"))
-        key, low, high = (table[c][0].as_py() for c in ("key", "low", "high"))
-        codes = np.stack([table[c].to_numpy() for c in CODES], axis=1)
-        slots = np.ascontiguousarray(codes).view(np.uint16)
+        key, low, high = (table[c][0].as_py() for c in marks)
+        slots = np.ascontiguousarray(np.stack([table[c].to_numpy() for c in CODES], axis=1)).view(np.uint16)
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
         tag = key >> BITS * (SLOTS - 1)
-        first, second = [], []
+        first, second, far = [], [], []
         for i in range(len(node)):
-            others = np.flatnonzero((component != component[i]) & (node > node[i] if low == high else block > block[i]))
-            near = OF * np.minimum(size[others], size[i]) >= SIMILAR * np.maximum(size[others], size[i])
-            others = others[near]
-            others = others[(sketches[others] != sketches[i]).sum(axis=1) <= MAX_SKETCH_DISTANCE]
-            same = slots[others] == slots[i]
-            own = same.sum(axis=1) >= CHUNKS * SLOTS - MAX_DISTANCE
-            others, chunks_same = others[own], same[own].reshape(-1, CHUNKS, SLOTS)
-            if len(others):
-                meets = chunks_same.sum(axis=2) >= SLOTS - 1
-                at = meets.argmax(axis=1)
-                left_out = (~chunks_same[np.arange(len(others)), at]).argmax(axis=1)
-                others = others[at * SLOTS + left_out == tag]
-                first += [node[i]] * len(others)
-                second += node[others].tolist()
-        return np.array(first, np.int64), np.array(second, np.int64)
+            apart = component != component[i]
+            if low != high:
+                apart &= (block != block[i]) if nearest else (block > block[i])
+            elif not nearest:
+                apart &= node > node[i]
+            others = np.flatnonzero(apart)
+            others = others[OF * np.minimum(size[others], size[i]) >= SIMILAR * np.maximum(size[others], size[i])]
+            distance = (sketches[others] != sketches[i]).sum(axis=1)
+            within = distance <= (NEAREST_DISTANCE if nearest else MAX_SKETCH_DISTANCE)
+            others, distance = others[within], distance[within]
+            if nearest and len(others):
+                best = np.lexsort((node[others], distance))[:1]
+                others, distance = others[best], distance[best]
+            elif len(others):
+                same = (slots[others] == slots[i]).reshape(-1, CHUNKS, SLOTS)
+                at = (same.sum(axis=2) >= SLOTS - 1).argmax(axis=1)
+                left_out = (~same[np.arange(len(others)), at]).argmax(axis=1)
+                own = (at * SLOTS + left_out == tag) & (same.sum(axis=(1, 2)) >= CHUNKS * SLOTS - MAX_DISTANCE)
+                others, distance = others[own], distance[own]
+            first += [node[i]] * len(others)
+            second += node[others].tolist()
+            far += distance.tolist()
+        return first, second, far
 
     def finish(table: pa.Table) -> pa.RecordBatch:
-        marks = np.stack([table[c].to_numpy() for c in ("key", "low", "high")])
-        bounds = np.append(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, table.num_rows)
-        found, start = [], 0
+        places = np.stack([table[c].to_numpy() for c in marks])
+        bounds = np.append(np.flatnonzero((places[:, 1:] != places[:, :-1]).any(axis=0)) + 1, table.num_rows)
+        columns, start = ([], [], []), 0
         for bound in bounds.tolist():
             if bound - start > 1:
-                found.append(compare(table.slice(start, bound - start)))
+                for column, found in zip(columns, compare(table.slice(start, bound - start))):
+                    column += found
             start = bound
-        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        # The last key may go on in the next batch: its rows wait.
-        table = pa.Table.from_batches([*waiting, batch])
-        last = [table[c][table.num_rows - 1].as_py() for c in ("key", "low", "high")]
-        same = np.logical_and.reduce([table[c].to_numpy() == v for c, v in zip(("key", "low", "high"), last)])
-        done = int(np.argmax(same))
-        if done:
-            yield finish(table.slice(0, done))
-        waiting = table.slice(done).to_batches()
-    if waiting:
-        yield finish(pa.Table.from_batches(waiting))
-
-
-def pairs_apart(placed: DataFrame, info: DataFrame) -> DataFrame:
-    """(a, b): pairs that meet on a key in ``placed`` (key, node, component), from different components, whose signatures and sketches are near."""
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["a", "b", "far"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last key may go on in the next batch: its rows wait.
+            ends = [[b[c][k].as_py() for c in marks] for b, k in ((batch, 0), (batch, batch.num_rows - 1))]
+            if waiting and ends[0] == ends[1] == [waiting[-1][c][waiting[-1].num_rows - 1].as_py() for c in marks]:
+                waiting.append(batch)
+                continue
+            table = pa.Table.from_batches([*waiting, batch])
+            same = np.logical_and.reduce([table[c].to_numpy() == v for c, v in zip(marks, ends[1])])
+            done = int(np.argmax(same))
+            if done:
+                yield finish(table.slice(0, done))
+            waiting = table.slice(done).to_batches()
+        if waiting:
+            yield finish(pa.Table.from_batches(waiting))
+
+    return run
+
+
+def pairs_apart(placed: DataFrame, info: DataFrame, nearest: bool = False) -> DataFrame:
+    """(a, b, far): pairs that meet on a key in ``placed`` (key, node, component), from different components, whose signatures and sketches are near."""
     keys = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count(F.lit(1)).alias("n")).where("one <> other")
     blocks = F.ceil(F.col("n") / BLOCK_NODES).cast("int")
     rows = placed.join(keys.select("key", blocks.alias("blocks")), "key").join(info, "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
     rows = rows.select("key", "low", "high", "block", "node", "component", "n_shingles", "sketch", *CODES)
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_apart, "a long, b long")
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_comparer(nearest), "a long, b long, far long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -244,8 +261,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     1. Texts with the same set are one node, so copies cost nothing further.
     2. Nodes whose signatures may be within the distance meet on one of 64 keys.
-    3. Each node is compared with its most similar first node of a key. This joins most of a
-       large group of near copies, in as many comparisons as it has nodes.
+    3. Each node is compared with its most similar first node of a key, and then with the most
+       similar node of a key that is in another component. This joins most of a large group of
+       near copies, in as many comparisons as it has nodes.
     4. All other pairs that meet on a key, from different components of step 3, are compared,
        unless set sizes, the whole signatures or a longer sketch rule them out. That is decided
        where the key's nodes lie, in blocks, so that no row is made for a pair that is ruled
@@ -277,7 +295,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     for k, v in BLOOM.items():
         spark.conf.set(k, v)
     try:
-        texts = docs.select("doc_id", "text").join(wanted.where("node >= 0").select("doc_id").distinct(), "doc_id", "left_semi")
+        texts = docs.select("doc_id", "text").join(wanted.where("node >= 0").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
         found = texts.select("text").mapInArrow(_packed_sets, "d0 long, d1 long, shingles binary, sketch binary")
         sets = found.join(wanted.select("node", "d0", "d1"), ["d0", "d1"]).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
         sets = hold(sets)
@@ -296,14 +314,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
     best = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     first_links = hold(confirmed(hold(best), sets))
-    joined = components(first_links)
     release()
 
-    placed = met.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    others = hold(pairs_apart(placed, info.join(sets.select("node", "sketch"), "node")))
-    release()
-    links = hold(first_links.unionByName(confirmed(others, sets)))
-    release(sets, met)
+    info = info.join(sets.select("node", "sketch"), "node")
+
+    def placed(links: DataFrame) -> DataFrame:
+        found = met.select("key", "node").join(components(links), "node", "left")
+        return hold(found.select("key", "node", F.coalesce("component", "node").alias("component")))
+
+    place = placed(first_links)
+    best = pairs_apart(place, info, nearest=True).groupBy("a").agg(F.min(F.struct("far", "b")).alias("best"))
+    best = hold(best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct())
+    release(place)
+    links = hold(first_links.unionByName(confirmed(best, sets)))
+    release(best)
+
+    place = placed(links)
+    others = hold(pairs_apart(place, info).select("a", "b"))
+    release(place)
+    links = hold(links.unionByName(confirmed(others, sets)))
+    release(others)
 
     labels = nodes.select("d0", "d1", "doc_id", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
