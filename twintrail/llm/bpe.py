@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from twintrail.llm.common import whole_text
 
 #: Pieces up to this length are remembered, and so many of them and of token pairs at most.
-MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 48, 300_000, 2_000_000
+MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 48, 800_000, 2_000_000
 #: A rank file larger than this is not sent to the executors.
 MAX_FILE_BYTES = 64 << 20
 NONE = -1
@@ -48,9 +48,9 @@ class Pieces(dict):
     def __init__(self, coder: Encoder):
         self.coder = coder
 
-    def __missing__(self, text: str) -> tuple[list[int], str]:
+    def __missing__(self, text: str) -> tuple[tuple[int, ...], str]:
         ids = self.coder._piece(text.encode("utf-8"))
-        found = ids, ",".join(map(str, ids))
+        found = tuple(ids), ",".join(map(self.coder.decimals.__getitem__, ids))
         if len(text) <= MEMO_CHARS:
             if len(self) >= MEMO_PIECES:
                 self.clear()
@@ -71,6 +71,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.decimals = {rank: str(rank) for rank in self.tokens}
         # Bytes as Latin-1 make the automaton's letters. Tokens that merging never makes are left out.
         self.parts: dict[int, tuple[int, int]] = {}
         self.reachable: dict[bytes, int] = {}
@@ -82,7 +83,7 @@ class Encoder:
                     continue
                 self.parts[rank] = (ranks[halves[0]], ranks[halves[1]])
             self.reachable[token] = rank
-            automaton.add_word(token.decode("latin-1"), rank)
+            automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         automaton.make_automaton()
         self.automaton = automaton
         self.longest = max((len(t) for t in self.reachable), default=0)
@@ -129,39 +130,45 @@ class Encoder:
             return [whole]
         return self.walk(data)
 
-    def longest_from(self, data: bytes) -> list[int]:
-        """At each position the longest token that starts there."""
-        best = [NONE] * len(data)
-        lengths = [0] * len(data)
-        for end, rank in self.automaton.iter(data.decode("latin-1")):
-            size = len(self.tokens[rank])
-            start = end - size + 1
-            if size > lengths[start]:
-                lengths[start], best[start] = size, rank
+    def longest_from(self, data: bytes) -> list[tuple[int, int]]:
+        """At each position the longest token that starts there, and its length."""
+        best = [(NONE, 0)] * len(data)
+        for end, found in self.automaton.iter(data.decode("latin-1")):
+            start = end - found[1] + 1
+            if found[1] > best[start][1]:
+                best[start] = found
         return best
 
     def walk(self, data: bytes) -> list[int]:
         best, n = self.longest_from(data), len(data)
+        tokens, shorter, pairs, fits = self.tokens, self.shorter, self.pairs, self.fits
         closed = bytearray(n + 1)
         ids: list[int] = []
-        at, token = 0, best[0] if n else NONE
+        last, at = NONE, 0
+        token, size = best[0] if n else (NONE, 0)
         while at < n:
             while token != NONE:
-                end = at + len(self.tokens[token])
-                if not closed[end] and (not ids or self.fits(ids[-1], token)):
-                    break
-                token = self.shorter[token]
+                if not closed[at + size]:
+                    if last == NONE:
+                        break
+                    known = pairs.get((last, token))
+                    if known or known is None and fits(last, token):
+                        break
+                token = shorter[token]
+                size = len(tokens[token]) if token != NONE else 0
             if token == NONE:
                 if not ids:
                     raise ValueError("the vocabulary has no token for some byte")
                 closed[at] = 1
-                last = ids.pop()
-                at -= len(self.tokens[last])
-                token = self.shorter[last]
+                gone = ids.pop()
+                at -= len(tokens[gone])
+                last = ids[-1] if ids else NONE
+                token = shorter[gone]
+                size = len(tokens[token]) if token != NONE else 0
             else:
                 ids.append(token)
-                at += len(self.tokens[token])
-                token = best[at] if at < n else NONE
+                last, at = token, at + size
+                token, size = best[at] if at < n else (NONE, 0)
         return ids
 
     def encode(self, text: str) -> list[int]:
