@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from twintrail.llm.common import whole_text
 
-#: Pieces up to this length are remembered, and so many of them and of token pairs at most.
-MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 48, 800_000, 2_000_000
+#: Pieces up to this length are remembered, so many of them in each of two generations, and so many token pairs.
+MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 48, 160_000, 400_000
 #: A rank file larger than this is not sent to the executors.
 MAX_FILE_BYTES = 64 << 20
 NONE = -1
@@ -46,13 +46,16 @@ class Pieces(dict):
     """Ids of each match of the pattern, and the same as decimals joined by commas; short ones are remembered."""
 
     def __init__(self, coder: Encoder):
-        self.coder = coder
+        self.coder, self.older = coder, {}
 
     def __missing__(self, text: str) -> tuple[tuple[int, ...], str]:
-        ids = self.coder._piece(text.encode("utf-8"))
-        found = tuple(ids), ",".join(map(self.coder.decimals.__getitem__, ids))
+        found = self.older.get(text)
+        if found is None:
+            ids = self.coder._piece(text.encode("utf-8"))
+            found = tuple(ids), ",".join(map(self.coder.decimals.__getitem__, ids))
         if len(text) <= MEMO_CHARS:
             if len(self) >= MEMO_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[text] = found
         return found

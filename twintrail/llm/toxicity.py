@@ -26,7 +26,7 @@ TREES, DEPTH, SEED = 40, 4, 7
 CALIBRATION_PARTS = 4
 #: Words on each side of a lexicon word that count as near it.
 NEAR = 6
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 # Pronouns and possessives of the second person in English, German, French and Spanish.
 SECOND_PERSON = frozenset(
     "you your yours yourself yourselves u ur du dich dir dein deine deinen deinem deiner euch euer eure ihr tu te toi ton ta tes vous votre vos tú ti tuyo tuya tus usted ustedes vosotros vuestro vuestra".split()
