@@ -172,8 +172,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _comparer(nearest: bool):
     """A function over rows of (key, pair of blocks) that come together: pairs (a, b, far) of different components that may be similar enough.
 
-    With ``nearest``, for each node the one whose sketch is nearest. Else all of them, a pair
-    that meets on several keys from the first of these only.
+    With ``nearest``, for each component but the one with most of the rows, its nearest pair.
+    Else all of them, a pair that meets on several keys from the first of these only.
     """
     marks = ("key", "low", "high")
 
@@ -184,7 +184,11 @@ def _comparer(nearest: bool):
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
         tag = key >> BITS * (SLOTS - 1)
         first, second, far = [], [], []
+        names, counts = np.unique(component, return_counts=True)
+        major, closest = names[counts.argmax()], {}
         for i in range(len(node)):
+            if nearest and component[i] == major:
+                continue
             apart = component != component[i]
             if low != high:
                 apart &= (block != block[i]) if nearest else (block > block[i])
@@ -195,10 +199,13 @@ def _comparer(nearest: bool):
             distance = (sketches[others] != sketches[i]).sum(axis=1)
             within = distance <= (NEAREST_DISTANCE if nearest else MAX_SKETCH_DISTANCE)
             others, distance = others[within], distance[within]
-            if nearest and len(others):
-                best = np.lexsort((node[others], distance))[:1]
-                others, distance = others[best], distance[best]
-            elif len(others):
+            if nearest:
+                if len(others):
+                    best = np.lexsort((node[others], distance))[0]
+                    pair = (int(distance[best]), int(node[i]), int(node[others[best]]))
+                    closest[component[i]] = min(pair, closest.get(component[i], pair))
+                continue
+            if len(others):
                 same = (slots[others] == slots[i]).reshape(-1, CHUNKS, SLOTS)
                 at = (same.sum(axis=2) >= SLOTS - 1).argmax(axis=1)
                 left_out = (~same[np.arange(len(others)), at]).argmax(axis=1)
@@ -207,6 +214,10 @@ def _comparer(nearest: bool):
             first += [node[i]] * len(others)
             second += node[others].tolist()
             far += distance.tolist()
+        for distance, one, other in closest.values():
+            first.append(one)
+            second.append(other)
+            far.append(distance)
         return first, second, far
 
     def finish(table: pa.Table) -> pa.RecordBatch:
