@@ -140,9 +140,6 @@ def _pair_view(f: str, limit: str) -> str:
         {limit}"""
 
 
-_GUARD = """WHERE (x.project, x.language, x.clone_id) IN
-          (SELECT (project, language, clone_id) FROM {f} GROUP BY project, language, clone_id HAVING count(*) <= 1000)"""
-
 VIEWS: dict[str, str] = {
     "order_fragments": f"""
         SELECT *, start_line + line_count - 1 AS end_line, {file_type_sql('file_path')} AS file_type,
@@ -190,7 +187,7 @@ VIEWS: dict[str, str] = {
           CAST(row_number() OVER (PARTITION BY project, language, md5(line) ORDER BY file_id, line_no) - 1 AS INT) AS fragment_index,
           count(*) OVER (PARTITION BY project, language, md5(line)) AS copies, {file_type_sql('file_path')} AS file_type
         FROM text_lines WHERE length(line) >= 20) t LEFT JOIN file_history h USING (file_id) WHERE copies > 1""",
-    "text_pairs": _pair_view("text_fragments", _GUARD.format(f="text_fragments")),
+    "text_pairs": _pair_view("text_fragments", ""),
     "all_text_pairs": _pair_view("text_fragments", ""),
     "order_pairs": _pair_view("order_fragments", ""),
     "codebases": """

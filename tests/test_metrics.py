@@ -100,20 +100,26 @@ def test_pair_counts_without_pairs_match_brute_force(spark):
     assert totals == want
 
 
-def test_oversized_sets_leave_the_pair_table_but_stay_counted(spark):
-    data = [("BIG", i, f"f{i}", "a", 1, 1, []) for i in range(6)] + [("S", i, f"f{i}", "a", 1, 1, []) for i in range(3)]
+def test_large_sets_keep_all_their_pairs(spark):
+    data = [("BIG", i, f"f{i}", "a", 1, 1, []) for i in range(30)] + [("S", i, f"f{i}", "a", 1, 1, []) for i in range(3)]
     df = rows(spark, data)
-    assert pairs.clone_pairs(df, limit=5).count() == 3
-    assert pairs.clone_pairs(df, limit=None).count() == 18
-    assert [(r.clone_id, r.pairs) for r in pairs.oversized_sets(df, 5).collect()] == [("BIG", 15)]
-    assert pairs.pair_summary(df).first().clone_pairs == 18
+    for block in (4, 256):
+        table = pairs.clone_pairs(df, block=block).select("clone_id", "fragment_index_x", "fragment_index_y")
+        assert table.count() == table.distinct().count() == 435 + 3
+    assert [(r.clone_id, r.pairs) for r in pairs.oversized_sets(df, 5).collect()] == [("BIG", 435)]
+
+
+def test_a_hot_set_is_paired_whole(spark):
+    n = 3000
+    df = rows(spark, [("HOT", i, f"f{i}", "a", 1, 1, []) for i in range(n)])
+    assert pairs.clone_pairs(df).count() == n * (n - 1) // 2 == pairs.pair_summary(df).first().clone_pairs
 
 
 def test_invariants_on_generated_rows(spark, tiny):
     from twintrail.sources import star_tables as T
 
     frag = T.text_fragments(spark, tiny).cache()
-    table = pairs.clone_pairs(frag, limit=None).cache()
+    table = pairs.clone_pairs(frag).cache()
     assert table.count() == pairs.pair_summary(frag).agg(F.sum("clone_pairs")).first()[0]
     comod_sets = metrics.clone_set_metrics(frag).filter("comod_count > 0").count()
     assert comod_sets == table.filter("comodified = 1").select("project", "language", "clone_id").distinct().count()

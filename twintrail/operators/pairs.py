@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twintrail.constants import MAX_FRAGMENTS_PER_SET, PROJECT_KEYS, SET_KEYS
+from twintrail.constants import PAIR_BLOCK, PROJECT_KEYS, SET_KEYS
 from twintrail.functions import labels
 from twintrail.functions.commits import common_commits
 from twintrail.functions.numbers import heat_class
@@ -19,36 +19,35 @@ def set_sizes(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy(*SET_KEYS).agg(F.count(F.lit(1)).alias("fragments"))
 
 
-def oversized_sets(fragments: DataFrame, limit: int = MAX_FRAGMENTS_PER_SET) -> DataFrame:
-    """Sets the pair table leaves out, with the pairs they would add."""
+def oversized_sets(fragments: DataFrame, limit: int) -> DataFrame:
+    """Sets of more than ``limit`` fragments, with the pairs they make."""
     n = F.col("fragments")
     return set_sizes(fragments).filter(n > limit).withColumn("pairs", (n * (n - 1) / 2).cast("bigint"))
 
 
-def clone_pairs(
-    fragments: DataFrame, token_counts: DataFrame | None = None, limit: int | None = MAX_FRAGMENTS_PER_SET
-) -> DataFrame:
+def clone_pairs(fragments: DataFrame, token_counts: DataFrame | None = None, block: int = PAIR_BLOCK) -> DataFrame:
     """Unordered fragment pairs of each clone set, ordered by fragment index.
 
-    The pair table is defined for sets up to ``limit`` fragments; larger sets are listed by
-    ``oversized_sets`` and counted exactly, without pairs, by the functions further down.
-    The size test runs on counts, so rows of a huge set are dropped before the self-join.
+    A set of more than ``block`` fragments is dealt into blocks, and each two of its blocks
+    meet under a key of their own, so that a hot set is spread over many tasks.
     """
-    rows = fragments
-    if limit is not None:
-        too_big = set_sizes(fragments).filter(F.col("fragments") > limit).select(*SET_KEYS)
-        rows = rows.join(too_big, SET_KEYS, "left_anti")
-    rows = rows.select(*SET_KEYS, "fragment_index", *PAIR_SIDES, "modified_commits")
     sides = ["fragment_index", *PAIR_SIDES, "modified_commits"]
+    blocks = set_sizes(fragments).select(*SET_KEYS, F.ceil(F.col("fragments") / block).cast("int").alias("_blocks"))
+    rows = fragments.select(*SET_KEYS, *sides).join(blocks, SET_KEYS).withColumn("_block", F.pmod("fragment_index", "_blocks").cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumn("_low", F.least("_block", "_other")).withColumn("_high", F.greatest("_block", "_other"))
+    keys = [*SET_KEYS, "_low", "_high"]
 
     def side(tag):
-        return rows.select(*SET_KEYS, *[F.col(c).alias(f"{c}_{tag}") for c in sides])
+        return rows.select(*keys, *[F.col(c).alias(f"{c}_{tag}") for c in ["_block", *sides]])
 
     common = common_commits("modified_commits_x", "modified_commits_y")
     paired = (
         side("x")
-        .join(side("y"), SET_KEYS)
+        .join(side("y"), keys)
         .filter(F.col("fragment_index_x") < F.col("fragment_index_y"))
+        .filter((F.col("_low") == F.col("_high")) | (F.col("_block_x") != F.col("_block_y")))
+        .drop("_low", "_high", "_block_x", "_block_y")
         .withColumn("comodified_commits", common)
         .withColumn("comodification_count", F.size("comodified_commits"))
         .withColumn("comodified", (F.col("comodification_count") > 0).cast("int"))

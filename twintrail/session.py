@@ -66,12 +66,3 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(table: DataFrame, *keys: str) -> DataFrame:
-    """A stored table whose splits would leave slots idle, spread over them by key.
-
-    A large table has more splits than slots and is returned as it is.
-    """
-    slots = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= slots else table.repartition(slots, *keys)
