@@ -23,7 +23,7 @@ from twintrail.llm.words import POWERS, byte_values, chunks, mixed
 
 DEPTH = 50
 #: A window's anchor is the smallest hash among its strings of so many bytes.
-ANCHOR_BYTES = 16
+ANCHOR_BYTES = 24
 #: A string has so many windows at most, so there are DEPTH + 63 rounds at most.
 MAX_WINDOWS = 64
 #: Strings are taken in until they have so many bytes, and collections are ordered together up to so many.
