@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -16,10 +18,11 @@ from pyspark.sql import functions as F
 from twintrail.llm.common import whole_text
 
 #: Pieces up to this length are remembered, so many of them in each of two generations, and so many token pairs.
-MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 48, 160_000, 400_000
+MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 48, 300_000, 400_000
 #: A rank file larger than this is not sent to the executors.
 MAX_FILE_BYTES = 64 << 20
 NONE = -1
+IDS, SAID = itemgetter(0), itemgetter(1)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -175,7 +178,7 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in map(self.pieces.__getitem__, self.pattern.findall(text)) for i in ids]
+        return list(chain.from_iterable(map(IDS, map(self.pieces.__getitem__, self.pattern.findall(text)))))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -241,9 +244,9 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
             sizes, id_digests, digests = [], [], []
             for text in batch["text"]:
                 pieces = list(map(coder.pieces.__getitem__, coder.pattern.findall(text.as_py())))
-                ids = [i for own, _ in pieces for i in own]
+                ids = list(chain.from_iterable(map(IDS, pieces)))
                 sizes.append(len(ids))
-                id_digests.append(hashlib.sha256(",".join([said for _, said in pieces]).encode()).hexdigest())
+                id_digests.append(hashlib.sha256(",".join(map(SAID, pieces)).encode()).hexdigest())
                 digests.append(hashlib.sha256(coder.decode(ids)).hexdigest())
             yield pa.record_batch(
                 [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(id_digests, pa.string()), pa.array(digests, pa.string())],
