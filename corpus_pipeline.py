@@ -27,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the largest doc_id of each text."""
+    reachable(spark)
     return exact_dedup.without_copies(docs)
 
 

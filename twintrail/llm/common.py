@@ -31,7 +31,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     """The rows with a column that tells repeated rows apart.
 
     The number follows from file and place, so ``docs`` has to be a stored table or a
-    filter or projection of one; hold() makes one of any other frame.
+    filter or projection of one; hold() makes one of any other frame. How files are cut into
+    tasks must not change between two reads: reachable() sees to that.
     """
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
@@ -68,7 +69,10 @@ WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(32 << 20
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it is installed at the driver's path but not on theirs, and bound their batches."""
+    """Let Python workers import this package where it is installed at the driver's path but not on theirs, bound their batches, and fix how files are cut into tasks."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        # By default this follows the cores at hand, so that a lost executor would number rows anew.
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
