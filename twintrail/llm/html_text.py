@@ -319,15 +319,21 @@ def written_pages(n: int = WRITTEN_PAGES, seed: int = SEED) -> Iterator[tuple[st
 
 
 def fit(pages: DataFrame | None = None, max_pages: int = MAX_TRAINING_PAGES) -> Field:
-    """The field, trained on written pages and on those pages of the table, ``max_pages`` of lowest hash, that mark their article."""
+    """The field, trained on written pages and on those pages of the table, ``max_pages`` of lowest hash, that mark their article.
+
+    Ids are chosen first, so that no task sends pages that are not among the chosen ones. Of rows
+    that share a page_id one is taken; rows without a page_id or html are not.
+    """
     examples = []
     for page, labels in written_pages():
         blocks = leaf_blocks(page)
         if len(blocks) == len(labels):
             examples.append((block_features(blocks), labels))
     if pages is not None:
-        sample = pages.where(F.length("html") <= MAX_TRAINING_CHARS).select("html").orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
-        for (page,) in sample.collect():
+        fit_for_it = pages.where(F.col("page_id").isNotNull() & (F.length("html") <= MAX_TRAINING_CHARS))
+        ids = fit_for_it.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
+        chosen = fit_for_it.where(F.col("page_id").isin([r[0] for r in ids.collect()])).groupBy("page_id").agg(F.min("html").alias("html"))
+        for _, page in sorted(chosen.collect()):
             blocks = leaf_blocks(page)
             labels = labelled(blocks)
             if labels is not None:

@@ -166,11 +166,12 @@ def _margins(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
 def _calibrated(margin: Column, model: IsotonicRegressionModel) -> Column:
     """The isotonic steps as an expression, linear between boundaries, a little of the margin kept to tell ties apart."""
     xs, ys = [float(x) for x in model.boundaries.toArray()], [float(y) for y in model.predictions.toArray()]
-    curve = F.lit(ys[-1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(zip(xs, ys), zip(xs[1:], ys[1:])))):
+    # One flat list of cases: however many steps there are, the expression is not nested.
+    curve = F.when(margin <= xs[0], F.lit(ys[0]))
+    for x0, y0, x1, y1 in zip(xs, ys, xs[1:], ys[1:]):
         slope = (y1 - y0) / (x1 - x0) if x1 > x0 else 0.0
-        curve = F.when(margin <= x1, F.lit(y0) + slope * (margin - x0)).otherwise(curve)
-    curve = F.when(margin <= xs[0], F.lit(ys[0])).otherwise(curve)
+        curve = curve.when(margin <= x1, F.lit(y0) + slope * (margin - x0))
+    curve = curve.otherwise(F.lit(ys[-1]))
     order = 1 / (1 + F.exp(-margin))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), curve * 0.98 + order * 0.02))
 
