@@ -92,11 +92,11 @@ def a6_service_count_fallback(spark, d):
 
 @query("j5_service_loc_for_roc", """SELECT u.project, u.language, u.service, u.lines, coalesce(l.total_loc, 0) AS total_loc,
   CASE WHEN l.total_loc > 0 THEN round_even(u.lines / l.total_loc::DOUBLE, 6) ELSE 0.0 END AS roc
-  FROM o_union u LEFT JOIN (SELECT * FROM order_loc WHERE service <> 'svc7') l USING (project, language, service)""")
+  FROM o_union u LEFT JOIN (SELECT * REPLACE (CASE WHEN service = 'svc7' THEN 'unlisted' ELSE service END AS service) FROM order_loc) l USING (project, language, service)""")
 def j5_service_loc_for_roc(spark, d):
     from twintrail.functions.numbers import ratio
 
-    loc = T.order_service_loc(spark, d).filter("service <> 'svc7'").select("project", "language", "service", "total_loc")
+    loc = T.order_service_loc(spark, d).withColumn("service", F.expr("CASE WHEN service = 'svc7' THEN 'unlisted' ELSE service END")).select("project", "language", "service", "total_loc")
     lines = metrics.service_clone_lines(T.order_fragments(spark, d))
     return lines.join(loc, ["project", "language", "service"], "left").select(
         "project", "language", "service", F.col("total_clone_line_count").alias("lines"),

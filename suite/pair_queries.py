@@ -148,11 +148,12 @@ def a32_service_options(spark, d):
     return pairs.service_options(text_pairs(spark, d))
 
 
-@query("k7_ordered_service_options", f"SELECT *, concat(service, ' (', clone_sets, ' sets / ', pairs, ' pairs)') AS label FROM ({_OPTIONS}) ORDER BY clone_sets DESC, pairs DESC, service, project, language LIMIT 12")
+@query("k7_ordered_service_options", f"SELECT *, concat(service, ' (', clone_sets, ' sets / ', pairs, ' pairs)') AS label, CAST(row_number() OVER (PARTITION BY project, language ORDER BY clone_sets DESC, pairs DESC, service) - 1 AS INT) AS place FROM ({_OPTIONS})")
 def k7_ordered_service_options(spark, d):
     label = F.expr("concat(service, ' (', clone_sets, ' sets / ', pairs, ' pairs)')")
-    order = [F.col("clone_sets").desc(), F.col("pairs").desc(), F.col("service"), F.col("project"), F.col("language")]
-    return pairs.service_options(text_pairs(spark, d)).withColumn("label", label).orderBy(*order).limit(12)
+    order = [("clone_sets", "desc"), ("pairs", "desc"), ("service", "asc")]
+    options = pairs.service_options(text_pairs(spark, d)).withColumn("label", label)
+    return ranks.placed(options, ["project", "language"], order, F.struct(-F.col("clone_sets"), -F.col("pairs")))
 
 
 @query("a33_shared_clone_matrix", f"""SELECT s.*, coalesce(p.n, 0) AS shared_pairs FROM (
@@ -180,10 +181,11 @@ def a34_clone_options(spark, d):
 for _name, _cols in (("k6_options_by_span", ("service_count", "comod_count")), ("k6_options_by_comod", ("comod_count", "service_count"))):
 
     def _options(name, cols):
-        @query(name, f"SELECT * FROM ({_CLONE_OPTIONS}) ORDER BY {cols[0]} DESC, {cols[1]} DESC, clone_id, project LIMIT 10")
+        @query(name, f"SELECT *, CAST(row_number() OVER (PARTITION BY project, language ORDER BY {cols[0]} DESC, {cols[1]} DESC, clone_id) - 1 AS INT) AS place FROM ({_CLONE_OPTIONS})")
         def run(spark, d):
             table = pairs.clone_options(stored_pairs(spark, d))
-            return ranks.sort_by(table, [(cols[0], "desc"), (cols[1], "desc"), ("clone_id", "asc"), ("project", "asc")]).limit(10)
+            order = [(cols[0], "desc"), (cols[1], "desc"), ("clone_id", "asc")]
+            return ranks.placed(table, ["project", "language"], order, F.struct(-F.col(cols[0]), -F.col(cols[1]), F.substring("clone_id", 1, 2)))
 
     _options(_name, _cols)
 
@@ -366,17 +368,20 @@ def p26_selectivity(spark, d):
 # --- selector order, history, drill-down ---------------------------------------------------
 
 
-@query("k5_clone_selector", f"""SELECT project, language, clone_id, file_id_x, file_id_y, lines, total, multiplicity FROM (
+@query("k5_clone_selector", f"""SELECT project, language, clone_id, file_id_x, file_id_y, lines, total, multiplicity,
+  CAST(row_number() OVER (PARTITION BY project, language ORDER BY lines DESC, total DESC, multiplicity DESC, CAST(clone_id AS BIGINT), file_id_x, file_id_y) - 1 AS INT) AS place FROM (
   SELECT DISTINCT project, language, clone_id, file_id_x, file_id_y, greatest(end_line_x - start_line_x + 1, end_line_y - start_line_y + 1) AS lines,
-    end_line_x - start_line_x + 1 + end_line_y - start_line_y + 1 AS total, count(*) OVER (PARTITION BY project, language, clone_id) AS multiplicity FROM order_pairs)
-  ORDER BY lines DESC, total DESC, multiplicity DESC, CAST(clone_id AS BIGINT), file_id_x, file_id_y LIMIT 20""")
+    end_line_x - start_line_x + 1 + end_line_y - start_line_y + 1 AS total, count(*) OVER (PARTITION BY project, language, clone_id) AS multiplicity FROM order_pairs)""")
 def k5_clone_selector(spark, d):
     rows = order_pairs(spark, d)
     counts = rows.groupBy("project", "language", "clone_id").agg(F.count(F.lit(1)).alias("multiplicity"))
     x, y = F.expr("end_line_x - start_line_x + 1"), F.expr("end_line_y - start_line_y + 1")
     chosen = rows.select("project", "language", "clone_id", "file_id_x", "file_id_y", F.greatest(x, y).alias("lines"), (x + y).alias("total")).distinct()
-    order = [F.col("lines").desc(), F.col("total").desc(), F.col("multiplicity").desc(), F.col("clone_id").cast("bigint"), F.col("file_id_x"), F.col("file_id_y")]
-    return chosen.join(counts, ["project", "language", "clone_id"]).orderBy(*order).limit(20)
+    number = F.col("clone_id").cast("bigint")
+    table = chosen.join(counts, ["project", "language", "clone_id"]).withColumn("_set", number)
+    order = [("lines", "desc"), ("total", "desc"), ("multiplicity", "desc"), ("_set", "asc"), ("file_id_x", "asc"), ("file_id_y", "asc")]
+    chunk = F.struct(-F.col("lines"), -F.col("total"), -F.col("multiplicity"), F.floor(F.col("_set") / 1024))
+    return ranks.placed(table, ["project", "language"], order, chunk).drop("_set")
 
 
 _LINK = "concat('https://github.com/', replace(project, '.', '/'), '/commit/', c)"

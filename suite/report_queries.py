@@ -69,9 +69,9 @@ def a16_project_kpi(spark, d):
     return stats.project_kpi(_languages(spark, d), services.service_loc(T.text_files(spark, d)))
 
 
-@query("a17_discovered_languages", "SELECT project, language FROM text_files WHERE file_id % 2 = 0 UNION SELECT project, language FROM order_fragments")
+@query("a17_discovered_languages", "SELECT project, language FROM text_files UNION SELECT project, language FROM order_fragments")
 def a17_discovered_languages(spark, d):
-    return stats.discovered_languages(T.text_files(spark, d).filter("file_id % 2 = 0"), T.order_fragments(spark, d))
+    return stats.discovered_languages(T.text_files(spark, d), T.order_fragments(spark, d))
 
 
 @query("a52_language_share", f"""SELECT project, language, n_files, total_loc, round_even(total_loc / sum(total_loc) OVER (PARTITION BY project)::DOUBLE * 100, 1) AS loc_pct, n_clone_sets, n_clone_pairs, roc_pct FROM ({LANGUAGE})""")
@@ -183,10 +183,10 @@ def u5_modified_inter_sets(spark, d):
     return inter.intersect(rows.filter("modified_count > 0").select(*keys))
 
 
-@query("a26_selected_projects", """SELECT project, language, context, service FROM (SELECT DISTINCT project, language, source AS context, service FROM text_files WHERE file_id % 5 = 0 AND service <> '')
+@query("a26_selected_projects", """SELECT project, language, context, service FROM (SELECT DISTINCT project, language, source AS context, service FROM text_files WHERE service <> '')
   QUALIFY len(list_distinct(list(context) OVER (PARTITION BY project, language))) >= 2""")
 def a26_selected_projects(spark, d):
-    rows = T.text_files(spark, d).filter("file_id % 5 = 0 AND service <> ''").selectExpr("project", "language", "source AS context", "service").distinct()
+    rows = T.text_files(spark, d).filter("service <> ''").selectExpr("project", "language", "source AS context", "service").distinct()
     return reports.select_projects(rows)
 
 

@@ -25,7 +25,8 @@ def j1_service_resolution(spark, d):
 
 @query("j2_file_ids", """SELECT project, language, clone_id, fragment_index, CASE WHEN file_id % 9 = 0 THEN -1 ELSE file_id END AS file_id FROM text_fragments""")
 def j2_file_ids(spark, d):
-    files = T.text_files(spark, d).filter("file_id % 9 <> 0")
+    # Some files are listed under a path that no fragment has.
+    files = T.text_files(spark, d).withColumn("file_path", F.expr("CASE WHEN file_id % 9 = 0 THEN concat('gone/', file_path) ELSE file_path END"))
     rows = T.text_fragments(spark, d).drop("file_id")
     return services.with_file_id(rows, files).select("project", "language", "clone_id", "fragment_index", "file_id")
 
@@ -271,9 +272,10 @@ def w10_latest_run(spark, d):
     return readers.latest_run(s14_run_catalogue(spark, d))
 
 
-@query("k12_ordered_catalogue", "SELECT project, name, size, language, date FROM runs ORDER BY size DESC, language DESC, date DESC, name DESC LIMIT 15")
+@query("k12_ordered_catalogue", """SELECT project, name, size, language, date,
+  CAST(row_number() OVER (PARTITION BY project ORDER BY size DESC, language DESC, date DESC, name DESC) - 1 AS INT) AS place FROM runs""")
 def k12_ordered_catalogue(spark, d):
-    return readers.ordered_catalogue(s14_run_catalogue(spark, d)).select("project", "name", "size", "language", "date").limit(15)
+    return readers.placed_catalogue(s14_run_catalogue(spark, d)).select("project", "name", "size", "language", "date", "place")
 
 
 @query("j18_catalogue_with_rest", """SELECT DISTINCT project, language, 'pairs' AS source FROM runs UNION ALL
@@ -453,12 +455,13 @@ def p25_eligible_repositories(spark, d):
     return filters.eligible_repositories(rows, rows)
 
 
-@query("k1_multi_column_sort", "SELECT project, language, file_path, service, sharing_service_count FROM t_file_metrics ORDER BY sharing_service_count DESC, service, file_path LIMIT 25")
+@query("k1_multi_column_sort", """SELECT project, language, file_path, service, sharing_service_count,
+  CAST(row_number() OVER (PARTITION BY project, language ORDER BY sharing_service_count DESC, service, file_path) - 1 AS INT) AS place FROM t_file_metrics""")
 def k1_multi_column_sort(spark, d):
     table = core.a4_file_metrics_text(spark, d)
-    return ranks.sort_by(table, [("sharing_service_count", "desc"), ("service", "asc"), ("file_path", "asc")]).limit(25).select(
-        "project", "language", "file_path", "service", "sharing_service_count"
-    )
+    order = [("sharing_service_count", "desc"), ("service", "asc"), ("file_path", "asc")]
+    chunk = F.struct(-F.col("sharing_service_count"), "service")
+    return ranks.placed(table, ["project", "language"], order, chunk).select("project", "language", "file_path", "service", "sharing_service_count", "place")
 
 
 @query("k9_table_page", "SELECT project, language, clone_id, comod_count FROM o_set_metrics ORDER BY comod_count DESC, project, language, clone_id LIMIT 20 OFFSET 40")

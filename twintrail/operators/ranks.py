@@ -46,10 +46,22 @@ def top_k_per_group(df: DataFrame, groups: list[str], order: list[Column], k: in
 
 def sort_by(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     """Multi-column sort with directions; NULLs stay last either way."""
-    order = [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in columns]
+    order = _directed(columns)
     return df.orderBy(*order) if order else df
 
 
+def _directed(columns: list[tuple[str, str]]) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in columns]
+
+
+def placed(df: DataFrame, keys: list[str], columns: list[tuple[str, str]], chunk: Column) -> DataFrame:
+    """All rows with ``place``, their 0-based position among those of the same keys under a multi-column sort.
+
+    ``chunk`` must rise with the sort, see dense_index.
+    """
+    return dense_index(df, keys, _directed(columns), chunk, "place")
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page (0-based) of an ordered table."""
     return df.orderBy(*order).offset(number * size).limit(size)

@@ -11,6 +11,7 @@ from twintrail import constants as C
 from twintrail import schemas as S
 from twintrail.functions import commits, labels, paths
 from twintrail.functions.numbers import truthy_count
+from twintrail.operators import ranks
 from twintrail.operators.pairs import clone_pairs
 
 
@@ -269,6 +270,11 @@ def ordered_catalogue(catalogue: DataFrame) -> DataFrame:
     return catalogue.orderBy(*[F.col(c).desc() for c in ("size", "language", "date", "label")])
 
 
+def placed_catalogue(catalogue: DataFrame) -> DataFrame:
+    """All runs with their place among the runs of the project, largest first."""
+    return ranks.placed(catalogue, ["project"], [(c, "desc") for c in ("size", "language", "date", "name")], -F.col("size"))
+
+
 def catalogue_with_rest(runs: DataFrame, documents: DataFrame) -> DataFrame:
     """Projects with pair files first, then those only known from a service document."""
     keys = ["project", "language"]
