@@ -150,6 +150,13 @@ def test_html(session, table):
     assert right / total > 0.98
 
 
+def test_training_pages_may_repeat_or_lack_an_id(session, table):
+    page = "<html><body><nav>Menu</nav><article><p>Body text of the page goes here.</p></article></body></html>"
+    rows = [(1, "u", page)] * 300 + [(None, "u", page), (2, "v", None), (3, None, page), (4, "w", "")]
+    pages = table(rows, "page_id long, url string, html string")
+    assert {r.text for r in html_text.extract(pages).collect()} == {"Body text of the page goes here.", ""}
+
+
 # op5 ---------------------------------------------------------------------------------------
 
 
