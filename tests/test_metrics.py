@@ -125,6 +125,21 @@ def test_invariants_on_generated_rows(spark, tiny):
     assert comod_sets == table.filter("comodified = 1").select("project", "language", "clone_id").distinct().count()
 
 
+def test_places_follow_the_whole_sort(spark):
+    from twintrail.operators import ranks
+
+    rng = random.Random(11)
+    data = [(rng.choice("ab"), rng.randrange(3), f"n{i}") for i in range(200)]
+    df = spark.createDataFrame(data, "k string, v int, name string")
+    want = {}
+    for k in "ab":
+        for place, (_, _, name) in enumerate(sorted((r for r in data if r[0] == k), key=lambda r: (-r[1], r[2]))):
+            want[name] = place
+    for chunk in (F.struct(-F.col("v")), F.struct(-F.col("v"), F.substring("name", 1, 2))):
+        got = ranks.placed(df, ["k"], [("v", "desc"), ("name", "asc")], chunk)
+        assert {r.name: r.place for r in got.collect()} == want
+
+
 def test_display_ids_close_gaps(spark):
     ranges = spark.createDataFrame(
         [("p", "J", "a", 1, 2), ("p", "J", "b", 10, 11), ("p", "J", "unknown", 4, 5)],
