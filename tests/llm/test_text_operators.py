@@ -264,6 +264,34 @@ def test_lm_scores(session, table):
     assert got[4].log_score == got[5].log_score == 0 and got[4].bits_per_byte is None and len(got) == len(texts)
 
 
+def test_lm_scores_see_the_order_of_words(session, table):
+    clean = "the old man walked down to the river and sat there for a while"
+    texts = [(1, clean), (2, clean + " longer"), (3, " ".join(words(5, 9, 9))), (4, ""), (5, None), (6, " \t\r\n "), (7, "The   RIVER\nand é漢"), (7, "The   RIVER\nand é漢"), (8, "q " * 30), (None, "river the to down walked man old the and")]
+    got = sorted(lm_score.score_by_words(table(rows_of(texts), DOCS), block_bytes=60).collect(), key=lambda r: (str(r.doc_id), r.n_bytes))
+    marked = [(i, ["<s>"] * 3 + t.lower().split()) for i, t in texts if t and t.split()]
+    own = [collections.Counter(tuple(w[q - k + 1 : q + 1]) for q in range(2, len(w)) for k in range(4) if k or q) for _, w in marked]
+    total = sum(own, collections.Counter())
+    want = {}
+    for (i, w), mine in zip(marked, own):
+        score = 0.0
+        for q in range(3, len(w)):
+            for k in range(3, 0, -1):
+                gram, context = tuple(w[q - k + 1 : q + 1]), tuple(w[q - k + 1 : q])
+                if total[gram] > mine[gram]:
+                    score += math.log((total[gram] - mine[gram]) / (total[context] - mine[context]))
+                    break
+                score += math.log(lm_score.BACKOFF)
+            else:
+                score -= math.log(total[()] + 1)
+        want[i] = score
+    assert len(got) == len(texts)
+    for r in got:
+        assert math.isclose(r.log_score, want.get(r.doc_id, 0.0), abs_tol=1e-4) and (r.bits_per_byte is None) == (r.doc_id in (4, 5, 6))
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[None].bits_per_byte > by_id[1].bits_per_byte + 1
+    assert lm_score.score_by_words(table([], DOCS)).count() == 0
+
+
 # op9 ---------------------------------------------------------------------------------------
 
 

@@ -1,4 +1,4 @@
-"""Stupid-backoff scores computed relationally: n-gram counts by hash, joined to exploded n-grams, summed per document."""
+"""Stupid-backoff scores computed relationally: n-gram counts by hash, brought back to the texts that have them, summed per document."""
 
 from __future__ import annotations
 
@@ -7,12 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twintrail.llm.common import hold, whole_text
-from twintrail.llm.words import chunks
-
+from twintrail.llm.words import chunks, mixed, run_hashes, word_hashes
+
+#: n-grams of up to so many words.
+WORDS = 3
+#: Texts are dealt into blocks of about so many bytes where words are counted: nearly each n-gram is a row of its own.
+WORD_BLOCK_BYTES = 8 << 20
+#: Stands for a word before the text.
+_START = mixed(np.array([1 << 50], np.uint64))
 #: n-grams of up to so many bytes; a key holds them in 40 bits and their length above.
 ORDER = 5
 BACKOFF = 0.4
@@ -193,3 +199,150 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     )
     bits = F.when(F.col("n_bytes") > 0, F.round(-F.col("log_score") / F.log(F.lit(2.0)) / F.col("n_bytes"), 6))
     return scored.select("doc_id", "n_bytes", F.round("log_score", 4).alias("log_score"), bits.alias("bits_per_byte"))
+
+
+def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(text, real, counted, hashes) of the words of a chunk, with start marks before each text that has words.
+
+    ``hashes[k]`` holds the hash of the k words up to each place. Words are what blanks part,
+    A-Z counted as a-z. ``real`` are the words, ``counted`` these and each text's last mark.
+    """
+    found, firsts = word_hashes(data, offsets)
+    sizes = np.diff(firsts)
+    full = np.flatnonzero(sizes)
+    marked = sizes[full] + WORDS
+    line = np.full(int(marked.sum()), _START[0], np.uint64)
+    text = np.repeat(full, marked)
+    begins = np.concatenate([[0], np.cumsum(marked)])[:-1].astype(np.int64)
+    counted = np.ones(len(line), bool)
+    for k in range(WORDS - 1):
+        counted[begins + k] = False
+    real = counted.copy()
+    real[begins + WORDS - 1] = False
+    line[real] = found
+    hashes = [np.zeros(len(line), np.uint64)]
+    for k in range(1, WORDS + 1):
+        own = np.zeros(len(line), np.uint64)
+        if len(line) >= k:
+            own[k - 1 :] = run_hashes(line, k)
+        hashes.append(own)
+    return text, real, counted, hashes
+
+
+def _word_counts(chunked: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all lengths, in order, and how often each occurs."""
+    keys, counts, merged = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for _, data, offsets in chunked:
+        _, _, counted, hashes = word_grams(data, offsets)
+        ordered = np.sort(np.concatenate([h[counted] for h in hashes[1:]]))
+        starts, n = _runs(ordered)
+        keys.append(ordered[starts])
+        counts.append(n)
+        if sum(map(len, keys)) > max(MERGE_AT, 2 * merged):
+            one = _summed(keys, counts)
+            keys, counts, merged = [one[0]], [one[1]], len(one[0])
+    return _summed(keys, counts)
+
+
+def _count_words(key: tuple, texts: pa.Table) -> pa.Table:
+    keys, n = _word_counts(_all_chunks(texts["text"]))
+    block = pa.array(np.full(len(keys), key[0].as_py(), np.int32))
+    return pa.table([block, pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["block", "key", "n"])
+
+
+def _all_chunks(texts: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The chunks of all parts of a column, with the row counted over all of them."""
+    before = 0
+    for part in texts.chunks:
+        for first, data, offsets in chunks(part):
+            yield before + first, data, offsets
+        before += len(part)
+
+
+def _own(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each place, how often its hash occurs in its text."""
+    order = np.lexsort((hashes, text))
+    t, h = text[order], hashes[order]
+    starts = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (h[1:] != h[:-1])) + 1])
+    n = np.diff(np.concatenate([starts, [len(order)]]))
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.repeat(n, n)
+    return out
+
+
+def score_words_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, totals: np.ndarray, events: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log score, words) of each text of a chunk by the counts of all other texts."""
+    n = len(offsets) - 1
+    text, real, counted, hashes = word_grams(data, offsets)
+    if not len(text):
+        return np.zeros(n), np.zeros(n, np.int64)
+    text, real = text[counted], real[counted]
+    others = [None]
+    for h in hashes[1:]:
+        h = h[counted]
+        others.append(totals[np.searchsorted(keys, h)] - _own(text, h))
+    words = np.bincount(text[real], minlength=n)
+    places = np.flatnonzero(real)
+    left, value = np.arange(len(places)), np.zeros(len(places))
+    for k in range(WORDS, 0, -1):
+        at = places[left]
+        seen = others[k][at] > 0
+        # The words before a place end one place earlier.
+        below = others[k - 1][at[seen] - 1] if k > 1 else events - words[text[at[seen]]] - 1
+        value[left[seen]] += np.log(others[k][at[seen]] / below)
+        value[left[~seen]] += np.log(BACKOFF)
+        left = left[~seen]
+    # A word that no other text has: as if it had been seen once more than everything there is.
+    value[left] -= np.log(events + 1.0)
+    return np.bincount(text[places], value, n), words
+
+
+def _score_words(events: int):
+    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
+        # What no other block has, this block counts itself.
+        keys, totals = _word_counts(_all_chunks(texts["text"]))
+        if told.num_rows:
+            totals[np.searchsorted(keys, told["key"].to_numpy().view(np.uint64))] = told["total"].to_numpy()
+        parts = [score_words_chunk(data, offsets, keys, totals, events) for _, data, offsets in _all_chunks(texts["text"])]
+        scores, words = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (0, 1))
+        return pa.table([texts["doc_id"], texts["n_bytes"], pa.array(scores, pa.float64()), pa.array(words.astype(np.int64))], ["doc_id", "n_bytes", "log_score", "n_words"])
+
+    return run
+
+
+def score_by_words(docs: DataFrame, block_bytes: int = WORD_BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, log_score, bits_per_byte) of every row.
+
+    Each word is scored by how often it follows the two before it in all other texts; where it
+    never does, by 0.4 times its score after one, and so on. Words are what blanks part, A-Z
+    counted as a-z. A text's own n-grams are taken off the counts, so that a text is not its
+    own evidence and copies are.
+
+    Texts are dealt into blocks. Each block counts its n-grams by 64-bit hash; the rows
+    (block, n-gram, n) are dealt by n-gram and summed, and the sums of n-grams that more than
+    one block has go back to the blocks that have them. A frequent
+    n-gram is one row a block. n-grams of one block only are counted there, with the same sum.
+
+    Texts without words have score 0 and no bits. Ids may be null. Repeated rows count and are
+    scored each. An empty table gives no row. Other columns are not read.
+    """
+    text = whole_text()
+    n_words = F.regexp_count(text, F.lit(r"[^ \t-\r]+"))
+    sizes = docs.select(F.octet_length(text).alias("n"), n_words.cast("long").alias("words")).agg(F.sum("n"), F.sum("words"), F.count_if(F.col("words") > 0)).first()
+    n_bytes, events = int(sizes[0] or 0), int(sizes[1] or 0) + int(sizes[2])
+    n_blocks = max(1, -(-n_bytes // block_bytes))
+    row = docs.select(
+        "doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.pmod(F.xxhash64("doc_id", text), F.lit(n_blocks)).cast("int").alias("block")
+    ).repartition(max(2, n_blocks), "block")
+    counted = row.groupBy("block").applyInArrow(_count_words, "block int, key long, n long")
+    # Dealt once by n-gram: a group has one row a block.
+    same = Window.partitionBy("key")
+    summed = counted.repartition(max(2, n_blocks), "key").select("block", "key", F.sum("n").over(same).alias("total"), F.count(F.lit(1)).over(same).alias("blocks"))
+    told = summed.where("blocks > 1").select("block", "key", "total")
+    scored = (
+        row.groupBy("block")
+        .cogroup(told.groupBy("block"))
+        .applyInArrow(_score_words(events), "doc_id long, n_bytes long, log_score double, n_words long")
+    )
+    bits = F.when(F.col("n_words") > 0, F.round(-F.col("log_score") / F.log(F.lit(2.0)) / F.col("n_bytes"), 6))
+    return scored.select("doc_id", "n_bytes", F.round("log_score", 4).alias("log_score"), bits.alias("bits_per_byte"))

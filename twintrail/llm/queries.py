@@ -75,7 +75,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_lm_scoring")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+    return lm_score.score_by_words(table(spark, sf_dir, "documents"))
 
 
 @query(
