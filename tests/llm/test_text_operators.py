@@ -196,6 +196,18 @@ def test_trust_spreads(session):
         assert math.isclose(r.trust, trust[r.host], abs_tol=1e-12) and math.isclose(r.distrust, distrust[r.host], abs_tol=1e-12)
 
 
+def test_distrust_reaches_far_and_small(session, table):
+    # A chain of 20 links, and shares of 1/2001 taken four times.
+    links = [(f"c{k}.net", f"c{k - 1}.net" if k > 1 else "x.com", 1) for k in range(1, 21)]
+    links += [(f"d{k}.net", f"d{k - 1}.net" if k > 1 else "x.com", 1) for k in range(1, 5)]
+    links += [("noise.net", h, 2000) for h in ("x.com", "d1.net", "d2.net", "d3.net")]
+    rows = [(k, f"http://{src}/", f"<a href='http://{dst}/'>" * n) for k, (src, dst, n) in enumerate(links)]
+    rows += [(100, "http://x.com/de/", ""), (101, "http://none.net/", "")]
+    got = {r.host: r for r in url_filter.judge_urls(table(rows, "page_id long, url string, html string")).collect()}
+    assert {h for h, r in got.items() if r.verdict == "allow"} == {"none.net"}
+    assert 0 < got["d4.net"].distrust < 1e-12 and got["none.net"].distrust == 0
+
+
 # op6 ---------------------------------------------------------------------------------------
 
 

@@ -16,7 +16,11 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 DAMPING = 0.85
-ITERATIONS = 12
+#: Rounds end when no host's trust or distrust changes by more than this share of itself, so not before every
+#: host that links lead to is reached; then what later rounds would add is under six times that share.
+TOLERANCE = 1e-4
+#: Values closer than this share differ by the order of summing only.
+NOISE = 1e-9
 #: A host is blocked when its distrust is over this many times its trust.
 DISTRUST_RATIO = 1.0
 #: Rounds between two cuts of the lineage.
@@ -56,13 +60,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread_trust(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def spread_trust(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank.
 
     ``seeds`` (host, good, bad) are shares that sum to one each, or to zero. Trust follows
     links from the good seeds; distrust runs against them from the bad ones, since a host
     answers for what it links to. What hosts without links hold is let go, which scales all
-    values alike.
+    values alike. Without a number of ``iterations`` rounds go on until all values settle.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("into"))
@@ -75,25 +79,43 @@ def spread_trust(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, i
     )
     seeds = hold(seeds.select("host", "good", "bad"))
     state = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for k in range(1, iterations + 1):
+    zero = F.lit(0.0)
+    k = 0
+    while k != iterations:
+        k += 1
         moved = flows.join(state, "host").select(
             F.col("to").alias("host"),
             (damping * F.col("trust") * F.col("good")).alias("trust"),
             (damping * F.col("distrust") * F.col("bad")).alias("distrust"),
         )
         again = seeds.select("host", ((1 - damping) * F.col("good")).alias("trust"), ((1 - damping) * F.col("bad")).alias("distrust"))
-        state = moved.unionByName(again).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % CUT_EVERY == 0:
-            state = hold(state)
+        now, sums = moved.unionByName(again), [F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")]
+        if k % CUT_EVERY:
+            state = now.groupBy("host").agg(*sums)
+            continue
+        before = state.select("host", zero.alias("trust"), zero.alias("distrust"), F.col("trust").alias("old_trust"), F.col("distrust").alias("old_distrust"))
+        both = now.withColumn("old_trust", zero).withColumn("old_distrust", zero).unionByName(before).groupBy("host")
+        both = hold(both.agg(*sums, F.sum("old_trust").alias("old_trust"), F.sum("old_distrust").alias("old_distrust")))
+        state = both.select("host", "trust", "distrust")
+        if iterations is None:
+            moves = [F.abs(F.col(c) - F.col(f"old_{c}")) > tolerance * F.greatest(c, f"old_{c}") for c in ("trust", "distrust")]
+            if both.where(moves[0] | moves[1]).isEmpty():
+                break
     return state
 
 
+def _digits(name: str) -> Column:
+    """The value by nine significant digits, null as zero: shares shrink as the table grows."""
+    return F.format_string("%.8e", F.coalesce(name, F.lit(0.0))).cast("double")
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, ratio: float = DISTRUST_RATIO) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row of ``pages``.
 
     The longest rule that fits decides. Pages without a rule get the verdict of their host,
     whose trust and distrust spread from the pages that rules allow and block. A host that
-    neither reaches is allowed. Null urls and urls without ``://`` have an empty host and path;
+    neither reaches, over links of any number, is allowed; a share that links split as often as
+    it may be still counts. Null urls and urls without ``://`` have an empty host and path;
     null html has no links. Repeated rows are judged each. An empty table gives no row. Columns
     other than page_id, url and html are not read.
     """
@@ -108,13 +130,13 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, rati
     all_good, all_bad = counts.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()  # two numbers
     seeds = counts.select("host", (F.col("good") / max(1, all_good)).alias("good"), (F.col("bad") / max(1, all_bad)).alias("bad"))
     hosts = hold(spread_trust(edges, seeds))
-    bad_host = F.round(F.col("distrust"), 12) > F.round(ratio * F.col("trust"), 12)
+    bad_host = F.col("distrust") > ratio * F.col("trust") * (1 + NOISE)
     return judged.join(hosts, "host", "left").select(
         "page_id",
         "host",
         "path",
         "rule",
         F.coalesce("ruled", F.when(bad_host, "block").otherwise("allow")).alias("verdict"),
-        F.round(F.coalesce("trust", F.lit(0.0)), 12).alias("trust"),
-        F.round(F.coalesce("distrust", F.lit(0.0)), 12).alias("distrust"),
+        _digits("trust").alias("trust"),
+        _digits("distrust").alias("distrust"),
     )
