@@ -129,6 +129,16 @@ def test_decontamination(session, table):
     assert {r.row for r in found} == {1}
 
 
+def test_short_items_are_found_in_long_documents(session, table):
+    long = " ".join(["filler"] * 20)
+    docs = [(1, f"{long} What is 17 * 23? {long}"), (2, f"{long} What is 18 * 23? {long}"), (3, "What is 17 * 23"), (4, "so WHAT is 17 23"), (5, "one 17"), (6, f"{long} what"), (7, f"is 17 23 {long} what"), (8, f"Hello. {long}"), (9, "what is 17 24")]
+    items = [(1, "What is 17 * 23?"), (2, "hello"), (3, "one 17 and more than four words")]
+    for most in (1_000_000, 0):
+        got = decontaminate.contaminated(table(docs, "row long, text string"), table(items, "item_id long, text string"), max_sent=most).collect()
+        # A document of the item's length meets it as a template too, as before.
+        assert {(r.row, r.item_id, r.changed) for r in got} == {(1, 1, False), (3, 1, False), (4, 1, False), (8, 2, False), (9, 1, True)}
+
+
 # op4 ---------------------------------------------------------------------------------------
 
 

@@ -118,7 +118,7 @@ def windows(found: Tokens, template: bool) -> tuple[np.ndarray, np.ndarray, np.n
 
     As templates, or by the plain words: a name may be a common word in a text without
     capitals, so each text has both readings. A text of fewer words is one window of its own
-    size, which only another such text can match.
+    size; longer texts meet it by short_windows().
     """
     h = np.where(found.kinds > 0, _MARKS[found.kinds], found.hashes) if template else found.hashes
     counts = np.diff(found.firsts)
@@ -139,6 +139,27 @@ def windows(found: Tokens, template: bool) -> tuple[np.ndarray, np.ndarray, np.n
     return texts, at, hashes
 
 
+def short_windows(found: Tokens, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place of the first word in it, hash) of each window of so many words in a text that has more.
+
+    By the plain words only: so few have to be the same, numbers and names too.
+    """
+    counts = np.diff(found.firsts)
+    text_of = np.repeat(np.arange(len(counts)), counts)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for size in lengths:
+        n = len(text_of) - size + 1
+        if n < 1:
+            continue
+        total = np.full(n, 2 * size, np.uint64)
+        for k in range(size):
+            total += found.hashes[k : n + k] * PLACES[k]
+        at = np.flatnonzero((text_of[:n] == text_of[size - 1 :]) & (counts[text_of[:n]] > size))
+        out.append((text_of[at], at, mixed(total[at])))
+    texts, at, hashes = (np.concatenate(x) for x in zip(*out))
+    return texts, at, hashes
+
+
 def slots(data: np.ndarray, found: Tokens, text: int, at: int) -> list[str]:
     """The values in a window's placeholders, in lower case, each with its type."""
     last = min(at + WINDOW, int(found.firsts[text + 1]))
@@ -146,7 +167,7 @@ def slots(data: np.ndarray, found: Tokens, text: int, at: int) -> list[str]:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, place, hash, size, slots) of every window of every item; size is the item's number of windows."""
+    """(item_id, place, hash, size, words, slots) of every window of every item; size is the item's number of windows, words that of a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,17 +177,18 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 for template in (True, False):
                     texts, at, hashes = windows(found, template)
                     counts = np.bincount(texts, minlength=len(offsets) - 1)
+                    words = np.minimum(np.diff(found.firsts), WINDOW)
                     values = [slots(data, found, t, a) if template else [] for t, a in zip(texts.tolist(), at.tolist())]
                     yield pa.record_batch(
-                        [pa.array(items[first + texts]), pa.array(at - found.firsts[texts], pa.int32()), pa.array(hashes.view(np.int64)), pa.array(counts[texts], pa.int32()), pa.array(values, pa.list_(pa.string()))],
-                        ["item_id", "place", "hash", "size", "slots"],
+                        [pa.array(items[first + texts]), pa.array(at - found.firsts[texts], pa.int32()), pa.array(hashes.view(np.int64)), pa.array(counts[texts], pa.int32()), pa.array(words[texts], pa.int32()), pa.array(values, pa.list_(pa.string()))],
+                        ["item_id", "place", "hash", "size", "words", "slots"],
                     )
 
-    return benchmark.select("item_id", whole_text().alias("text")).mapInArrow(run, "item_id long, place int, hash long, size int, slots array<string>")
+    return benchmark.select("item_id", whole_text().alias("text")).mapInArrow(run, "item_id long, place int, hash long, size int, words int, slots array<string>")
 
 
-def document_windows(docs: DataFrame, known: list[int] | None) -> DataFrame:
-    """(row, place, hash, slots) of the windows of ``docs`` (row, text), or of those whose hash is known."""
+def document_windows(docs: DataFrame, known: list[int] | None, lengths: list[int]) -> DataFrame:
+    """(row, place, hash, slots) of the windows of ``docs`` (row, text), or of those whose hash is known; of fewer words by ``lengths``."""
     sent = None if known is None else docs.sparkSession.sparkContext.broadcast(np.sort(np.array(known, np.int64).view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +196,8 @@ def document_windows(docs: DataFrame, known: list[int] | None) -> DataFrame:
             rows = batch["row"].to_numpy(zero_copy_only=False)
             for first, data, offsets in chunks(batch["text"]):
                 found = canonical(data, offsets)
-                for template in (True, False):
-                    texts, at, hashes = windows(found, template)
+                for template in (True, False, None):
+                    texts, at, hashes = short_windows(found, lengths) if template is None else windows(found, template)
                     if sent is not None:
                         hit = np.zeros(0, np.int64)
                         if len(sent.value):
@@ -193,7 +215,8 @@ def document_windows(docs: DataFrame, known: list[int] | None) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, max_sent: int = MAX_SENT_WINDOWS) -> DataFrame:
     """(row, item_id, shared, size, changed) of ``docs`` (row, text): windows of an item in a row.
 
-    Windows are joined by hash and laid along diagonals: all places of one copy have the same
+    An item of fewer words than a window is found where these words stand in a row. Windows are
+    joined by hash and laid along diagonals: all places of one copy have the same
     distance from their places in the item. On a diagonal each value of a slot in the item has
     to stand for one value in the document, else the windows that hold that slot do not count.
     ``shared`` is the number of the item's windows that are left, over all diagonals;
@@ -203,7 +226,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_sent: int = MAX_SENT_WIND
     hashes = items.select("hash").distinct()
     small = items.count() <= max_sent
     known = [r[0] for r in hashes.collect()] if small else None  # at most max_sent numbers
-    met = document_windows(docs, known).alias("d").join(items.alias("i"), "hash")
+    lengths = [r[0] for r in items.where(F.col("words") < WINDOW).select("words").distinct().collect()]  # at most four
+    met = document_windows(docs, known, lengths).alias("d").join(items.alias("i"), "hash")
     met = hold(
         met.select(
             "row", "item_id", F.col("d.place").alias("place"), F.col("i.place").alias("item_place"), "size", F.col("d.slots").alias("said"), F.col("i.slots").alias("asked"),
