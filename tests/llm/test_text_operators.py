@@ -167,6 +167,19 @@ def test_training_pages_may_repeat_or_lack_an_id(session, table):
     assert {r.text for r in html_text.extract(pages).collect()} == {"Body text of the page goes here.", ""}
 
 
+def test_html_keeps_what_is_not_raw():
+    model = html_text.fit()
+    head, tail = "<html><body><nav><a href=x>Home</a></nav><article><h1>Heading of the page</h1><p>The first paragraph says this.</p>", "<p>The last paragraph of the article says that.</p></article><footer>&copy; me</footer></body></html>"
+    main = lambda inner: html_text.main_text(head + inner + tail, model)
+    assert "where x=2 holds" in main("<p>A formula where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds in a line.</p>")
+    for tag in ("object", "svg", "math", "noscript", "template", "select"):
+        assert main(f"<{tag} class=y><p>Something within that is told here.</p></{tag}>").split("\n")[2:] == ["Something within that is told here.", "The last paragraph of the article says that."], tag
+        for unclosed in (f"<{tag}>", f"<{tag} />"):
+            assert main(unclosed).split("\n")[1:] == ["The first paragraph says this.", "The last paragraph of the article says that."], tag
+    for tag in ("script", "style", "iframe", "textarea"):
+        assert main(f"<{tag}>code</{tag}>") == main("") and "The last paragraph of the article says that." in main(f"<{tag}>")
+
+
 # op5 ---------------------------------------------------------------------------------------
 
 

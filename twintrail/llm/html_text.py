@@ -23,13 +23,16 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # Elements whose content is not text, elements that never have content, elements
-# that make blocks, and those that the start of another block closes.
-RAW = frozenset("script style template noscript iframe object svg math textarea select".split())
+# that make blocks, and those that the start of another block closes. Formulas (math) are part of the line.
+RAW = frozenset("script style iframe textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     """html head title body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th
-    blockquote pre figure figcaption form fieldset legend label button details summary address hr dialog menu option center""".split()
+    blockquote pre figure figcaption form fieldset legend label button details summary address hr dialog menu option center
+    select template noscript object svg text""".split()
 )
+#: Blocks that say nothing of what is in them: the elements around them do. They may close themselves.
+NEUTRAL = frozenset("select template noscript object svg text".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option thead tbody tfoot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -72,6 +75,7 @@ def leaf_blocks(page: str) -> list[Block]:
         linked = 0
 
     at, size = 0, len(page)
+    endless: set[str] = set()  # elements that nothing ends from here on
     while at < size:
         match = TAG.search(page, at)
         stop = match.start() if match else size
@@ -100,14 +104,21 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in RAW:
             if match[3].rstrip().endswith("/"):
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(tag)
         elif tag == "br":
             parts.append(" ")
         elif tag == "a":
             links += 1
         elif tag in BLOCK:
             flush()
+            if tag in NEUTRAL:
+                if not (match[3] or "").rstrip().endswith("/"):
+                    stack.append((tag, _names(match[3]) if match[3] else ()))
+                continue
             while stack and stack[-1][0] in CLOSED_BY_BLOCK:
                 stack.pop()
             if tag in CLOSED_BY_SAME and stack and stack[-1][0] == tag:
@@ -139,7 +150,7 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
         found = ["bias", f"size{_size(words)}", f"own:{own}", f"links{0 if share < 0.1 else 1 if share < 0.6 else 2}"]
         found += [f"in:{t}" for t in set(path)]
         found += [f"name:{w}" for w in block.names]
-        container = next((t for t in reversed(path) if t not in ("p", "div", "ul", "ol", "li", "span", "section") and t not in HEADINGS), "none")
+        container = next((t for t in reversed(path) if t not in ("p", "div", "ul", "ol", "li", "span", "section") and t not in HEADINGS and t not in NEUTRAL), "none")
         found.append(f"box:{container}")
         if block.text[-1:] in ".!?":
             found.append("ends")
