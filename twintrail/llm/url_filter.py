@@ -17,7 +17,7 @@ RULES = [
 ]
 DAMPING = 0.85
 #: Rounds end when no host's trust or distrust changes by more than this share of itself, so not before every
-#: host that links lead to is reached; then what later rounds would add is under six times that share.
+#: host that links lead to is reached.
 TOLERANCE = 1e-4
 #: Values closer than this share differ by the order of summing only.
 NOISE = 1e-9
