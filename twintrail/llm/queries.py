@@ -8,18 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintrail.llm import bpe, decontaminate, exact_dedup, html_text, lm_score, near_dedup, sharding, suffix_dedup, toxicity, url_filter
+from twintrail.llm import bpe, decontaminate, exact_dedup, html_text, lm_score, manifest, near_dedup, sharding, sql, suffix_dedup, toxicity, url_filter
 from twintrail.llm.common import ROW, reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, statement: str | None = None):
     def add(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(reachable(spark), sf_dir)
-        if sql is not None:
-            ORACLES[name] = sql
+        if statement is not None:
+            ORACLES[name] = statement
         return fn
 
     return add
@@ -99,3 +99,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs.select("doc_id", "text")).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op11_merkle_manifest", sql.MANIFEST)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
