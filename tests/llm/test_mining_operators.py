@@ -1,12 +1,15 @@
 """Manifest, phrases and quality against brute force, with nulls, empties, ties, repeats and clashing columns."""
 
+import collections
 import hashlib
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 
-from twintrail.llm import manifest
+from twintrail.llm import collocations, manifest
 
 # op11 --------------------------------------------------------------------------------------
 
@@ -84,3 +87,72 @@ def test_manifest_of_nothing_and_of_one_row(table):
     row = {"doc_id": 2, "text": "t", "lang": "en", "source": None, "n_chars": 1}
     (one,) = manifest.manifest(table([(2, "t", "en", None, 1, "x", "y", 3, 4, "z", 5)], WIDE)).collect()
     assert one.leaf == one.subroot == one.root == leaf_of(row) and one.proof_sha256 == sha("")
+
+
+# op12 --------------------------------------------------------------------------------------
+
+EXTRA = "doc_id long, text string, lang string, block long, words string, phrase string, f long, size int, n long, rank int"
+
+
+def brute_phrases(rows, min_count, top):
+    f, n = collections.Counter(), collections.Counter()
+    small = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(small)):
+            words = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            f.update((lang, tuple(words[k : k + size])) for size in (1, 2, 3) for k in range(len(words) - size + 1))
+    candidates = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= min_count}
+    out = []
+    for lang in n:
+        scored = []
+        for (of, w), a in candidates.items():
+            longer = (b for (also, v), b in candidates.items() if also == of and len(v) > len(w) and w in (v[:2], v[1:]))
+            if of == lang and all(100 * b < 50 * a for b in longer):
+                cuts = [(1000000 * a * a // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w))]
+                score, k = min(cuts)
+                scored.append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+        out += [(lang, rank, w.decode(), -a, x, y, n[lang], -score) for rank, (score, a, w, x, y) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out)
+
+
+def phrase_rows(n=260):
+    dice = random.Random(12)
+    words = ["The", "the", "new", "NEW", "york", "é漢", "É", "a\u00a0b", "x", "y", "z", "zero"]
+    marks = [" ", " ", " ", " ", "\t ", ". ", ",", "\n", "\r\n", ":", "\u000b", "; "]
+    rows = [(dice.choice(["en", "en", "de", None, "und", ""]), "".join(dice.choice(words) + dice.choice(marks) for _ in range(dice.randrange(40)))) for _ in range(n)]
+    return rows + [("en", None), ("en", ""), ("en", "one"), ("lone", "a b"), ("en", "new york " * 4000)] + rows[:20] + [("de", "c b a. b a")] * 12
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 500, "partition_mass": 300}])
+def test_collocations(table, sizes):
+    rows = phrase_rows()
+    docs = table([(k, t, lang, 1, "w", "p", 2, 3, 4, 5) for k, (lang, t) in enumerate(rows)], EXTRA)
+    got = sorted(tuple(r) for r in collocations.collocations(docs, 10, 15, **sizes).collect())
+    assert got == brute_phrases(rows, 10, 15)
+
+
+def test_collocations_of_nothing(table):
+    assert collocations.collocations(table([], EXTRA)).collect() == []
+    assert collocations.collocations(table([(1, None, None, 1, "", "", 1, 1, 1, 1)], EXTRA)).collect() == []
+
+
+def test_summaries_keep_every_frequent_key():
+    dice = np.random.default_rng(5)
+    for threshold in (2, 7, 10):
+        # Most keys are rare, some lie right at the threshold.
+        keys = np.concatenate([np.repeat(np.arange(40, dtype=np.uint32), threshold + dice.integers(0, 2, 40)), dice.integers(100, 9000, 30000).astype(np.uint32)])
+        dice.shuffle(keys)
+        summary = collocations.Summary(len(keys) // threshold)
+        for part in np.array_split(keys, 50):
+            summary.merge(*np.unique(part, return_counts=True))
+            summary.settle()
+        assert len(summary.keys) <= len(keys) // threshold
+        found, n = np.unique(keys, return_counts=True)
+        assert set(found[n >= threshold]) <= set(summary.keys)
+
+
+def test_numbers_survive_packing():
+    for values in ([], [0], [1, 2**32 - 1, 7], list(range(0, 100000, 7))):
+        assert collocations.unpack(collocations.pack(np.array(values, np.uint32))).tolist() == values

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintrail.llm import bpe, decontaminate, exact_dedup, html_text, lm_score, manifest, near_dedup, sharding, sql, suffix_dedup, toxicity, url_filter
+from twintrail.llm import bpe, collocations, decontaminate, exact_dedup, html_text, lm_score, manifest, near_dedup, sharding, sql, suffix_dedup, toxicity, url_filter
 from twintrail.llm.common import ROW, reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest", sql.MANIFEST)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_phrase_collocations", sql.COLLOCATIONS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

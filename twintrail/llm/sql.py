@@ -50,3 +50,35 @@ WITH RECURSIVE fields AS (
 SELECT f.doc_id, f.leaf, r.h AS subroot, t.h AS root, f.proof AS proof_sha256, f.folded_root, f.folded_root = t.h AS verified
 FROM folded f JOIN subroot r ON r.lang IS NOT DISTINCT FROM f.lang CROSS JOIN (SELECT h FROM tops WHERE n = 1) t
 """
+
+COLLOCATIONS = """
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, words
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS said
+        FROM documents),
+       LATERAL (SELECT list_filter(regexp_split_to_array(said, '[\\x20\\x09]+'), lambda w: w <> '') AS words)
+), grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+  FROM pieces, (SELECT unnest([1, 2, 3]) AS size) WHERE len(words) >= size
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL
+), langs AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+), cuts AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size > 1 AND f >= 10
+), scored AS (
+  SELECT c.lang, c.size, c.phrase, c.a, c.w, c.k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM scored WHERE size = 3) GROUP BY ALL
+), ranked AS (
+  SELECT s.lang, s.phrase, s.a, s.l, s.r, s.score, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, langs.n, r.score FROM ranked r JOIN langs ON langs.lang = r.lang WHERE r.rank <= 2000
+"""
