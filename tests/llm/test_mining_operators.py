@@ -7,9 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from twintrail.llm import collocations, manifest
+from twintrail.llm import collocations, manifest, quality
+from twintrail.llm.queries import QUERIES
 
 # op11 --------------------------------------------------------------------------------------
 
@@ -156,3 +158,120 @@ def test_summaries_keep_every_frequent_key():
 def test_numbers_survive_packing():
     for values in ([], [0], [1, 2**32 - 1, 7], list(range(0, 100000, 7))):
         assert collocations.unpack(collocations.pack(np.array(values, np.uint32))).tolist() == values
+
+
+# op13 --------------------------------------------------------------------------------------
+
+
+def tokens(text):
+    return re.findall("(?:[^\x00-\x7f]|[0-9A-Za-z])+|[\x00-\x08\x0e-\x1f!-/:-@\\[-`{-\x7f]+", text)
+
+
+QUALITY_TEXTS = ["", "one", "The the the. The!! é漢 a_b x", " \t\n ", "w&&& w&&& " * 30, "a b c d e f g " * 9, "The the the. The!! é漢 a_b x"]
+
+
+def hashed(texts):
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    return quality.token_hashes(np.frombuffer(data, np.uint8), offsets)
+
+
+def test_tokens():
+    hashes, first = hashed(QUALITY_TEXTS)
+    plain = [tokens(t) for t in QUALITY_TEXTS]
+    assert first.tolist() == np.cumsum([0] + [len(p) for p in plain]).tolist()
+    of = {}
+    for word, h in zip((w for p in plain for w in p), hashes.tolist()):
+        assert of.setdefault(word, h) == h
+    assert len(set(of.values())) == len(of)
+
+
+def index_vector(h):
+    out = np.zeros(quality.DIMENSIONS, np.int64)
+    for k in range(2 * quality.ENTRIES):
+        out[quality.index_entry(np.array([h], np.uint64), k)[0]] += 1 - 2 * (k % 2)
+    return out
+
+
+def brute_contexts(texts):
+    table = np.zeros((quality.BUCKETS, quality.DIMENSIONS + 1), np.int64)
+    for t in texts:
+        h = hashed([t])[0]
+        for i in range(len(h)):
+            row = table[int(h[i]) % quality.BUCKETS]
+            row[-1] += 1
+            for j in range(max(0, i - quality.WINDOW), min(len(h), i + quality.WINDOW + 1)):
+                if j != i:
+                    row[:-1] += index_vector(h[j])
+    return table
+
+
+def test_contexts_against_plain_count(table, session):
+    docs = table([(k, t) for k, t in enumerate(QUALITY_TEXTS * 7)], "doc_id long, text string").repartition(5)
+    assert np.array_equal(quality.word_vectors(docs), brute_contexts(QUALITY_TEXTS * 7))
+
+
+@pytest.mark.parametrize("at_once", [3, 1 << 16])
+def test_pools_against_plain_means(monkeypatch, at_once):
+    monkeypatch.setattr(quality, "POOL_WORDS", at_once)
+    pooling = quality.Pooling(brute_contexts(QUALITY_TEXTS))
+    got = pooling(pa.array(QUALITY_TEXTS + [None]))
+    for row, text in zip(got, QUALITY_TEXTS + [""]):
+        bucket = quality.buckets_of(hashed([text])[0])
+        v, w = pooling.vectors[bucket], pooling.weights[bucket]
+        n = max(1, len(v))
+        alike = [float(a @ b) for a, b in zip(v, v[1:])]
+        same = sum(x for x, a, b in zip(alike, bucket, bucket[1:]) if a == b)
+        want = np.concatenate([v.sum(0) / n, (v * w[:, None]).sum(0) / max(1e-9, w.sum()), [sum(alike) / n, same / n]])
+        assert np.allclose(row, want, atol=1e-5)
+
+
+def test_slopes_against_differences():
+    dice = np.random.default_rng(3)
+    rows, labels = dice.normal(size=(30, 5)), dice.integers(0, 2, 30).astype(float)
+    weights = [dice.normal(size=(5, quality.HIDDEN)), dice.normal(size=quality.HIDDEN), dice.normal(size=quality.HIDDEN), np.asarray(0.3)]
+    net = lambda w: quality.Network(rows.mean(0), rows.std(0), w[0], w[1], w[2], float(w[3]))
+    _, slopes = quality.loss_and_slopes(net(weights), rows, labels)
+    for k, at in [(0, (2, 4)), (0, (4, 0)), (1, (7,)), (2, (9,)), (3, ())]:
+        up, down = ([np.array(w, float) for w in weights] for _ in range(2))
+        up[k][at] += 1e-5
+        down[k][at] -= 1e-5
+        step = (quality.loss_and_slopes(net(up), rows, labels)[0] - quality.loss_and_slopes(net(down), rows, labels)[0]) / 2e-5
+        assert abs(step - slopes[k][at]) < 1e-6
+
+
+def test_temperature_is_the_likeliest():
+    dice = np.random.default_rng(4)
+    odds = dice.normal(0, 6, 4000)
+    labels = (dice.random(4000) < quality.sigmoid(odds / 3)).astype(float)
+    grid = np.exp(np.linspace(-2.7, 2.7, 2000))
+    cost = [np.mean(np.logaddexp(0, odds / t) - labels * odds / t) for t in grid]
+    assert abs(quality.temperature(odds, labels) / grid[int(np.argmin(cost))] - 1) < 0.01
+    assert quality.temperature(odds, np.ones(4000)) == 1.0
+
+
+def test_quality_on_unseen_labels(session):
+    small = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in session.read.parquet(f"{small}/labels.parquet").collect()}
+    got = QUERIES["op13_quality"](session, small).collect()
+    assert len(got) == session.read.parquet(f"{small}/documents.parquet").count()
+    unseen = [(labels[r.doc_id], r) for r in got if r.held_out and labels.get(r.doc_id) is not None]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert np.mean([y == r.predicted for y, r in unseen]) > 0.95
+    good, bad = ([r.score for y, r in unseen if y == label] for label in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+
+
+def test_quality_edges(table, session):
+    texts = [(1, "plain words of prose"), (2, None), (None, "x"), (2, ""), (3, "w&&& " * 5000), (1, "plain words of prose")]
+    docs = table([(i, t, 0.25, "f", True) for i, t in texts], "doc_id long, text string, label double, features string, calibrates boolean")
+    none = session.createDataFrame([], "doc_id long, quality int")
+    for labels, share in [(none, 0.5), (session.createDataFrame([(1, 1), (2, None), (4, 0)], none.schema), 1.0)]:
+        scored = quality.fit(docs, labels).score(docs, into="label")
+        assert scored.columns == ["doc_id", "text", "features", "calibrates", "label"]
+        assert [r.label for r in scored.collect()] == [share] * len(texts)
+    both = session.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (None, 0), (9, 7)], none.schema)
+    rows = quality.fit(docs, both).score(docs, into="quality").collect()
+    assert len(rows) == len(texts) and all(0 <= r.quality <= 1 and r.features == "f" and r.label == 0.25 for r in rows)
+    assert quality.fit(docs.limit(0), none).score(docs.limit(0)).collect() == []

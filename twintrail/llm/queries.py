@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintrail.llm import bpe, collocations, decontaminate, exact_dedup, html_text, lm_score, manifest, near_dedup, sharding, sql, suffix_dedup, toxicity, url_filter
+from twintrail.llm import bpe, collocations, decontaminate, exact_dedup, html_text, lm_score, manifest, near_dedup, quality, sharding, sql, suffix_dedup, toxicity, url_filter
 from twintrail.llm.common import ROW, reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_phrase_collocations", sql.COLLOCATIONS)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_quality")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs.select("doc_id", "text")).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
