@@ -16,6 +16,8 @@ from twintrail.session import staged
 
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"
 FILES_PER_CHUNK = 65536
+#: A token's place takes so many bits of an anchor's rank; later ones in a longer file only settle ties otherwise.
+PLACE_BITS = 28
 
 
 def declaration_lines(files: DataFrame) -> DataFrame:
@@ -44,15 +46,9 @@ def _line_tokens(line: Column, normalise: bool) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def token_windows(
-    files: DataFrame, min_tokens: int = MIN_CLONE_TOKENS, mask: bool = True, normalise: bool = True
-) -> DataFrame:
-    """Digest of every run of ``min_tokens`` tokens, with its neighbours and its lines.
-
-    All of a file's windows come out of one row: no shuffle and no per-window state.
-    """
+def _tokens(files: DataFrame, min_tokens: int, mask: bool, normalise: bool) -> DataFrame:
+    """(PROJECT_KEYS, file_id, words, at): the tokens of each file that has enough of them, and their lines."""
     lines = F.split("text", "\n")
-    blocks = S.declaration_blocks(lines, F.col("language")) if mask else None
 
     def tokens_of(line: Column, i: Column) -> Column:
         found = F.transform(_line_tokens(line, normalise), lambda t: F.struct(t.alias("t"), (i + 1).alias("l")))
@@ -63,32 +59,96 @@ def token_windows(
         )
         return F.when(hidden, F.slice(found, 1, 0)).otherwise(found)
 
-    base = files.select(*PROJECT_KEYS, "file_id", "text")
-    base = base.withColumn("_blocks", blocks) if mask else base
-    tokens = base.select(
-        *PROJECT_KEYS, "file_id", F.flatten(F.transform(lines, tokens_of)).alias("tokens")
-    ).filter(F.size("tokens") >= min_tokens)
+    # Dealt by id first: how many files a task reads says little about how many tokens they have.
+    base = files.select(*PROJECT_KEYS, "file_id", "text").repartition("file_id")
+    base = base.withColumn("_blocks", S.declaration_blocks(lines, F.col("language"))) if mask else base
+    return (
+        base.select(*PROJECT_KEYS, "file_id", F.flatten(F.transform(lines, tokens_of)).alias("tokens"))
+        .filter(F.size("tokens") >= min_tokens)
+        .select(
+            *PROJECT_KEYS, "file_id", F.transform("tokens", lambda t: t["t"]).alias("words"),
+            F.transform("tokens", lambda t: t["l"]).alias("at"),
+        )
+    )
+
 
-    def digest(i: Column) -> Column:
-        return F.unhex(F.md5(F.array_join(F.slice("words", i, F.lit(min_tokens)), " ")))
+def _doubled(df: DataFrame, name: str, length: int, combine) -> DataFrame:
+    """Replace array ``name`` by the combination of ``length`` neighbours from each place on, in log2(length) steps.
 
-    starts = F.sequence(F.lit(1), F.size("words") - F.lit(min_tokens - 1))
-    hashed = (
-        tokens.withColumn("words", F.transform("tokens", lambda t: t["t"]))
-        .withColumn("at", F.transform("tokens", lambda t: t["l"]))
-        .select(*PROJECT_KEYS, "file_id", "at", F.transform(starts, digest).alias("d"))
+    ``combine`` of two values may see the same neighbour twice, so it has to allow for that.
+    """
+    reach = 1
+    while reach < length:
+        apart = min(reach, length - reach)
+        place = F.sequence(F.lit(0), F.size(name) - F.lit(1 + apart))
+        df = df.withColumn(name, F.transform(place, lambda i: combine(F.get(name, i), F.get(name, i + apart))))
+        reach += apart
+    return df
+
+
+def with_anchors(tokens: DataFrame, min_tokens: int) -> DataFrame:
+    """``tokens`` with ``anchors``: (key, first, last), windows first..last share the anchor ``key``.
+
+    Half a window's tokens and one make a gram. A window's anchor is the gram of least hash
+    among those inside it, the leftmost where several are equal. Equal windows have equal
+    anchors at equal distances, so a window whose anchor occurs once has no copy. Neighbouring
+    windows mostly share theirs: a file has some 4 anchors for 50 windows of 50 tokens.
+    """
+    gram = min_tokens // 2 + 1
+    hashed = tokens.withColumn("gram", F.transform("words", lambda w: F.xxhash64(w)))
+    hashed = _doubled(hashed, "gram", gram, lambda a, b: F.xxhash64(a, b))
+    places = F.lit((1 << PLACE_BITS) - 1).cast("long")
+    ranked = hashed.withColumn(
+        "least", F.transform("gram", lambda h, i: h.bitwiseAND(F.bitwise_not(places)).bitwiseOR(i.cast("long")))
+    )
+    ranked = _doubled(ranked, "least", min_tokens - gram + 1, lambda a, b: F.least(a, b))
+    opens = F.filter(
+        F.sequence(F.lit(0), F.size("least") - 1), lambda i: (i == 0) | (F.get("least", i) != F.get("least", i - 1))
     )
-    # Neighbours are kept as 64-bit keys: fixed-width values stay in hash aggregation.
-    keyed = hashed.withColumn("k", F.transform("d", lambda h: F.xxhash64(h)))
-    rows = F.transform(
-        "d",
-        lambda h, i: F.struct(
-            h.alias("h"), F.get("k", i - 1).alias("before"), F.get("k", i + 1).alias("after"),
-            F.get("at", i).alias("first_line"), F.get("at", i + (min_tokens - 1)).alias("last_line"),
-        ),
+    anchor = lambda i, k: F.struct(
+        F.get("gram", F.get("least", i).bitwiseAND(places).cast("int")).alias("key"),
+        i.alias("first"),
+        (F.coalesce(F.get("opens", k + 1), F.size("least")) - 1).alias("last"),
     )
-    return keyed.select(*PROJECT_KEYS, "file_id", F.posexplode(rows).alias("pos", "w")).select(
-        *PROJECT_KEYS, "file_id", "pos", "w.*"
+    return ranked.withColumn("opens", opens).withColumn("anchors", F.transform("opens", anchor)).drop("gram", "least", "opens")
+
+
+def repeated_windows(
+    files: DataFrame, min_tokens: int = MIN_CLONE_TOKENS, mask: bool = True, normalise: bool = True
+) -> DataFrame:
+    """Every run of ``min_tokens`` tokens that may have a copy, with its neighbours and its lines.
+
+    (PROJECT_KEYS, file_id, pos, h1, h2, before1, before2, after1, after2, first_line,
+    last_line): h1 and h2 are the halves of a 128-bit hash. Only anchors are shuffled; windows
+    are made for anchors that occur twice. A neighbour that has no copy is NULL.
+    """
+    anchored = staged(with_anchors(_tokens(files, min_tokens, mask, normalise), min_tokens))
+    file = [*PROJECT_KEYS, "file_id"]
+    anchors = anchored.select(*file, F.inline("anchors"))
+    common = anchors.groupBy(*PROJECT_KEYS, "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    ranges = anchors.join(common, [*PROJECT_KEYS, "key"]).groupBy(*file).agg(
+        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges")
+    )
+
+    def beside(name: str, p: Column, k: Column, step: int) -> Column:
+        return F.when(F.get("place", k + step) == p + step, F.get(name, p + step))
+
+    row = lambda p, k: F.struct(
+        p.alias("pos"), F.get("h1", p).alias("h1"), F.get("h2", p).alias("h2"),
+        beside("h1", p, k, -1).alias("before1"), beside("h2", p, k, -1).alias("before2"),
+        beside("h1", p, k, 1).alias("after1"), beside("h2", p, k, 1).alias("after2"),
+        F.get("at", p).alias("first_line"), F.get("at", p + (min_tokens - 1)).alias("last_line"),
+    )
+    hits = anchored.drop("anchors").join(ranges, file)
+    for half, seed in (("h1", 1), ("h2", 2)):
+        hits = hits.withColumn(half, F.transform("words", lambda w: F.xxhash64(F.lit(seed), w)))
+        hits = _doubled(hits, half, min_tokens, lambda a, b: F.xxhash64(F.lit(seed), a, b))
+    return (
+        hits.withColumn("place", F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"]))))
+        .withColumn("rows", F.transform("place", row))
+        # The outer form, though no file is without rows here: for the plain one the optimiser infers a filter on
+        # the size and spells out all arrays in it, one within another.
+        .select(*file, F.inline_outer("rows"))
     )
 
 
@@ -97,40 +157,42 @@ def clone_fragments(
 ) -> DataFrame:
     """Clone sets of equal token runs, extended while every copy agrees.
 
-    Windows with the same digest form a class. Two classes are linked when each copy of the
+    Windows with the same hash form a class. Two classes are linked when each copy of the
     one is followed by the other and each copy of the other is preceded by the one; linked
     classes belong to the same, longer clone set. A class never has to be gathered: counts
     and smallest/largest neighbours decide the links, and they combine before the shuffle.
     """
-    windows = token_windows(files, min_tokens, mask, normalise)
-    keys = [*PROJECT_KEYS, "h"]
+    windows = staged(repeated_windows(files, min_tokens, mask, normalise))
+    keys = [*PROJECT_KEYS, "h1", "h2"]
 
-    def only(column):
-        """The neighbour every copy has, NULL if they differ or one has none."""
-        agree = (F.min(column) == F.max(column)) & (F.count(column) == F.count(F.lit(1)))
-        return F.when(agree, F.min(column))
+    def only(*columns):
+        """The neighbour every copy has, by its two halves; NULL if they differ or one has none."""
+        agree = [(F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1))) for c in columns]
+        return [F.when(agree[0] & agree[1], F.min(c)).alias(c) for c in columns]
 
     # Repeated classes are few beside the windows; staged, they are counted only once.
     classes = staged(
         windows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("copies"), only("before").alias("prior"), only("after").alias("next"))
+        .agg(F.count(F.lit(1)).alias("copies"), *only("before1", "before2"), *only("after1", "after2"))
         .filter(F.col("copies") >= 2)
     )
     # A link has to hold from both ends, so the two keys are compared together.
-    named = classes.withColumn("key", F.xxhash64("h"))
-    forward = named.select(*PROJECT_KEYS, F.col("key").alias("prior"), F.col("next").alias("key")).filter("key IS NOT NULL")
-    joins = forward.distinct().withColumn("joins", F.lit(True))
-    linked = named.join(joins, [*PROJECT_KEYS, "prior", "key"], "left").select(
+    back = ["before1", "before2"]
+    forward = classes.select(
+        *PROJECT_KEYS, F.col("h1").alias("before1"), F.col("h2").alias("before2"), F.col("after1").alias("h1"), F.col("after2").alias("h2")
+    ).filter("h1 IS NOT NULL")
+    linked = classes.join(forward.withColumn("joins", F.lit(True)), [*keys, *back], "left").select(
         *keys, F.col("joins").isNull().alias("opens")
     )
     order = W.partitionBy(*PROJECT_KEYS, "file_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    identity = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in ("h1", "h2")])
     fragments = (
         windows.select(*keys, "file_id", "pos", "first_line", "last_line")
         .join(linked, keys)
         .withColumn("run", F.sum(F.col("opens").cast("int")).over(order))
         .groupBy(*PROJECT_KEYS, "file_id", "run")
         .agg(
-            F.lower(F.hex(F.min_by("h", "pos"))).alias("clone_id"),
+            F.min_by(identity, "pos").alias("clone_id"),
             F.min("pos").alias("start_token"),
             (F.max("pos") + min_tokens - 1).alias("end_token"),
             F.min("first_line").alias("start_line"),
