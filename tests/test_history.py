@@ -1,5 +1,7 @@
 """Line maps, fragment transitions and the roll-up of the history."""
 
+import random
+
 from twintrail.operators import chunks, history
 
 PAIR = ("p", "new", "old")
@@ -82,3 +84,39 @@ def test_chunks_cross_block_borders(spark, monkeypatch):
     commits = spark.createDataFrame([("p", i, f"s{i}", s) for i, s in enumerate(states)], "project string, ord int, sha string, state string")
     got = sorted((r.from_n, r.to_n, r.state) for r in chunks.state_chunks(commits).collect())
     assert got == [(0, 1, "a"), (2, 4, "b"), (5, 5, "a"), (6, 7, "c"), (8, 9, "a")]
+
+
+def plain_side(fragment, hunk, locs, side):
+    """What becomes of one fragment, line by line."""
+    start, end = fragment
+    inserted, deleted, modified = hunk
+    kept = [[n for n in range(1, loc + 1) if n not in gone] for loc, gone in zip(locs, (inserted, deleted))]
+    pairs = dict(zip(*(kept if side == "child" else kept[::-1])))
+    edits = {n for n in inserted + modified if 1 <= n <= locs[0]} if side == "child" else set(deleted + modified)
+    inside = range(start, end + 1)
+    return pairs.get(start), pairs.get(end), sum(n in pairs for n in inside), any(n in edits for n in inside)
+
+
+def test_line_offsets_against_single_lines(spark):
+    dice = random.Random(7)
+    lines = lambda n: sorted(dice.sample(range(-1, n + 4), dice.randrange(0, min(n, 9) + 1)))
+    hunks, files, frags, want = [], [], [], {}
+    for k in range(60):
+        locs = dice.choice([0, 1, 5, 20, 40]), dice.choice([0, 1, 5, 20, 40])
+        hunk = lines(locs[0]), lines(locs[1]), lines(min(locs))
+        hunks.append((*PAIR, f"f{k}", f"f{k}", *(dice.sample(x, len(x)) for x in hunk)))
+        files += [("p", "new", f"f{k}", locs[0]), ("p", "old", f"f{k}", locs[1])]
+        for side, sha, loc in zip(("child", "parent"), ("new", "old"), locs):
+            for i in range(5):
+                start = dice.randrange(1, loc + 4)
+                end = start + dice.randrange(0, 12)
+                frags.append(("p", sha, "J", f"c{k}", i, 0, f"f{k}", start, end))
+                want[side, f"c{k}", i] = plain_side((start, end), hunk, locs, side)
+    frags.append(("p", "new", "J", "still", 0, 0, "g", 3, 9))
+    want["child", "still", 0] = (3, 9, 7, False)
+    fragments, (_, _, pairs) = spark.createDataFrame(frags, FRAGMENTS), setting(spark)
+    changed = history.changed_files(spark.createDataFrame(hunks, HUNKS), spark.createDataFrame(files, FILES))
+    for side in ("child", "parent"):
+        rows = history._mapped(history._side(fragments, pairs, side), history.line_offsets(changed, side)).collect()
+        got = {(side, r.clone_id, r.fragment_index): (r.other_start, r.other_end, r.survivors, r.touched) for r in rows}
+        assert got == {key: value for key, value in want.items() if key[0] == side}

@@ -135,67 +135,89 @@ def _change_rows(rows: DataFrame, kinds: list[str]) -> DataFrame:
     return rows.select(*PAIR_KEYS, "path", F.explode(F.concat(*[tagged(k) for k in kinds])).alias("r")).select(*PAIR_KEYS, "path", "r.*")
 
 
-def _spread_lines() -> Column:
-    """Lines of a fragment when its file changed, one NULL otherwise."""
-    lines = F.sequence("start_line", "end_line")
-    return F.explode(F.when(F.col("changed"), lines).otherwise(F.array(F.lit(None).cast("int"))))
+def _upto(lines: str, x: Column) -> Column:
+    """How many numbers of a sorted array are ``x`` or less, found by halving."""
+    bits = F.reverse(F.sequence(F.lit(0), F.length(F.bin(F.size(lines))) - 1))
 
+    def further(at: Column, bit: Column) -> Column:
+        there = at + F.call_function("shiftleft", F.lit(1), bit)
+        # Beyond the end there is no number, which compares as unknown.
+        return F.when(F.get(lines, there - 1) <= x, there).otherwise(at)
 
-def _side(fragments: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    return fragments.withColumnRenamed("sha", f"{side}_sha").withColumnRenamed("file_path", "path").join(
-        pairs, ["project", f"{side}_sha"]
-    )
+    return F.aggregate(bits, F.lit(0), further)
 
 
-def _touched(side_rows: DataFrame, changed: DataFrame, lines: DataFrame, line: str, other: str) -> DataFrame:
-    """Fragments of one side with the other side's line at both ends and what happened inside.
+def line_offsets(changed: DataFrame, side: str) -> DataFrame:
+    """The line map of each changed file as seen from one side, in one row and without a row a line.
 
-    ``lines``: PAIR_KEYS, path, the line of this side, the line of the other side and a
-    ``touched`` flag. Only fragments in changed files are spread to lines.
+    PAIR_KEYS, path, ``loc``; ``own``, the lines that exist on this side only; ``shift``, for
+    each line that exists on the other side only the number of common lines before it;
+    ``left``, the common lines of the other side; ``edits``, the lines that count as touched.
+    All arrays rise.
     """
-    keys = [*PAIR_KEYS, "path"]
-    flagged = side_rows.join(changed.select(*keys).distinct().withColumn("changed", F.lit(True)), keys, "left")
-    flagged = flagged.withColumn("changed", F.coalesce("changed", F.lit(False)))
-    spread = flagged.withColumn(line, _spread_lines()).join(lines, [*keys, line], "left")
-    whole = [*PAIR_KEYS, "language", "clone_id", "fragment_index", "set_order", "path", "start_line", "end_line", "changed"]
-    same = ~F.col("changed")
-    at_start = F.max(F.when(F.col(line) == F.col("start_line"), F.col(other)))
-    at_end = F.max(F.when(F.col(line) == F.col("end_line"), F.col(other)))
+    other = {"child": "parent", "parent": "child"}[side]
+    lists = {"child": "inserted_lines", "parent": "deleted_lines"}
+
+    def within(lines: str, loc: Column) -> Column:
+        return F.array_sort(F.filter(lines, lambda x: x.between(F.lit(1), loc)))
+
+    loc, other_loc = F.col(f"{side}_loc"), F.col(f"{other}_loc")
+    edits = F.array_sort(F.array_union(lists[side], "modified_lines"))
     return (
-        spread.groupBy(*whole)
-        .agg(at_start.alias("s"), at_end.alias("e"), F.count(other).alias("n"), F.bool_or("touched").alias("t"))
+        changed.withColumn("own", within(lists[side], loc))
+        .withColumn("theirs", within(lists[other], other_loc))
         .select(
-            *[c for c in whole if c != "changed"],
-            F.when(same, F.col("start_line")).otherwise(F.col("s")).alias("other_start"),
-            F.when(same, F.col("end_line")).otherwise(F.col("e")).alias("other_end"),
-            F.when(same, F.col("end_line") - F.col("start_line") + 1).otherwise(F.col("n")).alias("survivors"),
-            F.coalesce("t", F.lit(False)).alias("touched"),
+            *PAIR_KEYS, "path", loc.alias("loc"), "own", F.transform("theirs", lambda x, k: x - k - 1).alias("shift"),
+            (other_loc - F.size("theirs")).alias("left"),
+            # A touched line of the child has to exist; what the parent lost counts wherever it is said to be.
+            (F.filter(edits, lambda x: x.between(F.lit(1), loc)) if side == "child" else edits).alias("edits"),
         )
     )
 
 
-def surviving_lines(fragments: DataFrame, pairs: DataFrame, hunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Parent lines that survive inside each child fragment; 0 means the fragment is new."""
-    child = _child_side(fragments, pairs, changed_files(hunks, files))
-    return child.select(*PAIR_KEYS, "language", "clone_id", "fragment_index", F.col("survivors").cast("bigint").alias("survivors"))
+def _side(fragments: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    return fragments.withColumnRenamed("sha", f"{side}_sha").withColumnRenamed("file_path", "path").join(
+        pairs, ["project", f"{side}_sha"]
+    )
 
 
-def _child_side(fragments: DataFrame, pairs: DataFrame, changed: DataFrame) -> DataFrame:
-    keys = [*PAIR_KEYS, "path"]
-    touched = _change_rows(changed, ["added", "modified"]).select(
-        *keys, F.col("line").alias("child_line"), F.lit(True).alias("touched")
+def _mapped(side_rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Fragments of one side with the other side's line at both ends and what happened inside.
+
+    Common lines are counted: the k-th of one side is the k-th of the other. Fragments of
+    files without a change keep their lines.
+    """
+    whole = [*PAIR_KEYS, "language", "clone_id", "fragment_index", "set_order", "path", "start_line", "end_line"]
+    start, end, loc, left = (F.col(c) for c in ("start_line", "end_line", "loc", "left"))
+    same = loc.isNull()
+    at = {"s": start, "e": end, "s0": start - 1, "e0": end - 1}
+    rows = side_rows.join(offsets, [*PAIR_KEYS, "path"], "left")
+    # Lines up to a place that this side shares; ``own`` and ``edits`` are searched, never spread.
+    rows = rows.select("*", *[(x - _upto("own", x)).alias(f"_{n}") for n, x in at.items()])
+    rows = rows.select("*", *[(F.col(f"_{n}") + _upto("shift", F.col(f"_{n}") - 1)).alias(f"_to_{n}") for n in ("s", "e")])
+
+    def other(n: str) -> Column:
+        known = at[n].between(F.lit(1), loc) & (F.col(f"_{n}") > F.col(f"_{n}0")) & (F.col(f"_{n}") <= left)
+        return F.when(known, F.col(f"_to_{n}"))
+
+    def common(n: str) -> Column:
+        shared = F.when(at[n] > loc, loc - F.size("own")).otherwise(F.col(f"_{n}"))
+        return F.greatest(F.lit(0), F.least(shared, left))
+
+    inside = _upto("edits", end) > _upto("edits", start - 1)
+    return rows.select(
+        *whole,
+        F.when(same, start).otherwise(other("s")).alias("other_start"),
+        F.when(same, end).otherwise(other("e")).alias("other_end"),
+        F.when(same, end - start + 1).otherwise(common("e") - common("s0")).alias("survivors"),
+        F.when(same, F.lit(False)).otherwise(inside).alias("touched"),
     )
-    lines = _map_rows(changed).join(touched, [*keys, "child_line"], "left")
-    return _touched(_side(fragments, pairs, "child"), changed, lines, "child_line", "parent_line")
 
 
-def _parent_side(fragments: DataFrame, pairs: DataFrame, changed: DataFrame) -> DataFrame:
-    keys = [*PAIR_KEYS, "path"]
-    touched = _change_rows(changed, ["deleted", "modified"]).select(
-        *keys, F.col("line").alias("parent_line"), F.lit(True).alias("touched")
-    )
-    lines = _map_rows(changed).filter(F.col("parent_line").isNotNull()).join(touched, [*keys, "parent_line"], "full")
-    return _touched(_side(fragments, pairs, "parent"), changed, lines, "parent_line", "child_line")
+def surviving_lines(fragments: DataFrame, pairs: DataFrame, hunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Parent lines that survive inside each child fragment; 0 means the fragment is new."""
+    child = _mapped(_side(fragments, pairs, "child"), line_offsets(changed_files(hunks, files), "child"))
+    return child.select(*PAIR_KEYS, "language", "clone_id", "fragment_index", F.col("survivors").cast("bigint").alias("survivors"))
 
 
 def _blocks(low: str, high: str) -> Column:
@@ -212,9 +234,10 @@ def transitions(fragments: DataFrame, pairs: DataFrame, hunks: DataFrame, files:
     need the four mapped end points only, and candidates meet on line blocks.
     """
     keys = [*PAIR_KEYS, "language", "path"]
-    changed = changed_files(hunks, files)
+    # Each is read several times below; staged, the views behind them are planned and run once.
+    changed = staged(changed_files(hunks, files))
     live = pairs.select(*PAIR_KEYS).join(changed.select(*PAIR_KEYS).distinct(), PAIR_KEYS, "left_semi")
-    child, parent = _child_side(fragments, live, changed), _parent_side(fragments, live, changed)
+    child, parent = (staged(_mapped(_side(fragments, live, side), line_offsets(changed, side))) for side in ("child", "parent"))
     child_id = ["clone_id", "fragment_index"]
 
     def named(df, tag, *columns):
