@@ -120,3 +120,46 @@ def test_line_offsets_against_single_lines(spark):
         rows = history._mapped(history._side(fragments, pairs, side), history.line_offsets(changed, side)).collect()
         got = {(side, r.clone_id, r.fragment_index): (r.other_start, r.other_end, r.survivors, r.touched) for r in rows}
         assert got == {key: value for key, value in want.items() if key[0] == side}
+
+
+def plain_history(head, moves, steps):
+    """Step by step, as the rules say it."""
+    mapping = {h: h for h in head}
+    logs = {h: [] for h in head}
+    for step in range(steps):
+        now = [m for m in moves if m[0] == step]
+        onward, idle = {}, {m[1:3] for m in now}
+        for m in now:
+            owner = mapping.get(m[1:5])
+            if owner is None:
+                continue
+            if m[8] != "stable":
+                logs[owner].append((m[8], m[9]))
+            if m[8] != "added":
+                onward.setdefault((*m[1:3], m[6], m[7]), []).append(((m[5], m[4]), owner))
+        mapping = {k: h for k, h in mapping.items() if k[:2] not in idle} | {k: max(c)[1] for k, c in onward.items()}
+    return logs
+
+
+def test_long_history_takes_few_jobs(spark, monkeypatch):
+    dice = random.Random(200)
+    steps, names = 200, [f"c{k}" for k in range(6)]
+    head = [(p, "J", c, i) for p in "pq" for c in names for i in range(2)]
+    moves = []
+    for step in range(steps):
+        for p in "pq":
+            if p == "q" and dice.random() < 0.5:
+                continue
+            for k, c in enumerate(names):
+                for i in range(2):
+                    kind = dice.choices(["stable", "modified", "added"], [8, 3, 0.1])[0]
+                    to = (None, None) if kind == "added" else (c, i) if dice.random() < 0.97 else (dice.choice(names), dice.randrange(2))
+                    moves.append((step, p, "J", c, i, k, *to, kind, f"s{step}"))
+    written = []
+    real = history.staged
+    monkeypatch.setattr(history, "staged", lambda *a: written.append(1) or real(*a))
+    heads = spark.createDataFrame(head, "project string, language string, clone_id string, fragment_index int")
+    table = spark.createDataFrame(moves, "step int, project string, language string, clone_id string, fragment_index int, set_order int, parent_clone_id string, parent_index int, type string, child_sha string")
+    got = {tuple(r)[:4]: [(m.type, m.commit) for m in r.modification] for r in history.head_history(heads, table, steps).collect()}
+    assert got == plain_history(head, moves, steps)
+    assert len(written) <= 3 * 8 + 2

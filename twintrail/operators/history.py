@@ -5,8 +5,6 @@ Commit pairs carry (project, child_sha, parent_sha); the child is the newer comm
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +16,8 @@ PAIR_KEYS = ["project", "child_sha", "parent_sha"]
 HUNK_HEADER = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@"
 INTS = "array<int>"
 LINE_BLOCK = 64
+#: A fragment at a step of the history.
+NODE_KEYS = [*PROJECT_KEYS, "at", "clone_id", "fragment_index"]
 
 
 def parse_patches(patches: DataFrame) -> DataFrame:
@@ -298,47 +298,83 @@ def transitions(fragments: DataFrame, pairs: DataFrame, hunks: DataFrame, files:
     )
 
 
+def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
+
+
+def _reached(heads: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+    """The nodes that moves lead to from ``heads``, themselves included.
+
+    Moves are composed for 1, 2, 4, ... steps; each round doubles the steps that are known.
+    """
+    found, jumps = heads, edges
+    for k in range(rounds):
+        onward = found.join(jumps, NODE_KEYS).select(
+            *PROJECT_KEYS, (F.col("at") + (1 << k)).alias("at"), F.col("to_id").alias("clone_id"), F.col("to_index").alias("fragment_index")
+        )
+        found = staged(found.unionByName(onward).distinct())
+        if k + 1 < rounds:
+            middle = _renamed(jumps, {"clone_id": "to_id", "fragment_index": "to_index", "to_id": "far_id", "to_index": "far_index"})
+            there = middle.withColumn("at", F.col("at") - (1 << k))
+            jumps = staged(_renamed(jumps.join(there, [*PROJECT_KEYS, "at", "to_id", "to_index"]).drop("to_id", "to_index"), {"far_id": "to_id", "far_index": "to_index"}))
+    return found
+
+
+def _first_of_chain(links: DataFrame, rounds: int) -> DataFrame:
+    """Where each node's chain of ``links`` (node -> from_at, from_id, from_index) begins, by doubling the links."""
+    pointers = ["from_at", "from_id", "from_index"]
+    for _ in range(rounds):
+        before = links.select(
+            *PROJECT_KEYS, F.col("at").alias("from_at"), F.col("clone_id").alias("from_id"), F.col("fragment_index").alias("from_index"),
+            *[F.col(p).alias(f"_{p}") for p in pointers],
+        )
+        # A node without a link is the first of its chain.
+        links = staged(
+            links.join(before, [*PROJECT_KEYS, *pointers], "left").select(*NODE_KEYS, *[F.coalesce(f"_{p}", p).alias(p) for p in pointers])
+        )
+    return links
+
+
 def head_history(head: DataFrame, moves: DataFrame, steps: int) -> DataFrame:
     """Modification history of the head fragments, newest entry first.
 
     ``head``: FRAGMENT_KEYS of the newest snapshot. ``moves``: transitions with ``step``, the
-    ordinal of the child commit counted from the head. Each step is one equi-join over its
-    own partition of the moves; a project-language without moves in a step keeps its mapping.
-    When several children meet in one parent, the last child in list order carries on. Both
-    types log the newer commit. Moves and every step are staged in the shared folder, so the
-    plan never grows with the number of commits and no step is computed twice.
+    ordinal of the child commit counted from the head; a project-language without moves in a
+    step keeps its mapping. When several children that the head leads to meet in one parent,
+    the last child in list order carries on. Both types log the newer commit.
+
+    Which fragments the head leads to is found by composing moves for 1, 2, 4, ... steps.
+    Among those, the children that carry on form chains, and a fragment's head is the first
+    of its chain, found in the same way: some three joins for each doubling of the steps,
+    each staged in the shared folder, so neither jobs nor plan grow with the commits.
     """
     kept = ["step", *FRAGMENT_KEYS, "set_order", "parent_clone_id", "parent_index", "type", "child_sha"]
-    moves = staged(moves.select(*kept), "step")
-    mapping = head.select(
-        *FRAGMENT_KEYS, F.col("clone_id").alias("head_clone_id"), F.col("fragment_index").alias("head_index")
-    )
-    logs = []
-    for step in range(steps):
-        now = moves.filter(F.col("step") == step)
-        joined = staged(now.join(mapping, FRAGMENT_KEYS))
-        logs.append(
-            joined.filter(F.col("type") != "stable").select(
-                *PROJECT_KEYS, "head_clone_id", "head_index", "step", "type", F.col("child_sha").alias("commit")
-            )
-        )
-        last = F.max(F.struct("set_order", "fragment_index", "head_clone_id", "head_index"))
-        onward = (
-            joined.filter(F.col("type") != "added")
-            .groupBy(*PROJECT_KEYS, "parent_clone_id", "parent_index")
-            .agg(last.alias("_h"))
-            .select(
-                *PROJECT_KEYS, F.col("parent_clone_id").alias("clone_id"), F.col("parent_index").alias("fragment_index"),
-                "_h.head_clone_id", "_h.head_index",
-            )
+    moves = staged(moves.filter(F.col("step").between(0, steps - 1)).select(*kept))
+    # Only steps in which a project-language has moves take it further.
+    busy = moves.select(*PROJECT_KEYS, "step").distinct().withColumn("at", F.row_number().over(W.partitionBy(*PROJECT_KEYS).orderBy("step")) - 1)
+    moves = moves.join(busy, [*PROJECT_KEYS, "step"])
+    rounds = max(0, steps - 1).bit_length()
+    heads = head.select(*PROJECT_KEYS, F.lit(0).alias("at"), "clone_id", "fragment_index").distinct()
+    edges = moves.filter(F.col("type") != "added").select(*NODE_KEYS, F.col("parent_clone_id").alias("to_id"), F.col("parent_index").alias("to_index"))
+    live = staged(moves.join(_reached(heads, edges, rounds), NODE_KEYS))
+    last = F.max(F.struct("set_order", "fragment_index", "clone_id"))
+    links = (
+        live.filter(F.col("type") != "added")
+        .groupBy(*PROJECT_KEYS, (F.col("at") + 1).alias("at"), "parent_clone_id", "parent_index")
+        .agg(last.alias("_c"))
+        .select(
+            *PROJECT_KEYS, "at", F.col("parent_clone_id").alias("clone_id"), F.col("parent_index").alias("fragment_index"),
+            (F.col("at") - 1).alias("from_at"), F.col("_c.clone_id").alias("from_id"), F.col("_c.fragment_index").alias("from_index"),
         )
-        idle = mapping.join(now.select(*PROJECT_KEYS).distinct(), PROJECT_KEYS, "left_anti")
-        mapping = staged(onward.unionByName(idle))
-    events = reduce(DataFrame.unionByName, logs)
-    entry = F.struct("step", F.struct("type", "commit").alias("e"))
-    logs = events.groupBy(
-        *PROJECT_KEYS, F.col("head_clone_id").alias("clone_id"), F.col("head_index").alias("fragment_index")
-    ).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("modification"))
+    )
+    firsts = _first_of_chain(links, rounds).drop("from_at")
+    named = live.filter(F.col("type") != "stable").join(firsts, NODE_KEYS, "left").select(
+        *PROJECT_KEYS, F.coalesce("from_id", "clone_id").alias("clone_id"), F.coalesce("from_index", "fragment_index").alias("fragment_index"),
+        F.struct("step", F.struct("type", F.col("child_sha").alias("commit")).alias("e")).alias("entry"),
+    )
+    logs = named.groupBy(*FRAGMENT_KEYS).agg(
+        F.transform(F.array_sort(F.collect_list("entry")), lambda x: x["e"]).alias("modification")
+    )
     empty = F.array().cast("array<struct<type:string,commit:string>>")
     return head.join(logs, FRAGMENT_KEYS, "left").withColumn("modification", F.coalesce("modification", empty))
 
