@@ -8,7 +8,7 @@ from suite.registry import query
 from suite.views import known, pair_type_sql
 from twintrail.functions import labels
 from twintrail.functions.commits import short_commits
-from twintrail.operators import filters, fragments, pairs, ranks, services
+from twintrail.operators import filters, fragments, pair_counts, pairs, ranks, services
 from twintrail.session import staged
 from twintrail.sources import star_tables as T
 
@@ -40,6 +40,11 @@ def stored_pairs(spark, d):
     return staged(text_pairs(spark, d))
 
 
+def stored_fragments(spark, d):
+    """Fragments that several counts read."""
+    return staged(T.text_fragments(spark, d))
+
+
 def _flat(df):
     return df.withColumn("comodified_commits", F.array_join("comodified_commits", ","))
 
@@ -67,7 +72,7 @@ def j3_oversized_sets(spark, d):
 @query("a11_pair_table_summary", """SELECT project, language, count(*) AS clone_pairs, count(*) FILTER (comodification_count > 0) AS comod_pairs,
   count(DISTINCT clone_id) FILTER (comodification_count > 0) AS comod_sets FROM text_pairs GROUP BY ALL""")
 def a11_pair_table_summary(spark, d):
-    return pairs.pair_table_summary(text_pairs(spark, d))
+    return pairs.pair_summary(T.text_fragments(spark, d)).filter("clone_pairs > 0")
 
 
 @query("a12_pair_summary_without_pairs", """SELECT project, language, count(*) AS clone_pairs, count(*) FILTER (comodification_count > 0) AS comod_pairs,
@@ -108,7 +113,7 @@ def a29_unique_overlap(spark, d):
 
 @query("a30_unique_pair_counts", f"SELECT project, language, clone_id, count(*) AS pair_count FROM ({_UNIQUE}) GROUP BY ALL")
 def a30_unique_pair_counts(spark, d):
-    return pairs.unique_pair_counts(order_pairs(spark, d))
+    return pair_counts.unique_pair_counts(T.order_fragments(spark, d))
 
 
 @query("u2_distinct_pairs", f"SELECT project, language, clone_id, file_id_y, file_id_x, nx AS name_x, start_line_x, end_line_x, ny AS name_y, start_line_y, end_line_y FROM ({_UNIQUE})")
@@ -131,12 +136,12 @@ _PROFILE = f"""SELECT p.*, u.pair_count, f.file_count, s.services, s.service_cou
 
 @query("a31_cross_service_profile", _PROFILE)
 def a31_cross_service_profile(spark, d):
-    return pairs.cross_service_profile(stored_pairs(spark, d)).withColumn("services", F.array_join("services", ","))
+    return pair_counts.cross_service_profile(stored_fragments(spark, d)).withColumn("services", F.array_join("services", ","))
 
 
 @query("a31_span_distribution", f"SELECT project, language, service_count, count(*) AS clone_sets FROM ({_PROFILE}) GROUP BY ALL")
 def a31_span_distribution(spark, d):
-    return pairs.span_distribution(pairs.cross_service_profile(stored_pairs(spark, d)))
+    return pairs.span_distribution(pair_counts.cross_service_profile(stored_fragments(spark, d)))
 
 
 _OPTIONS = f"""SELECT project, language, s AS service, count(DISTINCT clone_id) AS clone_sets, count(*) AS pairs
@@ -145,14 +150,14 @@ _OPTIONS = f"""SELECT project, language, s AS service, count(DISTINCT clone_id)
 
 @query("a32_service_options", _OPTIONS)
 def a32_service_options(spark, d):
-    return pairs.service_options(text_pairs(spark, d))
+    return pair_counts.service_options(stored_fragments(spark, d))
 
 
 @query("k7_ordered_service_options", f"SELECT *, concat(service, ' (', clone_sets, ' sets / ', pairs, ' pairs)') AS label, CAST(row_number() OVER (PARTITION BY project, language ORDER BY clone_sets DESC, pairs DESC, service) - 1 AS INT) AS place FROM ({_OPTIONS})")
 def k7_ordered_service_options(spark, d):
     label = F.expr("concat(service, ' (', clone_sets, ' sets / ', pairs, ' pairs)')")
     order = [("clone_sets", "desc"), ("pairs", "desc"), ("service", "asc")]
-    options = pairs.service_options(text_pairs(spark, d)).withColumn("label", label)
+    options = pair_counts.service_options(stored_fragments(spark, d)).withColumn("label", label)
     return ranks.placed(options, ["project", "language"], order, F.struct(-F.col("clone_sets"), -F.col("pairs")))
 
 
@@ -164,7 +169,7 @@ def k7_ordered_service_options(spark, d):
   (SELECT project, language, least(service_x, service_y) AS lo, greatest(service_x, service_y) AS hi, count(*) AS n FROM text_pairs GROUP BY ALL) p
   ON p.project = s.project AND p.language = s.language AND p.lo = least(service_a, service_b) AND p.hi = greatest(service_a, service_b)""")
 def a33_shared_clone_matrix(spark, d):
-    return pairs.shared_clone_matrix(stored_pairs(spark, d))
+    return pair_counts.shared_clone_matrix(stored_fragments(spark, d))
 
 
 _CLONE_OPTIONS = f"""SELECT t.project, t.language, t.clone_id, service_count, t.pairs AS pair_count, code_type, comod_count, services FROM ({TYPES.format(p='text_pairs')}) t
@@ -175,7 +180,7 @@ _CLONE_OPTIONS = f"""SELECT t.project, t.language, t.clone_id, service_count, t.
 
 @query("a34_clone_options", _CLONE_OPTIONS)
 def a34_clone_options(spark, d):
-    return pairs.clone_options(stored_pairs(spark, d))
+    return pair_counts.clone_options(stored_fragments(spark, d))
 
 
 for _name, _cols in (("k6_options_by_span", ("service_count", "comod_count")), ("k6_options_by_comod", ("comod_count", "service_count"))):
@@ -183,7 +188,7 @@ for _name, _cols in (("k6_options_by_span", ("service_count", "comod_count")), (
     def _options(name, cols):
         @query(name, f"SELECT *, CAST(row_number() OVER (PARTITION BY project, language ORDER BY {cols[0]} DESC, {cols[1]} DESC, clone_id) - 1 AS INT) AS place FROM ({_CLONE_OPTIONS})")
         def run(spark, d):
-            table = pairs.clone_options(stored_pairs(spark, d))
+            table = pair_counts.clone_options(stored_fragments(spark, d))
             order = [(cols[0], "desc"), (cols[1], "desc"), ("clone_id", "asc")]
             return ranks.placed(table, ["project", "language"], order, F.struct(-F.col(cols[0]), -F.col(cols[1]), F.substring("clone_id", 1, 2)))
 
@@ -195,13 +200,13 @@ for _name, _cols in (("k6_options_by_span", ("service_count", "comod_count")), (
   SELECT code_type, count(*) AS sets, sum(pairs) AS pairs FROM ({TYPES.format(p='text_pairs')}) GROUP BY ALL
   UNION ALL SELECT 'all', count(*), sum(pairs) FROM ({TYPES.format(p='text_pairs')})) n USING (code_type)""")
 def a35_code_type_counts(spark, d):
-    return pairs.code_type_counts(text_pairs(spark, d))
+    return pairs.code_type_counts(pair_counts.set_code_types(T.text_fragments(spark, d)))
 
 
 @query("a37_network_edges", f"""SELECT project, language, least(service_x, service_y) AS service_lo, greatest(service_x, service_y) AS service_hi, count(*) AS weight
   FROM order_pairs WHERE relation = 'inter' AND {KNOWN} AND service_x <> service_y GROUP BY ALL""")
 def a37_network_edges(spark, d):
-    return pairs.network_edges(order_pairs(spark, d))
+    return pair_counts.network_edges(T.order_fragments(spark, d))
 
 
 @query("a38_dataset_overview", """SELECT m.*, coalesce(s.n, 0) AS services, coalesce(f.n, 0) AS files, round_even(comod_pairs / clone_pairs::DOUBLE, 6) AS comod_rate FROM (
@@ -210,12 +215,12 @@ def a37_network_edges(spark, d):
   LEFT JOIN (SELECT project, language, count(DISTINCT v) AS n FROM (SELECT project, language, unnest([service_x, service_y]) AS v FROM text_pairs) WHERE v <> '' GROUP BY ALL) s USING (project, language)
   LEFT JOIN (SELECT project, language, count(DISTINCT v) AS n FROM (SELECT project, language, unnest([file_path_x, file_path_y]) AS v FROM text_pairs) WHERE v <> '' GROUP BY ALL) f USING (project, language)""")
 def a38_dataset_overview(spark, d):
-    return pairs.dataset_overview(stored_pairs(spark, d))
+    return pair_counts.dataset_overview(stored_fragments(spark, d))
 
 
 @query("a39_pair_type_breakdown", f"SELECT {pair_type_sql('file_type_x', 'file_type_y')} AS code_type, count(*) AS pairs FROM order_pairs GROUP BY ALL")
 def a39_pair_type_breakdown(spark, d):
-    return pairs.pair_type_breakdown(order_pairs(spark, d))
+    return pair_counts.pair_type_breakdown(T.order_fragments(spark, d))
 
 
 _METHOD = "element_at(array('ccfsw', 'tks', 'no-import', ' custom'), file_id_x % 4 + 1)"
@@ -224,19 +229,25 @@ _METHOD_SQL = "['ccfsw', 'tks', 'no-import', ' custom'][file_id_x % 4 + 1]"
 
 @query("a39_method_breakdown", f"SELECT ['Normal', 'TKS', 'no-import', 'custom'][file_id_x % 4 + 1] AS method, count(*) AS pairs FROM text_pairs GROUP BY ALL")
 def a39_method_breakdown(spark, d):
-    return pairs.method_breakdown(text_pairs(spark, d).withColumn("detection_method", F.expr(_METHOD.replace("file_id_x % 4", "CAST(file_id_x % 4 AS INT)"))))
+    return pair_counts.method_breakdown(stored_fragments(spark, d).withColumn("detection_method", F.expr(_METHOD.replace("file_id_x % 4", "CAST(file_id % 4 AS INT)"))))
+
+
+@query("a31_set_methods", f"SELECT project, language, clone_id, array_to_string(list_sort(list(DISTINCT {_METHOD_SQL})), ',') AS methods FROM text_pairs GROUP BY ALL")
+def a31_set_methods(spark, d):
+    rows = stored_fragments(spark, d).withColumn("detection_method", F.expr(_METHOD.replace("file_id_x % 4", "CAST(file_id % 4 AS INT)")))
+    return pair_counts.cross_service_profile(rows).select("project", "language", "clone_id", F.array_join("methods", ",").alias("methods"))
 
 
 @query("k4_top_services_by_touch", """SELECT service, pairs, clone_sets FROM (SELECT s AS service, count(*) AS pairs, count(DISTINCT (project, language, clone_id)) AS clone_sets FROM
   (SELECT project, language, clone_id, unnest([service_x, service_y]) AS s FROM order_pairs) GROUP BY ALL) ORDER BY pairs DESC, service DESC LIMIT 8""")
 def k4_top_services_by_touch(spark, d):
-    return ranks.top_k(pairs.touch_counts(order_pairs(spark, d), "service"), "pairs", 8, tie="service")
+    return ranks.top_k(pair_counts.touch_counts(T.order_fragments(spark, d), "service"), "pairs", 8, tie="service")
 
 
 @query("k4_top_files_by_touch", """SELECT file_path, pairs, clone_sets FROM (SELECT s AS file_path, count(*) AS pairs, count(DISTINCT (project, language, clone_id)) AS clone_sets FROM
   (SELECT project, language, clone_id, unnest([file_path_x, file_path_y]) AS s FROM order_pairs) GROUP BY ALL) ORDER BY pairs DESC, file_path DESC LIMIT 8""")
 def k4_top_files_by_touch(spark, d):
-    return ranks.top_k(pairs.touch_counts(order_pairs(spark, d), "file_path"), "pairs", 8, tie="file_path")
+    return ranks.top_k(pair_counts.touch_counts(T.order_fragments(spark, d), "file_path"), "pairs", 8, tie="file_path")
 
 
 @query("j19_clone_set_links", """SELECT DISTINCT p.project, p.language, p.clone_id, p.file_id_x, p.file_id_y FROM order_pairs p
@@ -362,7 +373,7 @@ def p12_composed_filter(spark, d):
 @query("p26_selectivity", """SELECT count(*) FILTER (relation = 'inter') AS kept, count(*) AS total, round_even(count(*) FILTER (relation = 'inter') * 100.0::DOUBLE / count(*), 1) AS percent,
   concat(printf('%.1f', round_even(count(*) FILTER (relation = 'inter') * 100.0::DOUBLE / count(*), 1)), '%') AS label FROM text_pairs""")
 def p26_selectivity(spark, d):
-    return filters.selectivity(text_pairs(spark, d), F.col("relation") == "inter")
+    return pair_counts.scope_selectivity(T.text_fragments(spark, d), "cross")
 
 
 # --- selector order, history, drill-down ---------------------------------------------------
@@ -432,7 +443,7 @@ def j13_clones_of_file(spark, d):
 
 @query("u7_clone_files", "SELECT DISTINCT project, language, unnest([file_path_x, file_path_y]) AS file_path FROM text_pairs")
 def u7_clone_files(spark, d):
-    return fragments.clone_files(text_pairs(spark, d))
+    return pair_counts.clone_files(stored_fragments(spark, d))
 
 
 @query("a10_distinct_paths", "SELECT DISTINCT project, language, file_path FROM order_fragments")

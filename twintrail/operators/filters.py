@@ -9,7 +9,7 @@ from twintrail import constants as C
 from twintrail.constants import SET_KEYS
 from twintrail.functions import labels
 from twintrail.functions.numbers import threshold, truthy_count
-from twintrail.operators.pairs import set_code_types
+from twintrail.operators.pairs import set_code_types, share_of
 
 COUNT_COLUMNS = ["coModificationCount", "comodification_count", "comodified_count"]
 MODE_SYNONYMS = {"yes": "any", "true": "any", "1": "any", "no": "none", "false": "none", "0": "none"}
@@ -135,12 +135,7 @@ def filter_pairs(
 
 def selectivity(pairs: DataFrame, condition: Column) -> DataFrame:
     """Kept and total pairs with the kept share in percent; a tiny share shows as '< 0.1%'."""
-    counts = pairs.agg(F.count_if(condition).alias("kept"), F.count(F.lit(1)).alias("total"))
-    share = F.when(F.col("total") > 0, F.col("kept") * 100.0 / F.col("total")).otherwise(F.lit(0.0))
-    return counts.withColumn("percent", F.bround(share, 1)).withColumn(
-        "label",
-        F.when((share > 0) & (share < 0.1), "< 0.1%").otherwise(F.concat(F.format_number("percent", 1), F.lit("%"))),
-    )
+    return share_of(pairs.agg(F.count_if(condition).alias("kept"), F.count(F.lit(1)).alias("total")))
 
 
 # --- metric tables ---------------------------------------------------------------------

@@ -75,6 +75,20 @@ def pair_summary(fragments: DataFrame) -> DataFrame:
         set_sizes(fragments).withColumnRenamed("fragments", "n").groupBy(*PROJECT_KEYS)
         .agg(F.sum(n * (n - 1) / 2).cast("bigint").alias("clone_pairs"))
     )
+    comod = comodified_pairs(fragments).groupBy(*PROJECT_KEYS).agg(
+        F.sum("pairs").cast("bigint").alias("comod_pairs"), F.count(F.lit(1)).alias("comod_sets")
+    )
+    zero = F.lit(0).cast("bigint")
+    return totals.join(comod, PROJECT_KEYS, "left").select(
+        *PROJECT_KEYS, "clone_pairs",
+        F.coalesce("comod_pairs", zero).alias("comod_pairs"),
+        F.coalesce("comod_sets", zero).alias("comod_sets"),
+    )
+
+
+def comodified_pairs(fragments: DataFrame) -> DataFrame:
+    """Co-modified pairs of each clone set that has any."""
+    n = F.col("n")
     alike = (
         fragments.filter(F.size("modified_commits") > 0)
         .select(*SET_KEYS, F.array_sort(F.array_distinct("modified_commits")).alias("commits"))
@@ -92,19 +106,7 @@ def pair_summary(fragments: DataFrame) -> DataFrame:
         .distinct()
         .select(*SET_KEYS, "pairs")
     )
-    comod = (
-        within.unionByName(across)
-        .groupBy(*SET_KEYS)
-        .agg(F.sum("pairs").alias("pairs"))
-        .groupBy(*PROJECT_KEYS)
-        .agg(F.sum("pairs").cast("bigint").alias("comod_pairs"), F.count(F.lit(1)).alias("comod_sets"))
-    )
-    zero = F.lit(0).cast("bigint")
-    return totals.join(comod, PROJECT_KEYS, "left").select(
-        *PROJECT_KEYS, "clone_pairs",
-        F.coalesce("comod_pairs", zero).alias("comod_pairs"),
-        F.coalesce("comod_sets", zero).alias("comod_sets"),
-    )
+    return within.unionByName(across).groupBy(*SET_KEYS).agg(F.sum("pairs").alias("pairs"))
 
 
 def service_pair_totals(fragments: DataFrame) -> DataFrame:
@@ -282,15 +284,14 @@ def set_code_types(pairs: DataFrame) -> DataFrame:
     )
 
 
-def code_type_counts(pairs: DataFrame) -> DataFrame:
-    """Sets and pairs per code type with an 'all' row, zero rows for types that do not occur."""
-    typed = set_code_types(pairs)
+def code_type_counts(typed: DataFrame) -> DataFrame:
+    """Sets and pairs per code type with an 'all' row, zero rows for types that do not occur; ``typed``: code_type, pairs of each set."""
     counted = (
         typed.rollup("code_type")
         .agg(F.count(F.lit(1)).alias("sets"), F.sum("pairs").alias("pairs"), F.grouping("code_type").alias("g"))
         .select(F.when(F.col("g") == 1, "all").otherwise(F.col("code_type")).alias("code_type"), "sets", "pairs")
     )
-    wanted = pairs.sparkSession.createDataFrame(
+    wanted = typed.sparkSession.createDataFrame(
         [(t,) for t in ("all", "logic", "data", "test", "config", "mixed")], "code_type string"
     )
     return F.broadcast(wanted).join(counted, "code_type", "left").select(
@@ -373,6 +374,15 @@ def clone_set_links(pairs: DataFrame, file_x: int, file_y: int) -> DataFrame:
     return pairs.filter(~here).join(chosen, SET_KEYS, "left_semi").select(*SET_KEYS, "file_id_x", "file_id_y").distinct()
 
 
+def share_of(counts: DataFrame) -> DataFrame:
+    """``kept`` and ``total`` with the kept share in percent; a tiny share shows as '< 0.1%'."""
+    share = F.when(F.col("total") > 0, F.col("kept") * 100.0 / F.col("total")).otherwise(F.lit(0.0))
+    return counts.withColumn("percent", F.bround(share, 1)).withColumn(
+        "label",
+        F.when((share > 0) & (share < 0.1), "< 0.1%").otherwise(F.concat(F.format_number("percent", 1), F.lit("%"))),
+    )
+
+
 # --- coordinates ---------------------------------------------------------------------
 
 
