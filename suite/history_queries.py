@@ -106,19 +106,20 @@ def w1_state_chunks(spark, d):
     return chunks.state_chunks(T.commit_list(spark, d).select("project", "ord", "sha", "state"))
 
 
-_SPARSE = "SELECT project, from_n, state FROM chunks WHERE from_n % 2 = 0"
+# Every chunk is read; some belong to a project that has no commit.
+_SPARSE = "SELECT CASE WHEN from_n % 2 = 0 THEN project ELSE concat(project, '-moved') END AS project, from_n, state FROM chunks"
 
 
 @query("w2_state_as_of", f"""SELECT c.project, c.ord, c.sha, (SELECT arg_max(s.state, s.from_n) FROM ({_SPARSE}) s WHERE s.project = c.project AND s.from_n <= c.ord) AS state FROM commit_list c""")
 def w2_state_as_of(spark, d):
     commits = T.commit_list(spark, d)
-    starts = w1_state_chunks(spark, d).filter("from_n % 2 = 0").select("project", "from_n", "state")
+    starts = w1_state_chunks(spark, d).selectExpr("CASE WHEN from_n % 2 = 0 THEN project ELSE concat(project, '-moved') END AS project", "from_n", "state")
     return chunks.state_as_of(commits.select("project", "ord", "sha"), starts)
 
 
-@query("j14_chunk_of_commit", "SELECT c.project, c.ord, c.sha, k.from_n, k.to_n FROM commit_list c LEFT JOIN (SELECT * FROM chunks WHERE from_n % 3 <> 0) k ON k.project = c.project AND c.ord BETWEEN from_n AND to_n")
+@query("j14_chunk_of_commit", "SELECT c.project, c.ord, c.sha, k.from_n, k.to_n FROM commit_list c LEFT JOIN (SELECT CASE WHEN from_n % 3 <> 0 THEN project ELSE concat(project, '-moved') END AS project, from_n, to_n FROM chunks) k ON k.project = c.project AND c.ord BETWEEN from_n AND to_n")
 def j14_chunk_of_commit(spark, d):
-    held = w1_state_chunks(spark, d).filter("from_n % 3 <> 0")
+    held = w1_state_chunks(spark, d).withColumn("project", F.expr("CASE WHEN from_n % 3 <> 0 THEN project ELSE concat(project, '-moved') END"))
     return chunks.chunk_of_commit(T.commit_list(spark, d).select("project", "ord", "sha"), held)
 
 
@@ -324,6 +325,6 @@ def j17_detected_services(spark, d):
 
 
 @query("a47_language_extensions", """SELECT language, string_agg(DISTINCT ext, ',' ORDER BY ext) AS extensions, count(DISTINCT ext) AS n FROM
-  (SELECT language, regexp_extract(file_path, '[^/]\\.([^./]+)$', 1) AS ext FROM order_fragments WHERE language IN ('Java', 'Go')) GROUP BY ALL""")
+  (SELECT language, regexp_extract(file_path, '[^/]\\.([^./]+)$', 1) AS ext FROM order_fragments) GROUP BY ALL""")
 def a47_language_extensions(spark, d):
-    return detector.language_extensions(T.order_fragments(spark, d), ["Java", "Go"])
+    return detector.language_extensions(T.order_fragments(spark, d), ["Java", "JavaScript", "Go", "Python"])

@@ -167,15 +167,15 @@ VIEWS: dict[str, str] = {
         FROM documents""",
     "text_loc": "SELECT project, language, service, count(*) AS file_count, CAST(sum(loc) AS BIGINT) AS total_loc FROM text_files WHERE service <> '' GROUP BY ALL",
     "contexts": """
-        SELECT project, source AS context, source AS service, 1 AS tier, 1 AS ordinal FROM (SELECT DISTINCT concat('acme.repo', doc_id % 3) AS project, source FROM documents)
-          WHERE source NOT IN ('src18', 'src19')
-        UNION ALL SELECT project, concat(source, '/test/'), concat(source, '-test'), 1, 2 FROM (SELECT DISTINCT concat('acme.repo', doc_id % 3) AS project, source FROM documents)
-          WHERE source NOT IN ('src18', 'src19')
-        UNION ALL SELECT DISTINCT concat('acme.repo', doc_id % 3), source, 'legacy18', 2, 1 FROM documents WHERE source = 'src18'""",
+        SELECT project, folder AS context, source AS service, 1 AS tier, 1 AS ordinal FROM context_folders WHERE source <> 'src18'
+        UNION ALL SELECT project, concat(folder, '/test/'), concat(source, '-test'), 1, 2 FROM context_folders WHERE source <> 'src18'
+        UNION ALL SELECT project, source, 'legacy18', 2, 1 FROM context_folders WHERE source = 'src18'""",
+    "context_folders": """
+        SELECT DISTINCT concat('acme.repo', doc_id % 3) AS project, source, CASE WHEN source = 'src19' THEN concat('moved/', source) ELSE source END AS folder FROM documents""",
     "file_history": """
         SELECT event_id // 10 AS file_id, list_sort(list(DISTINCT {'type': CASE WHEN event_type = 'signup' THEN 'added' ELSE 'modified' END,
-          'commit': CASE WHEN event_type = 'click' THEN concat('u', user_id % 40) ELSE concat('c', strftime(ts, '%Y%m%d')) END})) AS modification
-        FROM events WHERE event_type IN ('purchase', 'click', 'signup') GROUP BY ALL""",
+          'commit': CASE WHEN event_type IN ('click', 'view') THEN concat('u', user_id % 40) ELSE concat('c', strftime(ts, '%Y%m%d')) END})) AS modification
+        FROM events GROUP BY ALL""",
     "text_lines": """
         SELECT project, language, file_id, file_path, service, unnest(string_split(text, chr(10))) AS line,
           generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no FROM text_files""",
@@ -186,13 +186,13 @@ VIEWS: dict[str, str] = {
         SELECT project, language, md5(line) AS clone_id, file_id, file_path, service, line_no AS start_line, line_no AS end_line, 1 AS line_count,
           CAST(row_number() OVER (PARTITION BY project, language, md5(line) ORDER BY file_id, line_no) - 1 AS INT) AS fragment_index,
           count(*) OVER (PARTITION BY project, language, md5(line)) AS copies, {file_type_sql('file_path')} AS file_type
-        FROM text_lines WHERE length(line) >= 20) t LEFT JOIN file_history h USING (file_id) WHERE copies > 1""",
+        FROM text_lines) t LEFT JOIN file_history h USING (file_id) WHERE copies > 1""",
     "text_pairs": _pair_view("text_fragments", ""),
     "all_text_pairs": _pair_view("text_fragments", ""),
     "order_pairs": _pair_view("order_fragments", ""),
     "codebases": """
-        SELECT DISTINCT concat('acme.repo', doc_id % 3) AS project, lang AS language, source AS context, source AS service,
-          CAST(substr(source, 4) AS INT) AS ordinal FROM documents WHERE source NOT IN ('src17', 'src19')""",
+        SELECT DISTINCT concat('acme.repo', doc_id % 3) AS project, lang AS language, CASE WHEN source IN ('src17', 'src19') THEN concat('moved/', source) ELSE source END AS context,
+          source AS service, CAST(substr(source, 4) AS INT) AS ordinal FROM documents""",
     "placed": """
         SELECT f.*, (SELECT arg_min(context, ordinal) FROM codebases c WHERE c.project = f.project AND c.language = f.language AND starts_with(f.file_path, c.context)) AS codebase
         FROM text_fragments f""",

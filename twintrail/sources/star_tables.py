@@ -18,7 +18,6 @@ from twintrail.operators.ranks import dense_index
 LANGUAGES = "array('Java','JavaScript','Go','Python')"
 FOLDERS = "array('src','test','config','dto','migrations','src/main','specs','src/lib')"
 ENDINGS = "array('.java','.py','.js','.go','.sql')"
-MIN_LINE = 20
 VERSIONS = 4
 IDS_PER_CHUNK = 65536
 PARTS_PER_CHUNK = 1_000_000
@@ -90,17 +89,17 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def service_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contexts: a folder per source, a nested test folder, one source only in the fallback tier."""
+    """Contexts: a folder per source, a nested test folder, one source only in the fallback tier, one where no file is."""
     return (
         table(spark, sf_dir, "documents")
         .selectExpr("concat('acme.repo', doc_id % 3) AS project", "source").distinct()
-        .filter("source <> 'src19'")
+        .selectExpr("project", "source", "CASE WHEN source = 'src19' THEN concat('moved/', source) ELSE source END AS folder")
         .selectExpr(
             "project",
             "inline(CASE WHEN source = 'src18'"
             " THEN array(struct(source AS context, 'legacy18' AS service, 2 AS tier, 1 AS ordinal))"
-            " ELSE array(struct(source AS context, source AS service, 1 AS tier, 1 AS ordinal),"
-            " struct(concat(source, '/test/') AS context, concat(source, '-test') AS service, 1 AS tier, 2 AS ordinal)) END)",
+            " ELSE array(struct(folder AS context, source AS service, 1 AS tier, 1 AS ordinal),"
+            " struct(concat(folder, '/test/') AS context, concat(source, '-test') AS service, 1 AS tier, 2 AS ordinal)) END)",
         )
     )
 
@@ -108,11 +107,11 @@ def service_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits of each file with their type; ten events fall on a file."""
     return (
-        table(spark, sf_dir, "events").filter("event_type IN ('purchase', 'click', 'signup')")
+        table(spark, sf_dir, "events")
         .selectExpr(
             "CAST(floor(event_id / 10) AS BIGINT) AS file_id",
             "CASE WHEN event_type = 'signup' THEN 'added' ELSE 'modified' END AS type",
-            "CASE WHEN event_type = 'click' THEN concat('u', user_id % 40) ELSE concat('c', date_format(ts, 'yyyyMMdd')) END AS commit",
+            "CASE WHEN event_type IN ('click', 'view') THEN concat('u', user_id % 40) ELSE concat('c', date_format(ts, 'yyyyMMdd')) END AS commit",
         )
         .groupBy("file_id").agg(F.array_sort(F.collect_set(F.struct("type", "commit"))).alias("modification"))
     )
@@ -123,7 +122,6 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (
         text_files(spark, sf_dir)
         .select("project", "language", "file_id", "file_path", "service", "loc", F.posexplode(F.split("text", "\n")).alias("p", "line"))
-        .filter(F.length("line") >= MIN_LINE)
         .select(
             "project", "language", F.md5("line").alias("clone_id"), "file_id", "file_path", "service", "loc",
             (F.col("p") + 1).alias("start_line"),
@@ -150,12 +148,15 @@ def text_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codebases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code bases of the project selection: one per source, listed in name order."""
+    """Code bases of the project selection: one per source, listed in name order; two lie where no file is."""
     return (
-        table(spark, sf_dir, "documents").filter("source NOT IN ('src17', 'src19')")
-        .selectExpr("concat('acme.repo', doc_id % 3) AS project", "lang AS language", "source AS context", "source AS service")
+        table(spark, sf_dir, "documents")
+        .selectExpr(
+            "concat('acme.repo', doc_id % 3) AS project", "lang AS language",
+            "CASE WHEN source IN ('src17', 'src19') THEN concat('moved/', source) ELSE source END AS context", "source AS service",
+        )
         .distinct()
-        .withColumn("ordinal", F.expr("CAST(substring(context, 4) AS INT)"))
+        .withColumn("ordinal", F.expr("CAST(substring(service, 4) AS INT)"))
     )
 
 
