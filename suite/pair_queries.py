@@ -9,6 +9,7 @@ from suite.views import known, pair_type_sql
 from twintrail.functions import labels
 from twintrail.functions.commits import short_commits
 from twintrail.operators import filters, fragments, pair_counts, pairs, ranks, services
+from twintrail.operators.pair_view import PairView
 from twintrail.session import staged
 from twintrail.sources import star_tables as T
 
@@ -45,6 +46,14 @@ def stored_fragments(spark, d):
     return staged(T.text_fragments(spark, d))
 
 
+def text_view(spark, d):
+    return PairView(stored_fragments(spark, d))
+
+
+def order_view(spark, d):
+    return PairView(staged(T.order_fragments(spark, d)))
+
+
 def _flat(df):
     return df.withColumn("comodified_commits", F.array_join("comodified_commits", ","))
 
@@ -255,18 +264,12 @@ def k4_top_files_by_touch(spark, d):
   (SELECT (project, language, clone_id) FROM order_pairs WHERE file_id_x % 50 = 7 AND file_id_y % 40 = 9)""")
 def j19_clone_set_links(spark, d):
     # Coordinates folded to remainders, so that the chosen one is a whole group of points.
-    rows = order_pairs(spark, d)
-    folded = rows.withColumns({"ox": F.col("file_id_x"), "oy": F.col("file_id_y"), "file_id_x": F.col("file_id_x") % 50, "file_id_y": F.col("file_id_y") % 40})
-    chosen = folded.filter("file_id_x = 7 AND file_id_y = 9").select("project", "language", "clone_id").distinct()
-    rest = folded.filter("NOT (file_id_x = 7 AND file_id_y = 9)")
-    return rest.join(chosen, ["project", "language", "clone_id"], "left_semi").selectExpr("project", "language", "clone_id", "ox AS file_id_x", "oy AS file_id_y").distinct()
+    return pairs.clone_set_links(staged(T.order_fragments(spark, d)), lambda f: f % 50 == 7, lambda f: f % 40 == 9)
 
 
 @query("j12_pairs_at_coordinates", f"SELECT {ROW}, count(*) OVER (PARTITION BY project, language, file_id_y, file_id_x) AS overlap FROM text_pairs")
 def j12_pairs_at_coordinates(spark, d):
-    rows = text_pairs(spark, d)
-    here = rows.groupBy("project", "language", "file_id_y", "file_id_x").agg(F.count(F.lit(1)).alias("overlap"))
-    return rows.join(here, ["project", "language", "file_id_y", "file_id_x"]).select(*ROW_LIST, "overlap")
+    return pairs.with_overlap(stored_pairs(spark, d)).select(*ROW_LIST, "overlap")
 
 
 # --- coordinates -------------------------------------------------------------------------
@@ -338,27 +341,27 @@ _filter_query(
     "p5_service_spread",
     f"""(project, language, clone_id) IN (SELECT (project, language, clone_id) FROM
       (SELECT project, language, clone_id, unnest([service_x, service_y]) AS s FROM text_pairs) WHERE {known('s')} GROUP BY project, language, clone_id HAVING count(DISTINCT s) >= 3)""",
-    lambda p: filters.by_service_spread(p, "3"),
+    lambda v: v.spread(3).pairs(), build=text_view,
 )
 _filter_query("p6_clone_id_text", "clone_id = '1027'", lambda p: filters.by_clone_id_text(p, "Clone #1027"), "order_pairs", order_pairs)
 _filter_query("p7_clone_id", "clone_id = '77'", lambda p: filters.by_clone_id(p, 77), "order_pairs", order_pairs)
 _filter_query(
     "p8_set_code_type", f"(project, language, clone_id) IN (SELECT (project, language, clone_id) FROM ({TYPES.format(p='text_pairs')}) WHERE code_type = 'mixed')",
-    lambda p: filters.by_set_code_type(p, "mixed"),
+    lambda v: v.code_type("mixed").pairs(), build=text_view,
 )
 _filter_query("p9_pair_code_type", f"{pair_type_sql('file_type_x', 'file_type_y')} = 'config'", lambda p: filters.by_pair_code_type(p, "config"))
-_filter_query("p10_focus_service", "'src3' IN (service_x, service_y)", lambda p: filters.by_focus_service(p, "src3"))
+_filter_query("p10_focus_service", "'src3' IN (service_x, service_y)", lambda v: v.focus("src3").pairs(), build=text_view)
 _filter_query(
     "p10_focus_and_related", "(service_x = 'svc3' AND service_y = 'svc5') OR (service_x = 'svc5' AND service_y = 'svc3')",
-    lambda p: filters.by_focus_service(p, "svc3", "svc5"), "order_pairs", order_pairs,
+    lambda v: v.focus("svc3", "svc5").pairs(), "order_pairs", order_view,
 )
-_filter_query("p10_focus_itself", "service_x = 'svc3' AND service_y = 'svc3'", lambda p: filters.by_focus_service(p, "svc3", "svc3"), "order_pairs", order_pairs)
+_filter_query("p10_focus_itself", "service_x = 'svc3' AND service_y = 'svc3'", lambda v: v.focus("svc3", "svc3").pairs(), "order_pairs", order_view)
 _filter_query(
     "p11_detection_method", f"{_METHOD_SQL} = 'no-import'",
     lambda p: filters.by_method(p.withColumn("detection_method", F.expr(_METHOD.replace("file_id_x % 4", "CAST(file_id_x % 4 AS INT)"))), "import"),
 )
 _filter_query("p13_unknown_scope", f"NOT ({KNOWN})", lambda p: filters.by_resolution(p, "unknown"))
-_filter_query("p27_pairs_of_file", "'mod1/config/f50.java' IN (file_path_x, file_path_y)", lambda p: filters.by_file(p, "mod1/config/f50.java"), "order_pairs", order_pairs)
+_filter_query("p27_pairs_of_file", "'mod1/config/f50.java' IN (file_path_x, file_path_y)", lambda v: v.of_file("mod1/config/f50.java").pairs(), "order_pairs", order_view)
 
 _ROWS12 = f"""SELECT *, {_METHOD_SQL} AS method FROM text_pairs WHERE {KNOWN} AND relation = 'inter'"""
 

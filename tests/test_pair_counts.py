@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twintrail.operators import filters, fragments, pair_counts, pairs
+from twintrail.operators.pair_view import PairView
 
 SCHEMA = (
     "project string, language string, clone_id string, fragment_index int, file_path string, file_id int, service string, "
@@ -90,3 +91,43 @@ def test_a_set_of_many_copies_makes_no_pair_rows(spark):
     assert row.pair_count == sum(x[0] < y[-1] for x in index for y in index)
     plan = pair_counts.dataset_overview(hot)._jdf.queryExecution().optimizedPlan().toString()
     assert "fragment_index_x" not in plan
+
+
+VIEWS = {
+    "spread": (lambda v: v.spread(3), lambda p: filters.by_service_spread(p, "3")),
+    "code type": (lambda v: v.code_type("mixed"), lambda p: filters.by_set_code_type(p, "mixed")),
+    "focus": (lambda v: v.focus("a"), lambda p: filters.by_focus_service(p, "a")),
+    "focus on two": (lambda v: v.focus("a", "b"), lambda p: filters.by_focus_service(p, "a", "b")),
+    "focus on itself": (lambda v: v.focus("a", "a"), lambda p: filters.by_focus_service(p, "a", "a")),
+    "file": (lambda v: v.of_file("d3/f3.java"), lambda p: filters.by_file(p, "d3/f3.java")),
+    "one set": (lambda v: v.clone_id("c7"), lambda p: p.filter("clone_id = 'c7'")),
+    "sets and a side": (lambda v: v.spread(2).code_type("logic").of_file("d3/f3.java"), lambda p: filters.by_file(filters.by_set_code_type(filters.by_service_spread(p, "2"), "logic"), "d3/f3.java")),
+}
+
+
+@pytest.mark.parametrize("case", VIEWS)
+@pytest.mark.parametrize("block", [3, 256])
+def test_view_makes_the_pairs_that_a_filter_keeps(both, case, block):
+    frags, table = both
+    view, kept = VIEWS[case]
+    got = view(PairView(frags)).pairs(block)
+    want = kept(table).drop("detection_method")
+    assert sorted(got.columns) == sorted(want.columns)
+    assert got.count() > 0 or case == "sets and a side"
+    assert plain(got) == plain(want)
+
+
+def test_links_of_a_coordinate(both):
+    frags, table = both
+    rows = table.collect()
+    for x, y in [(3, 4), (4, 3), (5, 5)]:
+        chosen = {r.clone_id for r in rows if (r.file_id_x, r.file_id_y) == (x, y)}
+        want = {(r.clone_id, r.file_id_x, r.file_id_y) for r in rows if r.clone_id in chosen and (r.file_id_x, r.file_id_y) != (x, y)}
+        got = pairs.clone_set_links(frags, lambda f: f == x, lambda f: f == y).collect()
+        assert len(got) == len(want) and {(r.clone_id, r.file_id_x, r.file_id_y) for r in got} == want
+
+
+def test_overlap_of_a_coordinate(both):
+    rows = both[1].select("project", "file_id_x", "file_id_y").collect()
+    for r in pairs.with_overlap(both[1]).collect():
+        assert r.overlap == rows.count((r.project, r.file_id_x, r.file_id_y))

@@ -41,19 +41,13 @@ def clone_pairs(fragments: DataFrame, token_counts: DataFrame | None = None, blo
     def side(tag):
         return rows.select(*keys, *[F.col(c).alias(f"{c}_{tag}") for c in ["_block", *sides]])
 
-    common = common_commits("modified_commits_x", "modified_commits_y")
-    paired = (
+    paired = compared(
         side("x")
         .join(side("y"), keys)
         .filter(F.col("fragment_index_x") < F.col("fragment_index_y"))
         .filter((F.col("_low") == F.col("_high")) | (F.col("_block_x") != F.col("_block_y")))
         .drop("_low", "_high", "_block_x", "_block_y")
-        .withColumn("comodified_commits", common)
-        .withColumn("comodification_count", F.size("comodified_commits"))
-        .withColumn("comodified", (F.col("comodification_count") > 0).cast("int"))
-        .withColumn("relation", labels.relation("service_x", "service_y"))
-        .drop("modified_commits_x", "modified_commits_y")
-    )
+    ).drop("token_count")
     if token_counts is None:
         return paired.withColumn("token_count", F.lit(0))
     return paired.join(token_counts, SET_KEYS, "left").withColumn(
@@ -61,6 +55,18 @@ def clone_pairs(fragments: DataFrame, token_counts: DataFrame | None = None, blo
     )
 
 
+def compared(sides: DataFrame) -> DataFrame:
+    """Both sides of pairs with what they have in common; no token count is known."""
+    return (
+        sides.withColumn("comodified_commits", common_commits("modified_commits_x", "modified_commits_y"))
+        .withColumn("comodification_count", F.size("comodified_commits"))
+        .withColumn("comodified", (F.col("comodification_count") > 0).cast("int"))
+        .withColumn("relation", labels.relation("service_x", "service_y"))
+        .drop("modified_commits_x", "modified_commits_y")
+        .withColumn("token_count", F.lit(0))
+    )
+
+
 # --- exact pair counts without pairs -----------------------------------------------
 
 
@@ -367,11 +373,32 @@ def method_breakdown(pairs: DataFrame) -> DataFrame:
     )
 
 
-def clone_set_links(pairs: DataFrame, file_x: int, file_y: int) -> DataFrame:
-    """Other coordinates holding a pair of a clone set that lies on the chosen coordinate."""
-    here = (F.col("file_id_x") == file_x) & (F.col("file_id_y") == file_y)
-    chosen = pairs.filter(here).select(*SET_KEYS).distinct()
-    return pairs.filter(~here).join(chosen, SET_KEYS, "left_semi").select(*SET_KEYS, "file_id_x", "file_id_y").distinct()
+def clone_set_links(fragments: DataFrame, on_x, on_y) -> DataFrame:
+    """Other coordinates holding a pair of a clone set that has one on the chosen coordinates.
+
+    ``on_x`` and ``on_y`` tell the chosen file ids of the two sides. A set has a pair on two
+    files if its first fragment in the one precedes its last in the other, so one row for
+    each set and file is enough.
+    """
+    index = F.col("fragment_index")
+    spans = fragments.groupBy(*SET_KEYS, "file_id").agg(F.min(index).alias("first"), F.max(index).alias("last"))
+    x = spans.select(*SET_KEYS, F.col("file_id").alias("file_id_x"), "first")
+    y = spans.select(*SET_KEYS, F.col("file_id").alias("file_id_y"), "last")
+    here_x, here_y = on_x(F.col("file_id_x")), on_y(F.col("file_id_y"))
+    chosen = (
+        x.filter(here_x).groupBy(*SET_KEYS).agg(F.min("first").alias("first"))
+        .join(y.filter(here_y).groupBy(*SET_KEYS).agg(F.max("last").alias("last")), SET_KEYS)
+        .filter("first < last").select(*SET_KEYS)
+    )
+    linked = x.join(chosen, SET_KEYS, "left_semi").join(y.join(chosen, SET_KEYS, "left_semi"), SET_KEYS)
+    return linked.filter((F.col("first") < F.col("last")) & ~(here_x & here_y)).select(*SET_KEYS, "file_id_x", "file_id_y")
+
+
+def with_overlap(pairs: DataFrame) -> DataFrame:
+    """Each pair with the number of pairs on its coordinate."""
+    keys = [*PROJECT_KEYS, "file_id_y", "file_id_x"]
+    here = coordinate_overlap(pairs).select(*keys, F.col("overlap_count").alias("overlap"))
+    return pairs.join(here, keys)
 
 
 def share_of(counts: DataFrame) -> DataFrame:
