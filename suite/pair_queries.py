@@ -167,7 +167,7 @@ def k7_ordered_service_options(spark, d):
     label = F.expr("concat(service, ' (', clone_sets, ' sets / ', pairs, ' pairs)')")
     order = [("clone_sets", "desc"), ("pairs", "desc"), ("service", "asc")]
     options = pair_counts.service_options(stored_fragments(spark, d)).withColumn("label", label)
-    return ranks.placed(options, ["project", "language"], order, F.struct(-F.col("clone_sets"), -F.col("pairs")))
+    return ranks.placed(options, ["project", "language"], order)
 
 
 @query("a33_shared_clone_matrix", f"""SELECT s.*, coalesce(p.n, 0) AS shared_pairs FROM (
@@ -199,7 +199,7 @@ for _name, _cols in (("k6_options_by_span", ("service_count", "comod_count")), (
         def run(spark, d):
             table = pair_counts.clone_options(stored_fragments(spark, d))
             order = [(cols[0], "desc"), (cols[1], "desc"), ("clone_id", "asc")]
-            return ranks.placed(table, ["project", "language"], order, F.struct(-F.col(cols[0]), -F.col(cols[1]), F.substring("clone_id", 1, 2)))
+            return ranks.placed(table, ["project", "language"], order)
 
     _options(_name, _cols)
 
@@ -394,8 +394,7 @@ def k5_clone_selector(spark, d):
     number = F.col("clone_id").cast("bigint")
     table = chosen.join(counts, ["project", "language", "clone_id"]).withColumn("_set", number)
     order = [("lines", "desc"), ("total", "desc"), ("multiplicity", "desc"), ("_set", "asc"), ("file_id_x", "asc"), ("file_id_y", "asc")]
-    chunk = F.struct(-F.col("lines"), -F.col("total"), -F.col("multiplicity"), F.floor(F.col("_set") / 1024))
-    return ranks.placed(table, ["project", "language"], order, chunk).drop("_set")
+    return ranks.placed(table, ["project", "language"], order).drop("_set")
 
 
 _LINK = "concat('https://github.com/', replace(project, '.', '/'), '/commit/', c)"

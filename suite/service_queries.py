@@ -460,8 +460,7 @@ def p25_eligible_repositories(spark, d):
 def k1_multi_column_sort(spark, d):
     table = core.a4_file_metrics_text(spark, d)
     order = [("sharing_service_count", "desc"), ("service", "asc"), ("file_path", "asc")]
-    chunk = F.struct(-F.col("sharing_service_count"), "service")
-    return ranks.placed(table, ["project", "language"], order, chunk).select("project", "language", "file_path", "service", "sharing_service_count", "place")
+    return ranks.placed(table, ["project", "language"], order).select("project", "language", "file_path", "service", "sharing_service_count", "place")
 
 
 @query("k9_table_page", "SELECT project, language, clone_id, comod_count FROM o_set_metrics ORDER BY comod_count DESC, project, language, clone_id LIMIT 20 OFFSET 40")

@@ -135,9 +135,74 @@ def test_places_follow_the_whole_sort(spark):
     for k in "ab":
         for place, (_, _, name) in enumerate(sorted((r for r in data if r[0] == k), key=lambda r: (-r[1], r[2]))):
             want[name] = place
-    for chunk in (F.struct(-F.col("v")), F.struct(-F.col("v"), F.substring("name", 1, 2))):
-        got = ranks.placed(df, ["k"], [("v", "desc"), ("name", "asc")], chunk)
-        assert {r.name: r.place for r in got.collect()} == want
+    got = ranks.placed(df.repartition(7), ["k"], [("v", "desc"), ("name", "asc")])
+    assert {r.name: r.place for r in got.collect()} == want
+    by_name = [r[2] for r in sorted(data, key=lambda r: (r[1], r[2]))]
+    for number, size in ((0, 7), (3, 50), (27, 7), (40, 7)):
+        rows = ranks.page(df.repartition(5), [F.col("v"), F.col("name")], number, size).collect()
+        assert [r.name for r in rows] == by_name[number * size : (number + 1) * size]
+
+
+def test_tied_rows_are_dealt_to_many_ranges(spark):
+    from twintrail.operators import ranks
+
+    tied = spark.range(0, 40000, 1, 8).selectExpr("CAST(NULL AS STRING) AS k", "1 AS v")
+    # Small ranges would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    places = ranks.positions(tied, ["k"], [F.col("v")], "place")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(r.place for r in places.collect()) == list(range(40000))
+    # The staged rows lie in several sorted files although all of them are equal.
+    assert len(places.inputFiles()) > 2
+
+
+def test_quantiles_against_sorted_lists(spark):
+    from twintrail.operators import ranks
+
+    rng = random.Random(13)
+    data = [("a", float(rng.randrange(9))) for _ in range(300)] + [("b", rng.random() ** 9 * 1e6) for _ in range(501)] + [("c", 4.0), ("d", None), ("a", float("nan"))]
+    df = spark.createDataFrame(data, "k string, v double").repartition(6)
+    points = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r.k: r.q for r in ranks.quantiles(df, "v", ["k"], points, "q").collect()}
+    assert set(got) == {"a", "b", "c"}
+
+    def plain(values, point):
+        values, place = sorted(values), point * (len(values) - 1)
+        low, high = values[int(place)], values[min(len(values) - 1, int(place) + 1)]
+        return low + (place - int(place)) * (high - low)
+
+    for k, q in got.items():
+        values = [v for key, v in data if key == k and v is not None and v == v]
+        assert all(abs(x - plain(values, p)) <= 1e-9 * max(1.0, abs(x)) for x, p in zip(q, points))
+    whole = ranks.quantiles(df, "v", [], [0.5], "q").first().q[0]
+    assert abs(whole - plain([v for _, v in data if v is not None and v == v], 0.5)) < 1e-9
+
+
+def test_ranges_go_on_over_block_borders(spark):
+    rng = random.Random(17)
+    values = {k: sorted(rng.sample(range(-40, 200), n)) for k, n in (("thin", 30), ("thick", 220), ("one", 1))}
+    values["whole"] = list(range(-16, 64))
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs + vs[:3]], "k string, v long")
+    want = set()
+    for k, vs in values.items():
+        start = vs[0]
+        for a, b in zip(vs, [*vs[1:], None]):
+            if b != a + 1:
+                want.add((k, start, a))
+                start = b
+    for block in (1, 4, 8, 4096):
+        rows = contiguous_ranges(df, ["k"], "v", block).collect()
+        assert len(rows) == len(want) and {(r.k, r.range_start, r.range_end) for r in rows} == want
+
+
+def test_display_ids_over_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "IDS_PER_PIECE", 3)
+    monkeypatch.setattr(pairs, "IDS_PER_CHUNK", 8)
+    ranges = [("p", "J", "b", 5, 14), ("p", "J", "a", 20, 20), ("p", "J", "a", 30, 41), ("p", "J", "b", 60, 63), ("q", "J", "a", 7, 8)]
+    df = spark.createDataFrame(ranges, "project string, language string, service string, range_start int, range_end int")
+    got = {(r.project, r.file_id): r.display_id for r in pairs.display_ids(df).collect()}
+    order = [*range(5, 15), *range(60, 64), 20, *range(30, 42)]
+    assert got == {("p", f): 5 + k for k, f in enumerate(order)} | {("q", 7): 7, ("q", 8): 8}
 
 
 def test_display_ids_close_gaps(spark):

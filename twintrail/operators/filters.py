@@ -9,6 +9,7 @@ from twintrail import constants as C
 from twintrail.constants import SET_KEYS
 from twintrail.functions import labels
 from twintrail.functions.numbers import threshold, truthy_count
+from twintrail.operators import ranks
 from twintrail.operators.pairs import set_code_types, share_of
 
 COUNT_COLUMNS = ["coModificationCount", "comodification_count", "comodified_count"]
@@ -173,9 +174,8 @@ def filter_clone_sets(
     elif preset == "comod1":
         table = table.filter(in_range("comod_count", 1))
     elif preset == "top_inter_loc":
-        # The quartile is one row; distinct values are counted before they are ordered.
-        values = table.groupBy("cross_service_line_count").agg(F.count(F.lit(1)).alias("n"))
-        bound = values.agg(F.percentile("cross_service_line_count", F.lit(0.75), F.col("n")).alias("_bound"))
+        # The quartile is one row.
+        bound = ranks.quantiles(table, "cross_service_line_count", [], [0.75], "_q").select(F.col("_q")[0].alias("_bound"))
         table = (
             table.crossJoin(F.broadcast(bound))
             .filter(F.col("cross_service_line_count") >= F.col("_bound"))
@@ -217,7 +217,9 @@ def filter_files(
 
 
 def _ordered(table: DataFrame, columns: list[str]) -> DataFrame:
-    return table.orderBy(*[F.col(c).desc_nulls_last() for c in columns if c in table.columns])
+    """Largest first by the columns that the table has; rows that agree in them by what names them."""
+    names = [c for c in ("project", "language", "service", "file_path", "clone_id") if c in table.columns]
+    return table.orderBy(*[F.col(c).desc_nulls_last() for c in columns if c in table.columns], *names)
 
 
 def sets_touching(

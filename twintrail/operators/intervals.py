@@ -32,17 +32,32 @@ def merged_lines(df: DataFrame, keys: list[str], start: str = "start_line", end:
     )
 
 
-def contiguous_ranges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Runs of consecutive integers per key group as (range_start, range_end)."""
-    order = W.partitionBy(*keys).orderBy(value)
-    return (
-        df.select(*keys, value)
-        .distinct()
+def contiguous_ranges(df: DataFrame, keys: list[str], value: str, block: int = 4096) -> DataFrame:
+    """Runs of consecutive integers per key group as (range_start, range_end).
+
+    Runs are found within blocks of values. Only those that reach a border of their block can
+    go on in the next one; of these a block has two at most, and they alone are put in order
+    over the whole group.
+    """
+    order = W.partitionBy(*keys, "_block").orderBy(value)
+    first, last = F.col("range_start"), F.col("range_end")
+    runs = (
+        df.select(*keys, value).distinct()
+        .withColumn("_block", F.floor(F.col(value) / block))
         .withColumn("_run", F.col(value) - F.row_number().over(order))
-        .groupBy(*keys, "_run")
+        .groupBy(*keys, "_block", "_run")
         .agg(F.min(value).alias("range_start"), F.max(value).alias("range_end"))
-        .drop("_run")
+        .withColumn("_open", (F.pmod(first, F.lit(block)) == 0) | (F.pmod(last + 1, F.lit(block)) == 0))
+    )
+    chain = W.partitionBy(*keys).orderBy("range_start")
+    begins = F.coalesce((first != F.lag("range_end").over(chain) + 1).cast("int"), F.lit(1))
+    joined = (
+        runs.filter("_open").withColumn("_begins", begins)
+        .withColumn("_chain", F.sum("_begins").over(chain.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy(*keys, "_chain").agg(F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end"))
+        .drop("_chain")
     )
+    return runs.filter("NOT _open").select(*keys, "range_start", "range_end").unionByName(joined)
 
 
 def range_lookup(

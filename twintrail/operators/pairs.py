@@ -11,7 +11,10 @@ from twintrail.functions import labels
 from twintrail.functions.commits import common_commits
 from twintrail.functions.numbers import heat_class
 from twintrail.functions.paths import base_name
+from twintrail.operators.ranks import running_total
 
+#: File ids that one chunk of ranges spans, and that are counted up in one array.
+IDS_PER_CHUNK, IDS_PER_PIECE = 1 << 20, 4096
 PAIR_SIDES = ["file_path", "file_id", "service", "file_type", "start_line", "end_line"]
 
 
@@ -416,22 +419,24 @@ def share_of(counts: DataFrame) -> DataFrame:
 def display_ids(file_ranges: DataFrame) -> DataFrame:
     """Gap-free ids of all files of known services, ordered by the service's first id.
 
-    Offsets come from one row per range; ids inside a range are then counted up, so no
-    window ever runs over all files.
+    Offsets are a running total over the ranges, chunk by chunk; a range is then counted up
+    in pieces, so neither a window nor an array ever holds all files of a service.
     """
     known = file_ranges.filter(labels.known_service("service") & (F.col("range_end") >= F.col("range_start")))
-    by_service = W.partitionBy(*PROJECT_KEYS, "service")
-    order = W.partitionBy(*PROJECT_KEYS).orderBy("first_id", "service", "range_start", "range_end")
+    services = known.groupBy(*PROJECT_KEYS, "service").agg(F.min("range_start").alias("first_id"))
+    lowest = services.groupBy(*PROJECT_KEYS).agg(F.min("first_id").alias("base"))
     length = F.col("range_end") - F.col("range_start") + 1
-    base = F.min("range_start").over(W.partitionBy(*PROJECT_KEYS))
-    before = F.coalesce(F.sum(length).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = (
-        known.withColumn("first_id", F.min("range_start").over(by_service))
-        .withColumn("display_start", base + before)
-    )
-    return placed.select(
-        *PROJECT_KEYS, "service", "display_start", F.posexplode(F.sequence("range_start", "range_end")).alias("p", "file_id")
-    ).select(*PROJECT_KEYS, "service", "file_id", (F.col("display_start") + F.col("p")).cast("bigint").alias("display_id"))
+    order = [F.col(c) for c in ("first_id", "service", "range_start", "range_end")]
+    chunk = F.struct("first_id", "service", F.floor(F.col("range_start") / IDS_PER_CHUNK).alias("part"))
+    total = running_total(known.join(services, [*PROJECT_KEYS, "service"]), PROJECT_KEYS, order, chunk, length, "upto")
+    shift = F.col("base") + F.col("upto") - length - F.col("range_start")
+    pieces = total.join(lowest, PROJECT_KEYS).select(
+        *PROJECT_KEYS, "service", "range_end", shift.alias("shift"), F.explode(F.sequence(F.col("range_start").cast("bigint"), F.col("range_end").cast("bigint"), F.lit(IDS_PER_PIECE).cast("bigint"))).alias("first")
+    )
+    ids = pieces.select(
+        *PROJECT_KEYS, "service", "shift", F.explode(F.sequence("first", F.least(F.col("range_end"), F.col("first") + (IDS_PER_PIECE - 1)))).alias("file_id")
+    )
+    return ids.select(*PROJECT_KEYS, "service", "file_id", (F.col("file_id") + F.col("shift")).cast("bigint").alias("display_id"))
 
 
 def with_display_coordinates(pairs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twintrail.session import staged
+
+#: A place in a sorted partition is the part of monotonically_increasing_id below the partition's number.
+PLACE_BITS = 33
+#: Slices that the values of a group are dealt into for their ranks.
+QUANTILE_SLICES = 64
+
 
 def dense_index(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, name: str) -> DataFrame:
     """0-based position of each row inside its group.
@@ -54,17 +61,78 @@ def _directed(columns: list[tuple[str, str]]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in columns]
 
 
-def placed(df: DataFrame, keys: list[str], columns: list[tuple[str, str]], chunk: Column) -> DataFrame:
-    """All rows with ``place``, their 0-based position among those of the same keys under a multi-column sort.
+def placed(df: DataFrame, keys: list[str], columns: list[tuple[str, str]]) -> DataFrame:
+    """All rows with ``place``, their 0-based position among those of the same keys under a multi-column sort."""
+    return positions(df, keys, _directed(columns), "place").withColumn("place", F.col("place").cast("int"))
+
 
-    ``chunk`` must rise with the sort, see dense_index.
+def positions(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """All rows with ``name``, their 0-based place within ``keys`` by ``order``.
+
+    Rows are dealt into ranges of the whole sort key, the row itself last, so that neither a
+    hot key nor a tied value has to fit into one task. A place is what the ranges before it
+    hold, one count each, and the place inside its range. Sorted rows are staged, so that
+    both are counted over the same ranges.
     """
-    return dense_index(df, keys, _directed(columns), chunk, "place")
+    group = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    told = staged(df).withColumn("_tie", F.monotonically_increasing_id())
+    ranged = staged(
+        told.repartitionByRange(*by, F.col("_tie")).sortWithinPartitions(*by, F.col("_tie")).drop("_tie")
+        .withColumn("_part", F.spark_partition_id()).withColumn("_at", at)
+        .withColumn("_group", F.concat_ws("\u0001", *group, *[F.col(k).isNull().cast("string") for k in keys]))
+    )
+    before = W.partitionBy("_group").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        ranged.groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+        .select("_group", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    )
+    return ranged.join(starts, ["_group", "_part"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_group", "_part", "_at", "_start")
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """One page (0-based) of an ordered table."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+    """One page (0-based) of an ordered table: only its own rows are gathered, however deep it lies."""
+    first = number * size
+    found = positions(df, [], order, "_place").filter(F.col("_place").between(first, first + size - 1))
+    return found.orderBy("_place").drop("_place")
+
+
+def quantiles(df: DataFrame, value: str, by: list[str], points: list[float], name: str) -> DataFrame:
+    """Exact quantiles per group as array ``name``, between two values in proportion.
+
+    Equal values are counted first. A sketch of the values' distribution, of bounded size,
+    deals them into slices; a value's rank is what the slices before it hold and its rank
+    inside its own, so no group is put in order as a whole. NULLs and NaN do not count.
+    """
+    keys = by or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    v = F.col("_value")
+    counts = (
+        rows.select(*keys, F.col(value).cast("double").alias("_value")).filter(v.isNotNull() & ~F.isnan(v))
+        .groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    slices = F.array(*[F.lit(k / QUANTILE_SLICES) for k in range(1, QUANTILE_SLICES)])
+    shape = counts.groupBy(*keys).agg(F.percentile_approx("_value", slices, 1000).alias("_borders"), F.sum("_n").alias("_total"))
+    counts = counts.join(shape, keys).withColumn("_slice", F.size(F.filter("_borders", lambda x: x < v))).drop("_borders")
+    ranked = running_total(counts, keys, [v], F.col("_slice"), F.col("_n"), "_upto")
+
+    def at(rank: Column) -> Column:
+        """The value of a 0-based rank."""
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), v))
+
+    found = []
+    for k, point in enumerate(points):
+        place = F.lit(float(point)) * (F.col("_total") - 1)
+        found += [at(F.floor(place)).alias(f"_low{k}"), at(F.ceil(place)).alias(f"_high{k}")]
+    picked = ranked.groupBy(*keys, "_total").agg(*found)
+
+    def between(k: int, point: float) -> Column:
+        place = F.lit(float(point)) * (F.col("_total") - 1)
+        low, high = F.col(f"_low{k}"), F.col(f"_high{k}")
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return picked.select(*by, F.array(*[between(k, x) for k, x in enumerate(points)]).alias(name))
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[Column], chunk: Column, value: Column, name: str) -> DataFrame:

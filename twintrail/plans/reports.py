@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from twintrail.constants import PROJECT_KEYS, SET_KEYS
 from twintrail.functions.numbers import ratio
 from twintrail.functions.paths import is_test_path
+from twintrail.operators import ranks
 from twintrail.operators.clones import located_fragments
 from twintrail.operators.intervals import merged_lines
 from twintrail.operators.services import first_codebase
@@ -107,10 +108,10 @@ def summarize(df: DataFrame, value: str, by: list[str] | None = None) -> DataFra
 
 
 def quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Five-number summary per group; equal values are counted before they are ordered."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    points = F.percentile(value, F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)]), F.col("_n"))
-    return counts.groupBy(*by).agg(points.alias("p"), F.sum("_n").cast("bigint").alias("n")).select(
+    """Five-number summary per group, exact and without putting a group in order."""
+    points = ranks.quantiles(df, value, by, [0.0, 0.25, 0.5, 0.75, 1.0], "p")
+    sizes = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return points.join(sizes, by).select(
         *by, "n", *[F.bround(F.col("p")[i], 12).alias(name) for i, name in enumerate(("low", "q1", "median", "q3", "high"))]
     )
 

@@ -159,10 +159,10 @@ def service_totals(stats: DataFrame) -> DataFrame:
 
 
 def service_ranges(stats: DataFrame) -> DataFrame:
-    """File-id ranges with the position they are listed at."""
+    """File-id ranges with the position they are listed at: that of the service, then that of the range."""
     ranges = stats.select("project", "language", F.posexplode("stats.file_ranges").alias("n", "service", "r"))
     return ranges.select("project", "language", "service", "n", F.posexplode("r").alias("i", "range")).select(
-        "project", "language", "service", (F.col("n") * 100000 + F.col("i")).alias("ordinal"),
+        "project", "language", "service", F.struct("n", "i").alias("ordinal"),
         F.col("range")[0].alias("range_start"), F.col("range")[1].alias("range_end"),
     )
 
@@ -272,7 +272,7 @@ def ordered_catalogue(catalogue: DataFrame) -> DataFrame:
 
 def placed_catalogue(catalogue: DataFrame) -> DataFrame:
     """All runs with their place among the runs of the project, largest first."""
-    return ranks.placed(catalogue, ["project"], [(c, "desc") for c in ("size", "language", "date", "name")], -F.col("size"))
+    return ranks.placed(catalogue, ["project"], [(c, "desc") for c in ("size", "language", "date", "name")])
 
 
 def catalogue_with_rest(runs: DataFrame, documents: DataFrame) -> DataFrame:
