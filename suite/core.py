@@ -13,7 +13,7 @@ from twintrail.sources import star_tables as T
 
 def flagship(spark, d):
     """Clone-set metrics beside the clone share and size of the services each set spans."""
-    rows = T.order_fragments(spark, d)
+    rows = metrics.metric_base(T.order_fragments(spark, d))
     sets = metrics.clone_set_metrics(rows)
     services = metrics.service_metrics(rows, T.order_service_loc(spark, d))
     spans = metrics.set_services(rows).withColumn("service", F.explode("services")).drop("services")
@@ -43,34 +43,34 @@ def a1_comod_fragments(spark, d):
 
 @query("a2_service_metrics", "SELECT * FROM o_service_metrics")
 def a2_service_metrics(spark, d):
-    return metrics.service_metrics(T.order_fragments(spark, d), T.order_service_loc(spark, d))
+    return metrics.service_metrics(metrics.metric_base(T.order_fragments(spark, d)), T.order_service_loc(spark, d))
 
 
 @query("a2_service_metrics_text", "SELECT * FROM t_service_metrics")
 def a2_service_metrics_text(spark, d):
     from twintrail.operators.services import service_loc
 
-    return metrics.service_metrics(T.text_fragments(spark, d), service_loc(T.text_files(spark, d)))
+    return metrics.service_metrics(metrics.metric_base(T.text_fragments(spark, d)), service_loc(T.text_files(spark, d)))
 
 
 @query("a3_clone_set_metrics", "SELECT * FROM o_set_metrics")
 def a3_clone_set_metrics(spark, d):
-    return metrics.clone_set_metrics(T.order_fragments(spark, d))
+    return metrics.clone_set_metrics(metrics.metric_base(T.order_fragments(spark, d)))
 
 
 @query("a3_clone_set_metrics_text", "SELECT * FROM t_set_metrics")
 def a3_clone_set_metrics_text(spark, d):
-    return metrics.clone_set_metrics(T.text_fragments(spark, d))
+    return metrics.clone_set_metrics(metrics.metric_base(T.text_fragments(spark, d)))
 
 
 @query("a4_file_metrics", "SELECT * FROM o_file_metrics")
 def a4_file_metrics(spark, d):
-    return metrics.file_metrics(T.order_fragments(spark, d))
+    return metrics.file_metrics(metrics.metric_base(T.order_fragments(spark, d)))
 
 
 @query("a4_file_metrics_text", "SELECT * FROM t_file_metrics")
 def a4_file_metrics_text(spark, d):
-    return metrics.file_metrics(T.text_fragments(spark, d))
+    return metrics.file_metrics(metrics.metric_base(T.text_fragments(spark, d)))
 
 
 @query("a5_unique_clone_lines", "SELECT project, language, service, file_path, CAST(sum(e - s + 1) AS BIGINT) AS lines FROM o_islands GROUP BY ALL")

@@ -9,11 +9,18 @@ from twintrail.constants import FRAGMENT_KEYS, PROJECT_KEYS, SET_KEYS
 from twintrail.functions.numbers import ratio
 from twintrail.operators.comod import comod_commits, fragment_commits
 from twintrail.operators.intervals import added_lines
+from twintrail.session import staged
 
 SERVICE_KEYS = [*PROJECT_KEYS, "service"]
 FILE_KEYS = [*PROJECT_KEYS, "file_path"]
 
 
+def metric_base(fragments: DataFrame) -> DataFrame:
+    """The columns that metrics read, staged: every level and branch of the three tables reads these, not the views behind them."""
+    commits = F.array_sort(F.array_distinct("modified_commits")).alias("modified_commits")
+    return staged(fragments.select(*FRAGMENT_KEYS, "service", "file_path", "start_line", "end_line", "line_count", commits))
+
+
 def _zero(*names: str):
     return [F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names]
 
