@@ -32,7 +32,9 @@ SECOND_PERSON = frozenset(
     "you your yours yourself yourselves u ur du dich dir dein deine deinen deinem deiner euch euer eure ihr tu te toi ton ta tes vous votre vos tú ti tuyo tuya tus usted ustedes vosotros vuestro vuestra".split()
 )
 WORD = re.compile(r"\w+")
-OBFUSCATED = re.compile(r"\w[@$!*#0-9.\-_]+[^\W\d_]|([^\W\d_])\1\1", re.UNICODE)
+#: A run of marks and digits behind a word character is taken as a whole, whether a letter follows or not, so that a long one is
+#: read once; only those with a letter behind them count, and letters three times over.
+OBFUSCATED = re.compile(r"\w[@$!*#0-9.\-_]++(?:([^\W\d_])|)|([^\W\d_])\2\2", re.UNICODE)
 ELONGATED = re.compile(r"([!?*#$&.])\1")
 FEATURES = [
     "log_words", "mean_word", "hits", "hit_rate", "strong_rate", "weight_mean", "weight_max", "window_max", "window_mean_top",
@@ -115,7 +117,10 @@ def measure(text: str, weights: Weights) -> list[float]:
         window = float(rolling.max())
         top = float(np.sort(w[at])[-8:].mean())
     second = [k for k, x in enumerate(words) if x in SECOND_PERSON]
-    near = int(len(at) and sum(bool(np.any(np.abs(at - k) <= NEAR)) for k in second))
+    near = 0
+    if len(at) and second:
+        next_hit = at[np.minimum(np.searchsorted(at, np.array(second) - NEAR), len(at) - 1)]
+        near = int(np.count_nonzero(np.abs(next_hit - np.array(second)) <= NEAR))
     data = text.encode("utf-8")
     size = max(1, len(text))
     capitals = sum(map(str.isupper, text)) if not text.isascii() else len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -124,7 +129,7 @@ def measure(text: str, weights: Weights) -> list[float]:
     strong = float(np.count_nonzero(w > 2.5))
     return [
         float(np.log1p(len(words))), sum(map(len, words)) / n, float(np.log1p(len(at))), len(at) / n, strong / n, float(w.sum()) / n, float(w.max()) if len(w) else 0.0, window, top,
-        len(second) / n, near / n, capitals / size, sum(map(str.isupper, raw)) / n, marks / size, text.count("!") / n, digits / size, len(OBFUSCATED.findall(text)) / n, len(ELONGATED.findall(text)) / n, len(set(words)) / n,
+        len(second) / n, near / n, capitals / size, sum(map(str.isupper, raw)) / n, marks / size, text.count("!") / n, digits / size, sum(1 for m in OBFUSCATED.finditer(text) if m.lastindex) / n, len(ELONGATED.findall(text)) / n, len(set(words)) / n,
     ]
 
 
