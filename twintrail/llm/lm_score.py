@@ -1,287 +1,206 @@
-"""Stupid-backoff scores computed relationally: n-gram counts by hash, brought back to the texts that have them, summed per document."""
+"""Stupid-backoff scores: n-gram counts by hash in partitions, joined to the n-grams of each text, summed per document.
+
+A block of texts is held once as word numbers. It tells every hash partition its n-grams as
+sorted keys with counts. A partition sums them and answers, in the same order, how often all
+other blocks have each n-gram. With the answers a block scores its texts word by word.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twintrail.llm.common import hold, whole_text
-from twintrail.llm.words import chunks, mixed, run_hashes, word_hashes
+from twintrail.llm.common import hold, release, whole_text
+from twintrail.llm.words import CHUNK_BYTES, chunks, mixed, run_hashes, word_hashes
 
 #: n-grams of up to so many words.
 WORDS = 3
-#: Texts are dealt into blocks of about so many bytes where words are counted: nearly each n-gram is a row of its own.
-WORD_BLOCK_BYTES = 8 << 20
+BACKOFF = 0.4
+#: Texts are taken together until they have so many bytes; one text is never cut.
+BLOCK_BYTES = 8 << 20
+#: N-grams (with repeats) that a hash partition is meant for.
+PARTITION_GRAMS = 1 << 22
+#: Keys have so many bits more than it takes to number all n-grams: one in 2^24 shares its key with another.
+SPARE_BITS = 24
+#: Texts are scored together until they have so many words.
+SCORE_WORDS = 1 << 16
+#: What a text takes in a block besides its bytes.
+ROW_BYTES = 16
 #: Stands for a word before the text.
 _START = mixed(np.array([1 << 50], np.uint64))
-#: n-grams of up to so many bytes; a key holds them in 40 bits and their length above.
-ORDER = 5
-BACKOFF = 0.4
-#: Texts are dealt by hash into blocks of about so many bytes. A block's n-grams are exploded once.
-BLOCK_BYTES = 24 << 20
-#: Distinct n-grams are summed up in memory until this many wait.
-MERGE_AT = 3_000_000
-_TAG = 8 * ORDER
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of each byte of a chunk and of each text's start mark.
-
-    The key holds the byte and the ORDER - 1 before it, last byte foremost, so that keys of
-    shorter n-grams are its upper parts. Bytes before the text are start marks, zero.
-    """
-    sizes = np.diff(offsets)
-    full = np.flatnonzero(sizes)
-    marked = sizes[full] + ORDER
-    out = np.zeros(int(marked.sum()), np.uint64)
-    begins = np.concatenate([[0], np.cumsum(marked)])[:-1]
-    text = np.repeat(np.arange(len(full)), sizes[full])
-    out[np.arange(len(data)) + ORDER * (text + 1)] = data
-    key = np.zeros(len(out), np.uint64)
-    for k in range(ORDER):
-        key[k:] |= out[: len(out) - k] << np.uint64(8 * (ORDER - 1 - k))
-    # From the start mark on; what lies before it would look into the text before.
-    inside = np.ones(len(out), bool)
-    for k in range(ORDER - 1):
-        inside[begins + k] = False
-    return np.repeat(full, marked)[inside], key[inside]
-
-
-def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the runs of equal values start, and how long they are."""
-    if not len(ordered):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-    return starts, np.diff(np.concatenate([starts, [len(ordered)]]))
-
-
-def tagged(key: np.ndarray, k: int) -> np.ndarray:
-    """Key of the n-gram's last ``k`` bytes, its length above them."""
-    return (key >> np.uint64(8 * (ORDER - k))) | np.uint64(k << _TAG)
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    together, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(together, kind="stable")
-    starts, _ = _runs(together[order])
-    return together[order][starts], np.add.reduceat(n[order], starts) if len(starts) else n
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, key, n): the n-grams of each length of each block, counted."""
-    waiting: dict[int, tuple[list, list]] = {}
-
-    def emit(block: int) -> pa.RecordBatch:
-        keys, n = _summed(*waiting.pop(block))
-        return pa.record_batch([pa.array(np.full(len(keys), block, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["block", "key", "n"])
-
-    for batch in batches:
-        blocks = batch["block"].to_numpy()
-        for block in np.unique(blocks).tolist():
-            own = batch["text"].filter(pa.array(blocks == block))
-            keys, counts = waiting.setdefault(block, ([], []))
-            for _, data, offsets in chunks(own):
-                ordered = np.sort(grams(data, offsets)[1])
-                for k in range(1, ORDER + 1):
-                    last = tagged(ordered, k)
-                    starts, n = _runs(last)
-                    keys.append(last[starts])
-                    counts.append(n)
-                if sum(map(len, keys)) > MERGE_AT:
-                    one = _summed(keys, counts)
-                    keys[:], counts[:] = [one[0]], [one[1]]
-    for block in list(waiting):
-        yield emit(block)
-
-
-class Table:
-    """Corpus counts of a block's n-grams, one sorted array a length."""
-
-    def __init__(self, keys: np.ndarray, totals: np.ndarray):
-        order = np.argsort(keys)
-        keys, totals = keys[order], totals[order]
-        cuts = np.searchsorted(keys, [np.uint64(k << _TAG) for k in range(ORDER + 2)])
-        self.keys = [keys[a:b] for a, b in zip(cuts, cuts[1:])]
-        self.totals = [totals[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def of(self, key: np.ndarray, k: int) -> np.ndarray:
-        """Counts of n-grams of length ``k`` that are surely there."""
-        return self.totals[k][np.searchsorted(self.keys[k], key | np.uint64(k << _TAG))]
-
-
-def score_chunk(data: np.ndarray, offsets: np.ndarray, table: Table, events: int) -> np.ndarray:
-    """Log score of each text of a chunk by the counts of all other texts."""
-    scores = np.zeros(len(offsets) - 1)
-    if not len(data):
-        return scores
-    text, key = grams(data, offsets)
-    both = np.sort((text.astype(np.uint64) << np.uint64(_TAG)) | key)
-    levels = []  # for each length: the distinct (text, n-gram) and how often
-    for k in range(ORDER + 1):
-        values = both >> np.uint64(8 * (ORDER - k))
-        starts, n = _runs(values)
-        levels.append((values[starts], n))
-    pairs, times = levels[ORDER]
-    owner = (pairs >> np.uint64(_TAG)).astype(np.int64)
-    grams5 = pairs & np.uint64((1 << _TAG) - 1)
-    real = (grams5 >> np.uint64(_TAG - 8)) > 0  # start marks are counted, not scored
-    owner, grams5, times = owner[real], grams5[real], times[real]
-    left, value = np.arange(len(grams5)), np.zeros(len(grams5))
-    for k in range(ORDER, 0, -1):
-        if not len(left):
-            break
-        who, gram = owner[left].astype(np.uint64), grams5[left]
-        last = gram >> np.uint64(8 * (ORDER - k))
-        own = levels[k][1][np.searchsorted(levels[k][0], (who << np.uint64(8 * k)) | last)]
-        others = table.of(last, k) - own
-        seen = others > 0
-        if k > 1:
-            context = (gram[seen] & np.uint64((1 << (_TAG - 8)) - 1)) >> np.uint64(8 * (ORDER - k))
-            own_context = levels[k - 1][1][np.searchsorted(levels[k - 1][0], (who[seen] << np.uint64(8 * (k - 1))) | context)]
-            below = table.of(context, k - 1) - own_context
-        else:
-            below = events - levels[0][1][np.searchsorted(levels[0][0], who[seen])]
-        value[left[seen]] += np.log(others[seen] / below)
-        value[left[~seen]] += np.log(BACKOFF)
-        left = left[~seen]
-    # A byte that no other text has: as if it had been seen once more than everything there is.
-    value[left] -= np.log(events + 1.0)
-    return np.bincount(owner, value * times, len(scores))
 
 
-def _score(events: int):
-    def run(key: tuple, texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        table = Table(counts["key"].to_numpy().view(np.uint64), counts["total"].to_numpy())
-        column = pa.array(texts["text"], pa.large_string())
-        scores = [score_chunk(data, offsets, table, events) for _, data, offsets in chunks(column)]
-        flat = np.concatenate(scores) if scores else np.zeros(0)
-        return pd.DataFrame({"doc_id": texts["doc_id"], "n_bytes": texts["n_bytes"], "log_score": flat})
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers, their first bytes together, then their second ones, and so on."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, len(planes) // width).T).view(kind).reshape(-1)
+
+
+def _blocks(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, size = TaskContext.get().partitionId(), 0, 0
+        ids: list[pa.Array] = []
+        n_bytes: list[np.ndarray] = []
+        n_words: list[np.ndarray] = []
+        found: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made, size
+            words = pa.array(np.concatenate(found).view(np.int64)).dictionary_encode()
+            counts = np.concatenate(n_words)
+            row = {
+                "block": pa.array([task << 32 | made], pa.int64()),
+                "ids": pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64())),
+                "sizes": pa.array([pack(np.concatenate(n_bytes))], pa.binary()),
+                "counts": pa.array([pack(counts)], pa.binary()),
+                "numbers": pa.array([pack(words.indices.to_numpy())], pa.binary()),
+                "words": pa.array([pack(words.dictionary.to_numpy())], pa.binary()),
+                "n_words": pa.array([int(counts.sum())], pa.int64()),
+                "n_texts": pa.array([int(np.count_nonzero(counts))], pa.int64()),
+            }
+            for part in (ids, n_bytes, n_words, found):
+                part.clear()
+            made, size = made + 1, 0
+            return pa.record_batch(list(row.values()), list(row))
+
+        for batch in batches:
+            for first, data, offsets in chunks(batch["text"], min(CHUNK_BYTES, block_bytes)):
+                hashes, firsts = word_hashes(data, offsets)
+                found.append(hashes)
+                n_words.append(np.diff(firsts).astype(np.int64))
+                n_bytes.append(np.diff(offsets))
+                ids.append(batch["doc_id"].slice(first, len(offsets) - 1))
+                size += len(data) + ROW_BYTES * (len(offsets) - 1)
+                if size >= block_bytes:
+                    yield flush()
+        if ids:
+            yield flush()
 
     return run
 
 
-def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, log_score, bits_per_byte) of every row.
-
-    Each byte is scored by how often it follows the four before it in all other texts; where
-    it never does, by 0.4 times its score after three, and so on. A text's own n-grams are
-    taken off the counts, so that a text is not its own evidence and copies are.
+def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All texts in blocks, held: ids, sizes, words of each text, the words' numbers and the hashes that they number."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    schema = "block long, ids array<long>, sizes binary, counts binary, numbers binary, words binary, n_words long, n_texts long"
+    return hold(rows.mapInArrow(_blocks(block_bytes), schema))
 
-    Texts are dealt into blocks by a hash of id and text. Each block counts its n-grams, the
-    counts meet by n-gram and are summed, and each sum goes back to the blocks that have the
-    n-gram; there texts are scored. What is shuffled is the text once, and the distinct n-grams
-    of each block twice: a frequent n-gram is one row a block, however frequent it is. The text
-    of a block is all that a task holds.
 
-    Null and empty texts have score 0 and no bits. Ids may be null. Repeated rows count and are
-    scored each. An empty table gives no row. Other columns are not read.
-    """
-    text = whole_text()
-    sizes = docs.select(F.octet_length(text).alias("n")).agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
-    n_bytes, n_texts = int(sizes[0] or 0), int(sizes[1])
-    n_blocks = max(1, -(-n_bytes // block_bytes))
-    row = docs.select(
-        "doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.pmod(F.xxhash64("doc_id", text), F.lit(n_blocks)).cast("int").alias("block")
-    ).repartition(max(2, n_blocks), "block")
-    counted = row.select("block", "text").mapInArrow(_count, "block int, key long, n long")
-    counted = hold(counted)
-    totals = counted.groupBy("key").agg(F.sum("n").alias("total"))
-    told = counted.select("block", "key").join(totals, "key").select("block", "key", "total")
-    scored = (
-        row.groupBy("block")
-        .cogroup(told.groupBy("block"))
-        .applyInPandas(_score(n_bytes + n_texts), "doc_id long, n_bytes long, log_score double")
-    )
-    bits = F.when(F.col("n_bytes") > 0, F.round(-F.col("log_score") / F.log(F.lit(2.0)) / F.col("n_bytes"), 6))
-    return scored.select("doc_id", "n_bytes", F.round("log_score", 4).alias("log_score"), bits.alias("bits_per_byte"))
+def words_of(counts: bytes, numbers: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of the first word of each text and one more at the end) of a block."""
+    firsts = np.concatenate([[0], np.cumsum(unpack(counts, np.int64))])
+    return unpack(words, np.uint64)[unpack(numbers, np.int32)], firsts
 
 
-def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(text, real, counted, hashes) of the words of a chunk, with start marks before each text that has words.
+def word_grams(found: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(text, real, hashes) of the words of some texts and of the last start mark before each text that has words.
 
-    ``hashes[k]`` holds the hash of the k words up to each place. Words are what blanks part,
-    A-Z counted as a-z. ``real`` are the words, ``counted`` these and each text's last mark.
+    ``hashes[k]`` holds the hash of the k words up to each place, start marks before a text
+    included. ``real`` are the words.
     """
-    found, firsts = word_hashes(data, offsets)
     sizes = np.diff(firsts)
     full = np.flatnonzero(sizes)
     marked = sizes[full] + WORDS
     line = np.full(int(marked.sum()), _START[0], np.uint64)
-    text = np.repeat(full, marked)
-    begins = np.concatenate([[0], np.cumsum(marked)])[:-1].astype(np.int64)
+    begins = (np.cumsum(marked) - marked).astype(np.int64)
     counted = np.ones(len(line), bool)
     for k in range(WORDS - 1):
         counted[begins + k] = False
     real = counted.copy()
     real[begins + WORDS - 1] = False
     line[real] = found
-    hashes = [np.zeros(len(line), np.uint64)]
+    hashes = [np.zeros(0, np.uint64)]
     for k in range(1, WORDS + 1):
-        own = np.zeros(len(line), np.uint64)
-        if len(line) >= k:
-            own[k - 1 :] = run_hashes(line, k)
-        hashes.append(own)
-    return text, real, counted, hashes
-
-
-def _word_counts(chunked: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of all lengths, in order, and how often each occurs."""
-    keys, counts, merged = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    for _, data, offsets in chunked:
-        _, _, counted, hashes = word_grams(data, offsets)
-        ordered = np.sort(np.concatenate([h[counted] for h in hashes[1:]]))
-        starts, n = _runs(ordered)
-        keys.append(ordered[starts])
-        counts.append(n)
-        if sum(map(len, keys)) > max(MERGE_AT, 2 * merged):
-            one = _summed(keys, counts)
-            keys, counts, merged = [one[0]], [one[1]], len(one[0])
-    return _summed(keys, counts)
-
-
-def _count_words(key: tuple, texts: pa.Table) -> pa.Table:
-    keys, n = _word_counts(_all_chunks(texts["text"]))
-    block = pa.array(np.full(len(keys), key[0].as_py(), np.int32))
-    return pa.table([block, pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["block", "key", "n"])
-
-
-def _all_chunks(texts: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The chunks of all parts of a column, with the row counted over all of them."""
-    before = 0
-    for part in texts.chunks:
-        for first, data, offsets in chunks(part):
-            yield before + first, data, offsets
-        before += len(part)
-
-
-def _own(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """For each place, how often its hash occurs in its text."""
-    order = np.lexsort((hashes, text))
-    t, h = text[order], hashes[order]
-    starts = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (h[1:] != h[:-1])) + 1])
-    n = np.diff(np.concatenate([starts, [len(order)]]))
-    out = np.zeros(len(order), np.int64)
-    out[order] = np.repeat(n, n)
-    return out
-
-
-def score_words_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, totals: np.ndarray, events: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log score, words) of each text of a chunk by the counts of all other texts."""
-    n = len(offsets) - 1
-    text, real, counted, hashes = word_grams(data, offsets)
-    if not len(text):
-        return np.zeros(n), np.zeros(n, np.int64)
-    text, real = text[counted], real[counted]
+        runs = run_hashes(line, k) if len(line) else line
+        hashes.append(runs[counted[k - 1 :]])
+    return np.repeat(full, marked)[counted], real[counted], hashes
+
+
+def sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, sum of each, and for each key given the place of its sum)."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[starts], np.add.reduceat(counts[order], starts) if len(starts) else counts[:0], place
+
+
+class Keys:
+    """How n-grams are keyed and dealt: the upper ``bits`` of their hash, in ``parts`` equal ranges."""
+
+    def __init__(self, grams: int, partition_grams: int):
+        self.bits = min(64, max(1, grams).bit_length() + SPARE_BITS)
+        self.parts = max(1, -(-grams // partition_grams))
+        self.shift = np.uint64(64 - self.bits)
+
+    def counted(self, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of n-grams of all lengths, in order, and how often each occurs."""
+        ordered = np.sort(np.concatenate(hashes[1:]) >> self.shift)
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+        return ordered[starts], np.diff(starts, append=len(ordered))
+
+    def cuts(self, keys: np.ndarray) -> np.ndarray:
+        """Where each partition begins in ordered keys."""
+        edges = np.array([(p << self.bits) // self.parts for p in range(self.parts)], np.uint64)
+        return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def _told(how: Keys):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *packed in zip(*(batch[name].to_pylist() for name in ("block", "counts", "numbers", "words"))):
+                keys, n = how.counted(word_grams(*words_of(*packed))[2])
+                cuts = how.cuts(keys)
+                parts = np.flatnonzero(np.diff(cuts))
+                spans = [slice(cuts[p], cuts[p + 1]) for p in parts]
+                prints = [pack(np.diff(keys[s], prepend=np.uint64(0))) for s in spans]
+                yield pa.record_batch(
+                    [pa.array(parts, pa.int64()), pa.array(np.full(len(parts), block), pa.int64()), pa.array(prints, pa.binary()), pa.array([pack(n[s]) for s in spans], pa.binary())],
+                    ["part", "block", "keys", "n"],
+                )
+
+    return run
+
+
+def _others(told: pa.Table) -> pa.Table:
+    """One hash partition: how often the other blocks have each n-gram of a block."""
+    keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in told["keys"].to_pylist()]
+    counts = np.concatenate([unpack(n, np.int64) for n in told["n"].to_pylist()])
+    ends = np.cumsum([len(k) for k in keys])
+    _, totals, place = sums(np.concatenate(keys), counts)
+    others = np.split(totals[place] - counts, ends[:-1])
+    return pa.table([told["block"], told["part"], pa.array([pack(n) for n in others], pa.binary())], ["block", "part", "others"])
+
+
+def _own(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each word, how often its n-gram, told by its place among the block's, occurs in its text."""
+    _, n, at = sums(text << 32 | place, np.ones(len(text), np.int64))
+    return n[at]
+
+
+def score_texts(found: np.ndarray, firsts: np.ndarray, how: Keys, keys: np.ndarray, totals: np.ndarray, events: int) -> np.ndarray:
+    """Log score of each of some texts of a block by the counts of all other texts."""
+    n = len(firsts) - 1
+    text, real, hashes = word_grams(found, firsts)
     others = [None]
     for h in hashes[1:]:
-        h = h[counted]
-        others.append(totals[np.searchsorted(keys, h)] - _own(text, h))
-    words = np.bincount(text[real], minlength=n)
+        place = np.searchsorted(keys, h >> how.shift)
+        others.append(totals[place] - _own(text, place))
+    words = np.diff(firsts)
     places = np.flatnonzero(real)
     left, value = np.arange(len(places)), np.zeros(len(places))
     for k in range(WORDS, 0, -1):
@@ -294,23 +213,32 @@ def score_words_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, t
         left = left[~seen]
     # A word that no other text has: as if it had been seen once more than everything there is.
     value[left] -= np.log(events + 1.0)
-    return np.bincount(text[places], value, n), words
-
-
-def _score_words(events: int):
-    def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-        # What no other block has, this block counts itself.
-        keys, totals = _word_counts(_all_chunks(texts["text"]))
-        if told.num_rows:
-            totals[np.searchsorted(keys, told["key"].to_numpy().view(np.uint64))] = told["total"].to_numpy()
-        parts = [score_words_chunk(data, offsets, keys, totals, events) for _, data, offsets in _all_chunks(texts["text"])]
-        scores, words = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (0, 1))
-        return pa.table([texts["doc_id"], texts["n_bytes"], pa.array(scores, pa.float64()), pa.array(words.astype(np.int64))], ["doc_id", "n_bytes", "log_score", "n_words"])
+    return np.bincount(text[places], value, n).astype(np.float64)
+
+
+def _score(how: Keys, events: int):
+    def run(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        block = blocks.to_pylist()[0]
+        found, firsts = words_of(block["counts"], block["numbers"], block["words"])
+        keys, totals = how.counted(word_grams(found, firsts)[2])
+        cuts = how.cuts(keys)
+        for part, others in zip(answers["part"].to_pylist(), answers["others"].to_pylist()):
+            totals[cuts[part] : cuts[part + 1]] += unpack(others, np.int64)
+        scores, first = [], 0
+        while first < len(firsts) - 1:
+            last = max(first + 1, int(np.searchsorted(firsts, firsts[first] + SCORE_WORDS, "right")) - 1)
+            some = firsts[first : last + 1]
+            scores.append(score_texts(found[some[0] : some[-1]], some - some[0], how, keys, totals, events))
+            first = last
+        return pa.table(
+            [pa.array(block["ids"], pa.int64()), pa.array(unpack(block["sizes"], np.int64)), pa.array(np.concatenate(scores)), pa.array(np.diff(firsts))],
+            ["doc_id", "n_bytes", "log_score", "n_words"],
+        )
 
     return run
 
 
-def score_by_words(docs: DataFrame, block_bytes: int = WORD_BLOCK_BYTES) -> DataFrame:
+def score_by_words(docs: DataFrame, block_bytes: int = BLOCK_BYTES, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
     """(doc_id, n_bytes, log_score, bits_per_byte) of every row.
 
     Each word is scored by how often it follows the two before it in all other texts; where it
@@ -318,31 +246,27 @@ def score_by_words(docs: DataFrame, block_bytes: int = WORD_BLOCK_BYTES) -> Data
     counted as a-z. A text's own n-grams are taken off the counts, so that a text is not its
     own evidence and copies are.
 
-    Texts are dealt into blocks. Each block counts its n-grams by 64-bit hash; the rows
-    (block, n-gram, n) are dealt by n-gram and summed, and the sums of n-grams that more than
-    one block has go back to the blocks that have them. A frequent
-    n-gram is one row a block. n-grams of one block only are counted there, with the same sum.
+    Texts are taken together in blocks of the partitions they are read in. Each distinct n-gram
+    of a block goes to its hash partition once, as a few bytes of a sorted string of keys, and
+    its sum over the other blocks comes back the same way. A frequent n-gram is one key a block,
+    and no n-gram is left out. Keys are hashes whose length follows from the number of n-grams.
+    A partition holds some four million keys, a block its n-grams; both are let go once the
+    table made from them is held.
 
     Texts without words have score 0 and no bits. Ids may be null. Repeated rows count and are
     scored each. An empty table gives no row. Other columns are not read.
     """
-    text = whole_text()
-    n_words = F.regexp_count(text, F.lit(r"[^ \t-\r]+"))
-    sizes = docs.select(F.octet_length(text).alias("n"), n_words.cast("long").alias("words")).agg(F.sum("n"), F.sum("words"), F.count_if(F.col("words") > 0)).first()
-    n_bytes, events = int(sizes[0] or 0), int(sizes[1] or 0) + int(sizes[2])
-    n_blocks = max(1, -(-n_bytes // block_bytes))
-    row = docs.select(
-        "doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.pmod(F.xxhash64("doc_id", text), F.lit(n_blocks)).cast("int").alias("block")
-    ).repartition(max(2, n_blocks), "block")
-    counted = row.groupBy("block").applyInArrow(_count_words, "block int, key long, n long")
-    # Dealt once by n-gram: a group has one row a block.
-    same = Window.partitionBy("key")
-    summed = counted.repartition(max(2, n_blocks), "key").select("block", "key", F.sum("n").over(same).alias("total"), F.count(F.lit(1)).over(same).alias("blocks"))
-    told = summed.where("blocks > 1").select("block", "key", "total")
+    blocks = blocks_of(docs, block_bytes)
+    sizes = blocks.agg(F.sum("n_words"), F.sum("n_texts")).first()
+    events = int(sizes[0] or 0) + int(sizes[1] or 0)
+    how = Keys(WORDS * events, partition_grams)
+    told = blocks.select("block", "counts", "numbers", "words").mapInArrow(_told(how), "part long, block long, keys binary, n binary")
+    answers = hold(told.groupBy("part").applyInArrow(_others, "block long, part long, others binary"))
+    release()
     scored = (
-        row.groupBy("block")
-        .cogroup(told.groupBy("block"))
-        .applyInArrow(_score_words(events), "doc_id long, n_bytes long, log_score double, n_words long")
+        blocks.groupBy("block")
+        .cogroup(answers.groupBy("block"))
+        .applyInArrow(_score(how, events), "doc_id long, n_bytes long, log_score double, n_words long")
     )
     bits = F.when(F.col("n_words") > 0, F.round(-F.col("log_score") / F.log(F.lit(2.0)) / F.col("n_bytes"), 6))
     return scored.select("doc_id", "n_bytes", F.round("log_score", 4).alias("log_score"), bits.alias("bits_per_byte"))
