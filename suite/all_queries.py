@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from suite import core, history_queries, main_path_queries, pair_queries, report_queries, service_queries  # noqa: F401
+from suite import core, exchange_queries, history_queries, main_path_queries, pair_queries, report_queries, service_queries  # noqa: F401

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from twintrail.sources import readers, sinks
+from twintrail.sources import readers, sinks, text_rows
 from twintrail.streaming.incremental import ingest_snapshots, missing_work
 
 KEYS = "project string, language string, clone_id string, fragment_index int, "
@@ -124,3 +124,50 @@ def test_hunk_files_and_gold(spark, tmp_path):
     assert readers.gold_samples(spark, gold).count() == 2
     with pytest.raises(ValueError):
         readers.gold_samples(spark, write(tmp_path / "empty.jsonl", "\n"))
+
+
+RAW = "clone_id,index,file_path,start_line,end_line,start_column,end_column,modification"
+
+
+def raw_lines(spark, files):
+    rows = [(name, i, line) for name, lines in files.items() for i, line in enumerate(lines)]
+    return spark.createDataFrame(rows, "name string, line_no int, line string")
+
+
+def test_separator_of_many_files(spark):
+    semi = RAW.replace(",", ";")
+    history = '[{"type":"modified","commit":"c"}]'
+    files = {
+        "commas": [RAW, "1;2;3"],
+        "semicolons": [semi, "1,2,3"],
+        "lines tell": [semi + ",x,y,z,u,v,w,q,r", "1;0;a;1;2;1;2;[]", f"2;0;a;1;2;1;2;{history}"],
+        "quotes hide": ["a,b,c;d", '1,"x;y;z",2', '1,"x",2'],
+        "more in the header": ["a;b;c,d", "1", "2;2;2,2"],
+        "tie": ["a;b,c", "1", "2"],
+        "no mark": ["a"],
+        "empty line": [""],
+    }
+    got = {r.name: r.sep for r in text_rows.separators(raw_lines(spark, files), ["name"]).collect()}
+    assert got == {"commas": ",", "semicolons": ";", "lines tell": ";", "quotes hide": ",", "more in the header": ";", "tie": ",", "no mark": ",", "empty line": ","}
+    assert text_rows.separators(raw_lines(spark, {"none": []}), ["name"]).count() == 0
+
+
+def test_raw_rows_of_many_files(spark):
+    quoted = '"[{""type"":""modified"",""commit"":""c""}]"'
+    files = {
+        "a": [RAW, f"1,0,x.py,1,5,1,2,{quoted}", " ,x,y.py,no,5,1,2,[]", '"",x,y.py,no,5,1,2,[]', "", "2,1,x.py, 3 ,5,1,2,bad"],
+        "b": [RAW.replace(",", ";"), '1;0;"x.py;1;5;1;2;[{"type":"added","commit":"d"}]', ";x;y.py;no;5;1;2;[]"],
+        "head only": [RAW],
+    }
+    got = sorted((r.name, r.clone_id, r.file_path, r.start_line, [tuple(m) for m in r.modification]) for r in text_rows.raw_fragment_rows(raw_lines(spark, files), ["name"]).collect())
+    assert got == [("a", "1", "x.py", 1, [("modified", "c")]), ("a", "2", "x.py", 3, []), ("b", "1", '"x.py', 1, [("added", "d")])]
+    with pytest.raises(Exception):
+        text_rows.raw_fragment_rows(raw_lines(spark, {"a": [RAW, "1,x,y.py,1,5,1,2,[]"]}), ["name"]).collect()
+
+
+def test_snapshot_text(spark):
+    rows = lambda *texts: spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "sha string, document string")
+    assert len(text_rows.snapshot_rows(rows(json.dumps(SNAPSHOT)), ["sha"]).first().file_data) == 2
+    for bad in ('{"clone_sets": []}', "{"):
+        with pytest.raises(Exception):
+            text_rows.snapshot_rows(rows(bad), ["sha"]).collect()

@@ -13,13 +13,14 @@ from twintrail.functions import commits, labels, paths
 from twintrail.functions.numbers import truthy_count
 from twintrail.operators import ranks
 from twintrail.operators.pairs import clone_pairs
+from twintrail.sources.text_rows import SAMPLE_LINES, separators
 
 
 def detect_separator(spark: SparkSession, path: str) -> str:
-    """';' or ',' by what the header line holds more of."""
-    header = spark.read.text(path).first()
-    line = header[0] if header else ""
-    return ";" if line.count(";") > line.count(",") else ","
+    """';' or ',': by the header, else by the first lines; see text_rows.separators."""
+    first = [(i, r[0]) for i, r in enumerate(spark.read.text(path).take(SAMPLE_LINES))]
+    told = separators(spark.createDataFrame(first, "line_no int, line string"), []).first() if first else None
+    return told.sep if told else ","
 
 
 def raw_fragments(spark: SparkSession, path: str, project: str, language: str, sep: str | None = None) -> DataFrame:
@@ -87,12 +88,14 @@ def clone_pair_files(spark: SparkSession, sources: list[tuple[str, str]], projec
 
     Columns are matched by header name, so older layouts line up with newer ones.
     """
-    frames = [
-        spark.read.option("header", True).option("escape", '"').csv(path).withColumn("detection_method", F.lit(method))
-        for path, method in sources
-    ]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return tidy_pairs(union).withColumn("project", F.lit(project)).withColumn("language", F.lit(language))
+    frames = [(spark.read.option("header", True).option("escape", '"').csv(path), method) for path, method in sources]
+    return tagged_pairs(frames).withColumn("project", F.lit(project)).withColumn("language", F.lit(language))
+
+
+def tagged_pairs(frames: list[tuple[DataFrame, str]]) -> DataFrame:
+    """Pair rows of text columns, each frame tagged with its method, under one schema."""
+    tagged = [rows.withColumn("detection_method", F.lit(method)) for rows, method in frames]
+    return tidy_pairs(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged))
 
 
 def snapshot(spark: SparkSession, path: str, project: str, sha: str, language: str) -> DataFrame:
