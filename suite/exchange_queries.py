@@ -127,3 +127,81 @@ def s7_snapshot_pairs(spark, d):
     services = T.order_fragments(spark, d).select("project", "file_path").distinct().withColumn("service", F.substring_index("file_path", "/", 1))
     sides = [f"{c}_{s}" for c in ("fragment_index", "file_path", "file_id", "service", "file_type", "start_line", "end_line") for s in "xy"]
     return readers.snapshot_pairs(_snapshots(spark, d), services).select("project", "language", "clone_id", *sides, "relation", "token_count")
+
+
+def _map(rows, keys, key, value):
+    """Rows folded to a map from ``key`` to ``value`` under the name ``entries``; services of a project are few."""
+    return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), value.alias("value")))).alias("entries"))
+
+
+def _url():
+    """One project's address ends in a slash."""
+    return F.concat(F.lit("https://host.example/"), F.col("project"), F.when(F.col("project") == "shop2", "/main/").otherwise("/main")).alias("URL")
+
+
+_URL_SQL = "concat('https://host.example/', project, CASE WHEN project = 'shop2' THEN '/main/' ELSE '/main' END)"
+
+
+def _service_documents(spark, d):
+    """One document a project: files and lines of its services, and the ids their files span."""
+    totals = _map(T.order_service_loc(spark, d), _FILE, "service", F.struct(F.col("file_count").cast("int").alias("file_count"), F.col("total_loc").cast("int").alias("total_loc")))
+    spans = T.order_fragments(spark, d).filter("service <> ''").groupBy(*_FILE, "service").agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"))
+    ranges = _map(spans, _FILE, "service", F.array(F.array("low", "high"))).withColumnRenamed("entries", "file_ranges")
+    stats = totals.withColumnRenamed("entries", "services").join(ranges, _FILE)
+    whole = _map(stats, ["project"], "language", F.struct("services", "file_ranges"))
+    return text_rows.service_documents(whole.select(F.to_json(F.struct(_url(), F.col("entries").alias("language_stats"))).alias("document")))
+
+
+def _selection(spark, d):
+    """One entry a project: languages, contexts and their services."""
+    context = F.concat(F.lit("apps/"), F.substring("service", 4, 9).cast("int") % 3)
+    named = T.order_service_loc(spark, d).withColumn("context", context).groupBy(*_FILE, "context").agg(F.sort_array(F.collect_list("service")).alias("names"))
+    contexts = _map(named, _FILE, "context", F.col("names")).withColumnRenamed("entries", "contexts")
+    whole = _map(contexts, ["project"], "language", F.col("contexts"))
+    return text_rows.selection_documents(whole.select(F.to_json(F.struct(_url(), F.col("entries").alias("languages"))).alias("document")))
+
+
+@query("s10_service_totals", "SELECT concat(project, '.main') AS project, language, service, CAST(file_count AS INT) AS file_count, CAST(total_loc AS INT) AS total_loc FROM order_loc")
+def s10_service_totals(spark, d):
+    return readers.service_totals(readers.language_stats(_service_documents(spark, d)))
+
+
+@query("s10_one_language", "SELECT concat(project, '.main') AS project, language, service, CAST(file_count AS INT) AS file_count, CAST(total_loc AS INT) AS total_loc FROM order_loc WHERE language = 'JavaScript'")
+def s10_one_language(spark, d):
+    return readers.service_totals(readers.language_stats(_service_documents(spark, d), "jaVAscript"))
+
+
+@query("s10_service_ranges", """SELECT concat(project, '.main') AS project, language, service, 0 AS place, CAST(min(file_id) AS INT) AS range_start, CAST(max(file_id) AS INT) AS range_end
+  FROM order_fragments WHERE service <> '' GROUP BY ALL""")
+def s10_service_ranges(spark, d):
+    rows = readers.service_ranges(readers.language_stats(_service_documents(spark, d)))
+    return rows.withColumn("place", F.col("ordinal.i")).drop("ordinal")
+
+
+@query("s12_selected_contexts", f"SELECT concat(project, '.main') AS project, {_URL_SQL} AS \"URL\", language, concat('apps/', CAST(substr(service, 4) AS INT) % 3) AS context, service FROM order_loc")
+def s12_selected_contexts(spark, d):
+    return readers.selected(_selection(spark, d))
+
+
+@query("s15_project_urls", f"SELECT concat(project, '.main') AS project, {_URL_SQL} AS \"URL\", string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM order_loc GROUP BY ALL")
+def s15_project_urls(spark, d):
+    return readers.named_urls(_selection(spark, d)).withColumn("languages", F.array_join(F.sort_array("languages"), ","))
+
+
+_LINES_SQL = ", ".join(f"array_to_string(list_transform(list_sort({c}), lambda v: CAST(v AS VARCHAR)), ',') AS {c}_lines" for c in ("inserted", "deleted", "modified"))
+
+
+@query("s13_hunk_rows", f"SELECT project, child_sha, parent_sha, path AS child_path, path AS parent_path, {_LINES_SQL} FROM hunk_table")
+def s13_hunk_rows(spark, d):
+    parts = ["child_path", "parent_path", "inserted_lines", "deleted_lines", "modified_lines"]
+    files = T.hunk_table(spark, d).select("project", F.concat("child_sha", F.lit("-"), "parent_sha", F.lit(".json")).alias("name"), F.to_json(F.array(F.struct(*parts))).alias("document"))
+    return text_rows.hunk_rows(files).withColumns({c: F.array_join(c, ",") for c in parts[2:]})
+
+
+@query("s16_gold_rows", "SELECT CAST(file_id AS VARCHAR) AS id, file_path, language, md5(text) AS text_md5, service AS label, CASE WHEN loc > 3 THEN concat(loc, ' lines') END AS rationale FROM text_files")
+def s16_gold_rows(spark, d):
+    """Each sample has a blank line behind it."""
+    rationale = F.when(F.col("loc") > 3, F.concat(F.col("loc").cast("string"), F.lit(" lines")))
+    sample = F.struct(F.col("file_id").cast("string").alias("id"), "file_path", "language", F.col("text").alias("file_text"), F.col("service").alias("label"), rationale.alias("rationale"))
+    lines = T.text_files(spark, d).select(F.explode(F.array(F.to_json(sample), F.lit(" \r"))).alias("line"))
+    return text_rows.gold_rows(lines).withColumn("text_md5", F.md5("file_text")).drop("file_text")

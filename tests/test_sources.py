@@ -171,3 +171,14 @@ def test_snapshot_text(spark):
     for bad in ('{"clone_sets": []}', "{"):
         with pytest.raises(Exception):
             text_rows.snapshot_rows(rows(bad), ["sha"]).collect()
+
+
+def test_json_text_rows(spark):
+    lines = spark.createDataFrame([('{"id": "1", "file_path": "a.py", "label": "logic"}',), ("",), (" \t\r",), ('{"id": "2"}',)], "line string")
+    assert [(r.id, r.label, r.file_text) for r in text_rows.gold_rows(lines).collect()] == [("1", "logic", None)]
+    with pytest.raises(Exception):
+        text_rows.gold_rows(spark.createDataFrame([("{",)], "line string")).collect()
+    hunk = '[{"child_path": "a", "parent_path": null, "inserted_lines": [1, 2], "deleted_lines": []}, {"child_path": "b"}]'
+    files = spark.createDataFrame([("o.r", "c1-p1.json", hunk), ("o.r", "c2-p2.json", "[]")], "project string, name string, document string")
+    got = text_rows.hunk_rows(files).collect()
+    assert sorted((r.child_sha, r.parent_sha, r.child_path, r.inserted_lines) for r in got) == [("c1", "p1", "a", [1, 2]), ("c1", "p1", "b", None)]

@@ -196,7 +196,10 @@ def detected_contexts(detections: DataFrame, which: str = "latest") -> DataFrame
 
 def selection(spark: SparkSession, path: str) -> DataFrame:
     """Selected projects: one row per project, language, context and service."""
-    rows = spark.read.schema(S.DATASET).option("multiLine", True).json(path)
+    return selected(spark.read.schema(S.DATASET).option("multiLine", True).json(path))
+
+
+def selected(rows: DataFrame) -> DataFrame:
     return (
         rows.select(paths.project_from_url("URL").alias("project"), "URL", F.explode("languages").alias("language", "c"))
         .select("project", "URL", "language", F.explode("c").alias("context", "names"))
@@ -292,9 +295,11 @@ def project_names(*sources: DataFrame) -> DataFrame:
 
 
 def project_urls(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.DATASET).option("multiLine", True).json(path).select(
-        paths.project_from_url("URL").alias("project"), "URL", F.map_keys("languages").alias("languages")
-    )
+    return named_urls(spark.read.schema(S.DATASET).option("multiLine", True).json(path))
+
+
+def named_urls(rows: DataFrame) -> DataFrame:
+    return rows.select(paths.project_from_url("URL").alias("project"), "URL", F.map_keys("languages").alias("languages"))
 
 
 def gold_samples(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twintrail import schemas as S
-from twintrail.functions import commits
+from twintrail.functions import commits, paths
 
 #: Lines of a file that its separator is judged by where the header doesn't tell.
 SAMPLE_LINES = 20
@@ -80,3 +80,32 @@ def snapshot_rows(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
     parsed = documents.select(*keys, F.from_json("document", S.SNAPSHOT, {"mode": "FAILFAST"}).alias("s"))
     files = F.when(F.col("s.file_data").isNull(), F.raise_error(F.lit("file_data is not a list"))).otherwise(F.col("s.file_data"))
     return parsed.select(*keys, files.alias("file_data"), "s.clone_sets")
+
+
+def _json(text: Column, schema: str) -> Column:
+    return F.from_json(text, schema, {"mode": "FAILFAST"})
+
+
+def service_documents(documents: DataFrame) -> DataFrame:
+    """Service documents out of a JSON text column ``document``, each named by its URL; unreadable text stops the job."""
+    return documents.select(_json(F.col("document"), S.SERVICES).alias("s")).select("s.*").withColumn("project", paths.project_from_url("URL"))
+
+
+def selection_documents(documents: DataFrame) -> DataFrame:
+    """Entries of the project selection out of a JSON text column ``document``; unreadable text stops the job."""
+    return documents.select(_json(F.col("document"), S.DATASET).alias("s")).select("s.*")
+
+
+def hunk_rows(files: DataFrame) -> DataFrame:
+    """Hunks out of (project, name, document): a JSON list per file, whose name holds both commits."""
+    name = r"^([^-]+)-([^.]+)\.json$"
+    return files.select(
+        "project", F.regexp_extract("name", name, 1).alias("child_sha"), F.regexp_extract("name", name, 2).alias("parent_sha"),
+        F.inline(_json(F.col("document"), f"array<struct<{S.HUNK}>>")),
+    )
+
+
+def gold_rows(lines: DataFrame) -> DataFrame:
+    """Labelled samples, a JSON object a line; blank lines are skipped, unreadable ones stop the job."""
+    full = lines.filter(F.trim(F.translate("line", "\t\r\n", "")) != "")
+    return full.select(_json(F.col("line"), S.GOLD).alias("s")).select("s.*").filter(F.col("file_path").isNotNull())
