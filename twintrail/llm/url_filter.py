@@ -11,7 +11,7 @@ from twintrail.llm.common import ascii_lower, hold
 RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
-    ("example.org", "/en/1", "allow"),
+    ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
