@@ -131,3 +131,21 @@ def test_overlap_of_a_coordinate(both):
     rows = both[1].select("project", "file_id_x", "file_id_y").collect()
     for r in pairs.with_overlap(both[1]).collect():
         assert r.overlap == rows.count((r.project, r.file_id_x, r.file_id_y))
+
+
+def test_carried_columns_replace_a_look_up(both):
+    told = pairs.clone_pairs(both[0].withColumn("commits", F.col("modified_commits")), block=4, carry=("commits",))
+    assert "commits_x" not in both[1].columns and plain(told.select(*both[1].drop("detection_method").columns)) == plain(both[1].drop("detection_method"))
+    # Every other stored list is dropped, so that the sides' commits are needed.
+    half = [t.withColumn("comodified_commits", F.when(F.col("fragment_index_x") % 2 == 0, F.col("comodified_commits"))) for t in (told, both[1])]
+    found = fragments.pair_history(half[0])
+    assert plain(found) == plain(fragments.pair_history(half[1], both[0])) and found.count() > 50
+
+
+def test_display_ids_before_pairs(both):
+    # File 3 has no id.
+    ids = both[0].select("project", "language", "file_id").distinct().filter("file_id <> 3").withColumn("display_id", F.col("file_id") + 100)
+    before = pairs.clone_pairs(pairs.with_display_coordinates(both[0], ids), block=4, carry=("display_id",))
+    keys = ["project", "language", "clone_id", "fragment_index_x", "fragment_index_y", "display_id_x", "display_id_y"]
+    assert plain(before.select(*keys)) == plain(pairs.with_display_coordinates(both[1], ids).select(*keys))
+    assert 0 < before.count() < both[1].count()
