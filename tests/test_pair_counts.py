@@ -149,3 +149,20 @@ def test_display_ids_before_pairs(both):
     keys = ["project", "language", "clone_id", "fragment_index_x", "fragment_index_y", "display_id_x", "display_id_y"]
     assert plain(before.select(*keys)) == plain(pairs.with_display_coordinates(both[1], ids).select(*keys))
     assert 0 < before.count() < both[1].count()
+
+
+def test_comodified_pairs_of_sets_of_many_histories(spark):
+    dice = random.Random(5)
+    rows = []
+    for s, size in (("few", 6), ("some", 90), ("many", 400)):
+        for i in range(size):
+            commits = dice.sample([f"h{k}" for k in range(60)], dice.choice([0, 1, 2, 4])) + ([None] if i % 9 == 0 else [])
+            rows.append(("p", "J", s, i, commits if i % 7 else ["h1", "h2"]))
+    frags = spark.createDataFrame(rows, "project string, language string, clone_id string, fragment_index int, modified_commits array<string>")
+    want = {}
+    for _, _, s, i, a in rows:
+        for _, _, t, j, b in rows:
+            want[s] = want.get(s, 0) + (s == t and i < j and bool(set(a) & set(b)))
+    for few, block in ((32, 4096), (2, 50), (1000, 4096), (32, 64)):
+        got = {r.clone_id: r.pairs for r in pairs.comodified_pairs(frags, few, block).collect()}
+        assert got == {s: n for s, n in want.items() if n}, (few, block)
