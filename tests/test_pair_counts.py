@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from twintrail.operators import filters, fragments, pair_counts, pairs
+from twintrail.operators import coordinates, filters, fragments, pair_counts, pairs
 from twintrail.operators.pair_view import PairView
 
 SCHEMA = (
@@ -166,3 +166,49 @@ def test_comodified_pairs_of_sets_of_many_histories(spark):
     for few, block in ((32, 4096), (2, 50), (1000, 4096), (32, 64)):
         got = {r.clone_id: r.pairs for r in pairs.comodified_pairs(frags, few, block).collect()}
         assert got == {s: n for s, n in want.items() if n}, (few, block)
+
+
+COORDINATES = {
+    "overlap": (coordinates.coordinate_overlap, pairs.coordinate_overlap),
+    "pairs": (coordinates.pairs_with_overlap, lambda p: pairs.with_overlap(p).select("project", "language", "clone_id", "fragment_index_x", "fragment_index_y", "overlap")),
+    "heat": (coordinates.heat_map, pairs.heat_map),
+}
+
+
+@pytest.mark.parametrize("case", COORDINATES)
+def test_cells_of_files_count_like_pairs(both, case, files=3):
+    frags, table = both
+    odd = F.expr("CASE WHEN file_id = 7 THEN NULL ELSE file_id END").alias("file_id")
+    line = F.expr("CASE WHEN fragment_index % 3 = 0 THEN NULL ELSE start_line END").alias("start_line")
+    from_cells, from_pairs = COORDINATES[case]
+    assert plain(from_cells(frags, files=files)) == plain(from_pairs(table)) != []
+    holes = frags.select(*[odd if c == "file_id" else line if c == "start_line" else c for c in frags.columns])
+    if case == "pairs":
+        # A join finds no pairs for a coordinate without a file, a window does.
+        assert from_cells(holes, files=files).count() == table.count()
+    else:
+        assert plain(from_cells(holes, files=files)) == plain(from_pairs(pairs.clone_pairs(holes)))
+
+
+def test_a_cell_looks_at_some_files_and_pairs_at_a_time(both, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(coordinates, "FILES_PER_STRIP", 2)
+    monkeypatch.setattr(coordinates, "PAIRS_AT_ONCE", 7)
+    rows = [r.asDict() for r in both[0].filter("project = 'p' AND clone_id = 'c0' OR project = 'p' AND clone_id = 'c2'").collect()]
+    places = [{"clone_id": r["clone_id"], "file_id": r["file_id"], "first": r["fragment_index"], "last": r["fragment_index"], "lines": 2, "_block": r["file_id"] % 2} for r in rows]
+    key = [pa.scalar("p"), pa.scalar("J")]
+    got = {}
+    for low, high in [(0, 0), (0, 1), (1, 1)]:
+        batch = pa.RecordBatch.from_pylist([p for p in places if p["_block"] in (low, high)])
+        for out in coordinates._overlaps((*key, pa.scalar(low), pa.scalar(high)), iter([batch])):
+            for r in out.to_pylist():
+                assert (r["file_id_y"], r["file_id_x"]) not in got and r["coord_total_lines"] == 4 * r["overlap_count"]
+                got[r["file_id_y"], r["file_id_x"]] = r["overlap_count"]
+    want = {}
+    for x in places:
+        for y in places:
+            if x["clone_id"] == y["clone_id"] and x["first"] < y["first"]:
+                at = y["file_id"], x["file_id"]
+                want[at] = want.get(at, 0) + 1
+    assert got == want != {}
