@@ -212,3 +212,11 @@ def test_a_cell_looks_at_some_files_and_pairs_at_a_time(both, monkeypatch):
                 at = y["file_id"], x["file_id"]
                 want[at] = want.get(at, 0) + 1
     assert got == want != {}
+
+
+@pytest.mark.parametrize("more", [{"spread": 2, "code_type": "mixed"}, {"spread": "custom", "spread_min": 3, "clone_id": "c7"}, {"comodified": "any", "code_type": "logic"}])
+def test_composed_filter_over_fragments_keeps_the_same_pairs(both, more):
+    frags, table = both
+    wanted = {"scope": "cross"} | more
+    want = filters.filter_pairs(table, **wanted).drop("detection_method")
+    assert plain(filters.filter_pairs(PairView(frags), **wanted)) == plain(want)
