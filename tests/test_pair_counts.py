@@ -220,3 +220,15 @@ def test_composed_filter_over_fragments_keeps_the_same_pairs(both, more):
     wanted = {"scope": "cross"} | more
     want = filters.filter_pairs(table, **wanted).drop("detection_method")
     assert plain(filters.filter_pairs(PairView(frags), **wanted)) == plain(want)
+
+
+def test_pairs_of_a_large_set(both, spark):
+    """Each two fragments meet once, in a set whose order has gaps too, and their keys are not put together into a few tasks."""
+    some = both[0].filter("project = 'p'").limit(1).select(*[c for c in both[0].columns if c != "fragment_index"])
+    index = [3 * i + i % 2 for i in range(90)] + [10_000_000]
+    hot = some.crossJoin(spark.createDataFrame([(i,) for i in index], "fragment_index int"))
+    table = pairs.clone_pairs(hot, block=8)
+    got = [(r.fragment_index_x, r.fragment_index_y) for r in table.select("fragment_index_x", "fragment_index_y").collect()]
+    order = sorted(index)
+    assert sorted(got) == [(x, y) for k, x in enumerate(order) for y in order[k + 1 :] if x < y]
+    assert table.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
