@@ -60,6 +60,10 @@ def test_snapshot_to_pairs(spark, tmp_path):
     services = spark.createDataFrame([("o.r", "a/x.py", "a")], "project string, file_path string, service string")
     row = readers.snapshot_pairs(shots, services).first()
     assert (row.file_path_x, row.file_path_y, row.token_count, row.relation) == ("a/x.py", "b/y.py", 60, "")
+    # Documents are parsed once, and token counts come with the fragments: no join takes pairs.
+    plan = str(readers.snapshot_pairs(shots, services)._jdf.queryExecution().optimizedPlan())
+    assert "json" not in plan.lower()
+    assert [line for line in plan.split("\n") if "Join" in line][0].split("Join ")[1].startswith("Inner")
     broken = write(tmp_path / "x.json", '{"clone_sets": []}')
     with pytest.raises(Exception):
         readers.snapshot(spark, broken, "o.r", "abc", "Python").collect()

@@ -12,7 +12,8 @@ from twintrail import schemas as S
 from twintrail.functions import commits, labels, paths
 from twintrail.functions.numbers import truthy_count
 from twintrail.operators import ranks
-from twintrail.operators.pairs import clone_pairs
+from twintrail.operators.pairs import PAIR_SIDES, clone_pairs
+from twintrail.session import staged
 from twintrail.sources.text_rows import SAMPLE_LINES, separators
 
 
@@ -125,12 +126,16 @@ def snapshot_fragments(snapshots: DataFrame) -> DataFrame:
 
 
 def snapshot_pairs(snapshots: DataFrame, services: DataFrame) -> DataFrame:
-    """Pair rows straight from a snapshot; ``services``: project, file_path, service."""
-    rows = (
-        snapshot_fragments(snapshots).join(services, ["project", "file_path"], "left")
+    """Pair rows straight from a snapshot; ``services``: project, file_path, service.
+
+    Documents are parsed once and the fragments looked up once, for they are read by both sides of the pairs.
+    """
+    rows = staged(
+        snapshot_fragments(staged(snapshots)).join(services, ["project", "file_path"], "left")
         .withColumn("service", F.coalesce("service", F.lit("")))
         .withColumn("file_type", paths.file_type("file_path"))
         .withColumn("modified_commits", F.array().cast("array<string>"))
+        .select(*C.FRAGMENT_KEYS, *PAIR_SIDES, "modified_commits", "token_count")
     )
     tokens = rows.select("project", "language", "clone_id", "token_count").distinct()
     return clone_pairs(rows, tokens)
