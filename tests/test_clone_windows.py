@@ -62,3 +62,19 @@ def test_every_copied_window_is_found(spark, size):
         named[r.language, r.clone_id].add(first[r.language, r.file_id, r.start_token])
     assert all(len(texts) == 1 for texts in named.values())
     assert len(named) == len({(w[0], w[6]) for w in want})
+
+
+def test_texts_are_tokenised_once(spark, monkeypatch):
+    """A filter on tokens is met below a shuffle too, and whoever reads the sets twice finds them twice, unless they are held."""
+    plans = []
+
+    def held(df, keep=clones.staged):
+        plans.append(str(df._jdf.queryExecution().optimizedPlan()))
+        return keep(df)
+
+    monkeypatch.setattr(clones, "staged", held)
+    df = spark.createDataFrame([("p", "J", i, "a b c d e f\ng h i j") for i in range(3)], "project string, language string, file_id long, text string")
+    found = clones.index_fragments(clones.clone_fragments(df, 5, mask=False))
+    assert plans[0].count("regexp_extract_all") == 1
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("min_by") == 0
+    assert found.count() == 3

@@ -212,3 +212,10 @@ def test_display_ids_close_gaps(spark):
     )
     ids = {r.file_id: r.display_id for r in pairs.display_ids(ranges).collect()}
     assert ids == {1: 1, 2: 2, 10: 3, 11: 4}
+
+
+def test_language_figures_read_held_fragments(spark, tiny):
+    """Every figure reads the staged fragments: no text is split into lines again for it."""
+    from suite.report_queries import a13_language_stats
+
+    assert "posexplode" not in str(a13_language_stats(spark, tiny)._jdf.queryExecution().optimizedPlan())
