@@ -8,7 +8,7 @@ from suite import core
 from suite.registry import query
 from suite.views import file_type_sql
 from twintrail.functions.paths import file_type
-from twintrail.operators import clones, pairs, services
+from twintrail.operators import clones, metrics, pairs, services
 from twintrail.plans import reports, stats
 from twintrail.sources import star_tables as T
 
@@ -31,9 +31,7 @@ def _service_parts(spark, d):
 
 
 def _languages(spark, d):
-    rows, files = T.text_fragments(spark, d), T.text_files(spark, d)
-    from twintrail.operators import metrics
-
+    files, rows = T.text_files(spark, d), metrics.metric_base(T.text_fragments(spark, d))
     service = metrics.service_metrics(rows, services.service_loc(files))
     return stats.language_stats(files, service, metrics.clone_set_metrics(rows), pairs.pair_summary(rows))
 
