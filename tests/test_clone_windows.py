@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 
 from twintrail.operators import clones
@@ -78,3 +79,11 @@ def test_texts_are_tokenised_once(spark, monkeypatch):
     assert plans[0].count("regexp_extract_all") == 1
     assert str(found._jdf.queryExecution().optimizedPlan()).count("min_by") == 0
     assert found.count() == 3
+
+
+def test_hash_of_two_numbers(spark):
+    dice = random.Random(5)
+    numbers = [(0, 0), (-1, 1)] + [(dice.randrange(-(1 << 63), 1 << 63), dice.randrange(-(1 << 63), 1 << 63)) for _ in range(50)]
+    want = [r[0] for r in spark.createDataFrame(numbers, "a long, b long").coalesce(1).selectExpr("xxhash64(a, b)").collect()]
+    a, b = (np.array(part, np.int64).view(np.uint64) for part in zip(*numbers))
+    assert sorted(clones._xxhash64(a, b).view(np.int64).tolist()) == sorted(want)
