@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,50 @@ def test_pairs_of_a_large_set(both, spark):
     order = sorted(index)
     assert sorted(got) == [(x, y) for k, x in enumerate(order) for y in order[k + 1 :] if x < y]
     assert table.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("mode", [("yes",), ("none",), ("once",), ("repeated",), ("custom", "3"), ("custom", "0"), ("custom", "x"), ("all",)])
+def test_comodification_of_a_view_keeps_the_same_pairs(both, mode):
+    view = filters.by_comodification(PairView(both[0]), *mode)
+    table = filters.by_comodification(both[1].drop("detection_method"), *mode)
+    kept = plain(view.pairs(block=4))
+    assert kept == plain(table) and kept
+    flagged = filters.by_comodification(PairView(both[0]).drop("comodification_count"), *mode).pairs(block=4)
+    assert "comodification_count" not in flagged.columns
+    if mode == ("yes",):
+        assert plain(flagged) == plain(table.drop("comodification_count"))
+
+
+def test_known_services_of_a_view(both):
+    kept = plain(filters.known_pairs(PairView(both[0])).pairs(block=4))
+    assert kept == plain(filters.known_pairs(both[1].drop("detection_method"))) and kept
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 21])
+def test_commits_in_common_are_counted_by_blocks(spark, monkeypatch, at_once):
+    dice = random.Random(5)
+    some = ["a", "b", "c", "d", None]
+    lists = [dice.choices(some, k=dice.randrange(6)) if dice.random() < 0.8 else None for _ in range(60)]
+    monkeypatch.setattr(pairs, "COUNTS_AT_ONCE", at_once)
+    cells = [([dice.choice(lists) for _ in range(dice.randrange(1, 6))], [dice.choice(lists) for _ in range(dice.randrange(1, 6))]) for _ in range(25)]
+    kind = pa.list_(pa.struct([("commits", pa.list_(pa.string()))]))
+    x, y = (pa.array([[{"commits": c} for c in cell[side]] for cell in cells], kind) for side in (0, 1))
+    # Some cells are in front of the slice, as in a batch.
+    made = [row for part in pairs.common_counts.func(iter([(x.slice(2), y.slice(2))])) for row in part.to_pylist()]
+    assert made == [[None if a is None or b is None else len(set(a) & set(b)) for a in left for b in right] for left, right in cells[2:]]
+
+
+def test_blocks_of_repeated_places_are_cut(spark):
+    rows = [("p", "J", "c", i // 5 if i < 40 else None, f"f{i}", i, "a", 1, 1, 1, "logic", ["h"] if i % 2 else [], 0) for i in range(43)]
+    rows += [("p", None, "c", i, "f", i, None, 1, 1, 1, None, None, 0) for i in range(3)]
+    rows += [("p", "J", "d", i, None, None, None, 1, 1, 1, None, None, 0) for i in range(3)]
+    frags = spark.createDataFrame(rows, SCHEMA)
+    made = pairs.clone_pairs(frags, block=3)
+    x, y = frags.alias("x"), frags.alias("y")
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("project", "language", "clone_id")]
+    wanted = x.join(y, [*same, F.col("x.fragment_index") < F.col("y.fragment_index")]).select(
+        "x.clone_id", "x.fragment_index", "y.fragment_index", "x.file_path", "y.file_path", "x.file_id", "y.file_id",
+        F.size(F.array_intersect("x.modified_commits", "y.modified_commits")),
+    )
+    names = ["clone_id", "fragment_index_x", "fragment_index_y", "file_path_x", "file_path_y", "file_id_x", "file_id_y", "comodification_count"]
+    assert plain(made.select(*names)) == plain(wanted.toDF(*names))
